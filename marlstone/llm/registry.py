@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import minhash
+from marlstone.llm import minhash, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_weighted_fair_mix": mixing.op1_weighted_fair_mix,
     "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
+    "op9_feistel_sharding": sharding.op9_feistel_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_weighted_fair_mix": mixing.OP1_SQL,
+    "op9_feistel_sharding": sharding.OP9_SQL,
+}
