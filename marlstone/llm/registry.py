@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import line_dedup, minhash, mixing, sharding
+from marlstone.llm import line_dedup, minhash, mixing, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weighted_fair_mix": mixing.op1_weighted_fair_mix,
+    "op6_norm_bucket_topk": topk.op6_norm_bucket_topk,
     "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
     "op9_feistel_sharding": sharding.op9_feistel_sharding,
     "op10_line_template_dedup": line_dedup.op10_line_template_dedup,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_weighted_fair_mix": mixing.OP1_SQL,
+    "op6_norm_bucket_topk": topk.OP6_SQL,
     "op9_feistel_sharding": sharding.OP9_SQL,
     "op10_line_template_dedup": line_dedup.OP10_SQL,
 }
