@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import line_dedup, minhash, mixing, sharding, topk
+from marlstone.llm import bpe, line_dedup, minhash, mixing, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weighted_fair_mix": mixing.op1_weighted_fair_mix,
     "op6_norm_bucket_topk": topk.op6_norm_bucket_topk,
     "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
+    "op8_forced_boundary_bpe": bpe.op8_forced_boundary_bpe,
     "op9_feistel_sharding": sharding.op9_feistel_sharding,
     "op10_line_template_dedup": line_dedup.op10_line_template_dedup,
 }
