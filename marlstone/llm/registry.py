@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, line_dedup, minhash, mixing, quality, sharding, topk
+from marlstone.llm import bpe, line_dedup, minhash, mixing, mjpeg, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weighted_fair_mix": mixing.op1_weighted_fair_mix,
+    "op3_avi_mjpeg_shots": mjpeg.op3_avi_mjpeg_shots,
     "op5_boosted_quality": quality.op5_boosted_quality,
     "op6_norm_bucket_topk": topk.op6_norm_bucket_topk,
     "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
