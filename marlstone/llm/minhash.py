@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     blocks = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = clusters.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    jobs = source.select("node", "text").join(placed, "node").select("root", "node", "block", "text", other)
+    # one plan at every size: texts meet their clusters by a shuffle, never by a broadcast of the clusters
+    jobs = source.select("node", "text").join(placed.hint("merge"), "node").select("root", "node", "block", "text", other)
     # a job is two blocks, or one with itself; of two, the later one's rows are on side 1
     jobs = jobs.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", (F.col("block") > F.col("other")).cast("int").alias("side"), "text")
     jobs = jobs.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")

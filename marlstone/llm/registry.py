@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, line_dedup, minhash, mixing, mjpeg, quality, sharding, topk
+from marlstone.llm import bpe, line_dedup, minhash, mixing, mjpeg, quality, sharding, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weighted_fair_mix": mixing.op1_weighted_fair_mix,
     "op3_avi_mjpeg_shots": mjpeg.op3_avi_mjpeg_shots,
+    "op4_warc_index_ranges": warc.op4_warc_index_ranges,
     "op5_boosted_quality": quality.op5_boosted_quality,
     "op6_norm_bucket_topk": topk.op6_norm_bucket_topk,
     "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_weighted_fair_mix": mixing.OP1_SQL,
+    "op4_warc_index_ranges": warc.OP4_SQL,
     "op6_norm_bucket_topk": topk.OP6_SQL,
     "op9_feistel_sharding": sharding.OP9_SQL,
     "op10_line_template_dedup": line_dedup.OP10_SQL,
