@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, line_dedup, minhash, mixing, mjpeg, quality, sharding, topk, warc
+from marlstone.llm import bpe, chat, line_dedup, minhash, mixing, mjpeg, quality, sharding, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weighted_fair_mix": mixing.op1_weighted_fair_mix,
+    "op2_perspective_rotation": chat.op2_perspective_rotation,
     "op3_avi_mjpeg_shots": mjpeg.op3_avi_mjpeg_shots,
     "op4_warc_index_ranges": warc.op4_warc_index_ranges,
     "op5_boosted_quality": quality.op5_boosted_quality,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_weighted_fair_mix": mixing.OP1_SQL,
+    "op2_perspective_rotation": chat.OP2_SQL,
     "op4_warc_index_ranges": warc.OP4_SQL,
     "op6_norm_bucket_topk": topk.OP6_SQL,
     "op9_feistel_sharding": sharding.OP9_SQL,
