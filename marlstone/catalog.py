@@ -1,11 +1,10 @@
-"""Every query of the reference's operators, and the SQL that states its result."""
+"""Every query of the engine's own operators, and the SQL that states its result."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from marlstone.plans.queries import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+#: The query that ``entry`` runs.
 FLAGSHIP = "screen_status"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
