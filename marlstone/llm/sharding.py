@@ -10,6 +10,7 @@ gap, and either can be computed for any row number alone. Expressions only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,43 +41,54 @@ def grid(rows: int) -> tuple[int, int]:
     return a, max(1, -(-rows // a))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; plain nesting would double the expression at every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _scramble(x: Column, key: tuple[int, int]) -> Column:
     once = (x * F.lit(key[0]) + F.lit(key[1])) % F.lit(PRIME)
-    return (once * once + once * F.lit(key[1]) % F.lit(PRIME)) % F.lit(PRIME)
+    return _let(once, lambda v: (v * v + v * F.lit(key[1]) % F.lit(PRIME)) % F.lit(PRIME))
+
+
+def _left(key: tuple[int, int], a: int) -> Callable[[Column], Column]:
+    return lambda h: F.struct(((h.l + _scramble(h.r, key)) % a).alias("l"), h.r.alias("r"))
 
 
-def feistel(df: DataFrame, column: str, rows: int, seed: int) -> DataFrame:
-    """``column`` (a number below a*b) replaced by its image; one projection for each round keeps every step computed once."""
+def _right(key: tuple[int, int], b: int) -> Callable[[Column], Column]:
+    return lambda h: F.struct(h.l.alias("l"), ((h.r + _scramble(h.l, key)) % b).alias("r"))
+
+
+def feistel(number: Column, rows: int, seed: int) -> Column:
+    """The image of a number below a*b."""
     a, b = grid(rows)
-    out = df.withColumn("_l", F.col(column) % a).withColumn("_r", F.expr(f"{column} div {a}"))
+    halves = F.struct((number % a).alias("l"), F.call_function("div", number, F.lit(a)).alias("r"))
     for i, key in enumerate(round_keys(seed)):
-        if i % 2:
-            out = out.withColumn("_r", (F.col("_r") + _scramble(F.col("_l"), key)) % b)
-        else:
-            out = out.withColumn("_l", (F.col("_l") + _scramble(F.col("_r"), key)) % a)
-    return out.withColumn(column, F.col("_r") * a + F.col("_l")).drop("_l", "_r")
+        halves = _let(halves, _right(key, b) if i % 2 else _left(key, a))
+    return _let(halves, lambda h: h.r * a + h.l)
 
 
-def walks(spark: SparkSession, rows: int, seed: int) -> int:
-    """Steps after which every row is inside, exactly: only images past the last row walk on, and these are fewer than ``a`` numbers."""
+def walked(spark: SparkSession, rows: int, seed: int) -> DataFrame:
+    """Where each number past the last row comes out inside along its cycle: ``_past, _inside``, fewer than ``a`` rows.
+
+    Each step is written before the next, so the plan does not grow with the walk.
+    """
     a, b = grid(rows)
-    steps, outside = 1, spark.range(rows, a * b)
-    while not outside.isEmpty():
-        outside = feistel(outside, "id", rows, seed).where(F.col("id") >= rows)
-        steps += 1
-    return steps
+    table = spark.range(rows, a * b).select(F.col("id").alias("_past"), F.col("id").alias("_inside"))
+    while not table.where(F.col("_inside") >= rows).isEmpty():
+        step = F.when(F.col("_inside") >= rows, feistel(F.col("_inside"), rows, seed)).otherwise(F.col("_inside"))
+        table = stage_table(table.select("_past", step.alias("_inside")), "walk")
+    return table
 
 
 def permute(df: DataFrame, column: str, rows: int, seed: int) -> DataFrame:
     """``column``, global row numbers 0 to rows - 1, replaced by their places in the shuffle."""
-    out = df
-    for step in range(walks(df.sparkSession, rows, seed) if rows else 0):
-        if step == 0:
-            out = feistel(out, column, rows, seed)
-            continue
-        walked = feistel(out.withColumn("_walk", F.col(column)), "_walk", rows, seed)
-        out = walked.withColumn(column, F.when(F.col(column) >= rows, F.col("_walk")).otherwise(F.col(column))).drop("_walk")
-    return out
+    if not rows:
+        return df
+    image = df.withColumn(column, feistel(F.col(column), rows, seed))
+    # the walk's table has fewer rows than the square root of the rows, and one more
+    image = image.join(F.broadcast(walked(df.sparkSession, rows, seed)), F.col(column) == F.col("_past"), "left")
+    return image.withColumn(column, F.coalesce("_inside", column)).drop("_past", "_inside")
 
 
 def number_rows(df: DataFrame, order: list[str], rows: int) -> DataFrame:
