@@ -376,10 +376,10 @@ def group_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.group_medians(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_discount"])
 
 
-@query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.1) AS q10, quantile_cont(l_extendedprice, 0.5) AS q50, quantile_cont(l_extendedprice, 0.9) AS q90 FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS q10, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.9), 6) AS q90 FROM lineitem GROUP BY 1")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = measures.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.9])
-    return q.select("l_returnflag", *[F.get("quantiles", F.lit(i)).alias(f"q{p}") for i, p in enumerate((10, 50, 90))])
+    return q.select("l_returnflag", *[F.round(F.get("quantiles", F.lit(i)), 6).alias(f"q{p}") for i, p in enumerate((10, 50, 90))])
 
 
 @query("""
