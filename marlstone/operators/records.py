@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def first_wins(df: DataFrame, keys: Sequence[Column | str], order: Sequence[str]) -> DataFrame:
@@ -78,12 +80,13 @@ def greedy_merge(df: DataFrame, paper: str, block: Sequence[str], columns: Seque
     their block value, so rows that cannot match are not visited.
     """
     fields = [*block, *columns]
+    out_columns = [paper, *fields, order, "merged_rows"]
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+    def merge(rows: list[dict]) -> list[dict]:
         kept: list[dict] = []
         index: dict[tuple, list[int]] = {}
         open_rows: list[int] = []
-        for row in rows.sort_values(order, kind="stable").astype(object).where(rows.notna(), None).to_dict("records"):
+        for row in rows:
             own = tuple(row[c] for c in block)
             at = sorted({*index.get(own, ()), *open_rows}) if None not in own else range(len(kept))
             hit = next((k for k in at if _compatible(kept[k], row, block, columns, least)), None)
@@ -104,8 +107,22 @@ def greedy_merge(df: DataFrame, paper: str, block: Sequence[str], columns: Seque
                 index.setdefault(now, []).append(hit)
                 if None not in now:
                     open_rows.remove(hit)
-        return pd.DataFrame(kept, columns=[paper, *fields, order, "merged_rows"])
-
-    types = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [paper, *fields, order]) + ", merged_rows long"
-    return df.select(paper, *fields, order).groupBy(paper).applyInPandas(merge, schema)
+        return kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by paper and order; a paper may go over several batches."""
+        own: list[dict] = []
+        for batch in batches:
+            done: list[dict] = []
+            for row in batch.to_pylist():
+                if own and own[0][paper] != row[paper]:
+                    done += merge(own)
+                    own = []
+                own.append(row)
+            yield pa.RecordBatch.from_pylist(done, schema=target)
+        yield pa.RecordBatch.from_pylist(merge(own), schema=target)
+
+    source = df.select(paper, *fields, order)
+    schema = StructType([*source.schema.fields, StructField("merged_rows", LongType())])
+    target = to_arrow_schema(StructType([StructField(f.name, f.dataType) for f in schema.fields]))
+    return source.repartition(paper).sortWithinPartitions(paper, order).mapInArrow(run, schema).select(*out_columns)

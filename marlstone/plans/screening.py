@@ -63,17 +63,32 @@ def _said(c: Column, pattern: str) -> Column:
     return c.rlike(f"(?i){pattern}")
 
 
-def sentence_flags(c: Column) -> Column:
-    """For each sentence: acid preparation, acid condition, pH adjustment, radionuclide context."""
+#: What some radionuclide pattern needs in a text, whatever else it needs.
+_ANY_NUCLIDE = (
+    r"uranium|c(?:a)?esium|strontium|cobalt|iod(?:ide|ate)|technet|thorium|europium|lanthanum|cerium|rhen|"
+    r"(?:u|cs|sr|co|th|eu|la|ce)\s*\(|io\s*[3₃]|tc\s*o\s*[4₄]|re\s*o\s*[4₄]|i\s*[-−–—⁻]"
+)
+
+
+def sentence_flags(c: Column, text: Column) -> Column:
+    """For each sentence of ``c``: acid preparation, acid condition, pH adjustment, radionuclide context.
+
+    Costly patterns are tried only where the whole (lower-case) ``text`` has what they need.
+    """
+    acids = F.lit(False)
+    for word in V.ACID_REAGENTS:
+        acids = acids | text.contains(word)
+    adjusted = text.contains("ph") & (text.contains("adjust") | text.contains("using")) | text.contains("naoh") | text.contains("hcl")
+    nuclides = text.rlike(_ANY_NUCLIDE)
 
     def flags(s: Column) -> Column:
-        reagent, ph = _said(s, V.REAGENT), _said(s, V.PH_ADJUSTMENT)
-        acid = reagent & ~ph & ~_said(s, V.NO_MODIFICATION)
+        ph = adjusted & _said(s, V.PH_ADJUSTMENT)
+        acid = acids & _said(s, V.REAGENT) & ~ph & ~_said(s, V.NO_MODIFICATION)
         prepared = acid & (_said(s, V.BIOCHAR) | _said(s, V.PREPARATION_VERB)) & _said(s, V.PREPARATION_CUE)
         stated = acid & (_said(s, V.CONCENTRATION) | _said(s, V.DURATION) | _said(s, V.TEMPERATURE))
-        return F.struct(prepared.alias("prep"), stated.alias("cond"), ph.alias("ph"), _said(s, V.RADIONUCLIDE_CONTEXT).alias("ctx"), s.alias("s"))
+        return F.struct(prepared.alias("prep"), stated.alias("cond"), ph.alias("ph"), (nuclides & _said(s, V.RADIONUCLIDE_CONTEXT)).alias("ctx"), s.alias("s"))
 
-    return F.transform(c, flags)
+    return F.when(acids | adjusted | nuclides, F.transform(c, flags)).otherwise(F.array().cast("array<struct<prep: boolean, cond: boolean, ph: boolean, ctx: boolean, s: string>>"))
 
 
 def adjacent_pairs(flags: Column, first: str = "prep", second: str = "cond") -> Column:
@@ -90,10 +105,10 @@ def screen(docs: DataFrame, profile: str = "legacy", text_col: str = "text", pag
     text is an empty one and fails as scanned.
     """
     out = docs.withColumn("_raw", T.strip_tail(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_norm", T.fold(F.col("_raw")))
-    out = out.withColumn("_flags", sentence_flags(T.sentences(F.col("_raw"))))
+    out = out.withColumn("_flags", sentence_flags(T.sentences(F.col("_raw")), F.col("_norm")))
     for name, words in KEYWORD_SIGNALS.items():
         out = out.withColumn(f"matched_{name}", T.keyword_hits(F.col("_norm"), words))
-    out = out.withColumn("matched_acid_context", T.pattern_hits(F.col("_norm"), V.ACID_CONTEXT))
+    out = out.withColumn("matched_acid_context", F.when(F.col("_norm").contains("acid") | (F.size("matched_acid_reagent") > 0), T.pattern_hits(F.col("_norm"), V.ACID_CONTEXT)).otherwise(F.array().cast("array<string>")))
     nuclides = F.array_distinct(F.flatten(F.transform(F.filter("_flags", lambda f: f.ctx), lambda f: T.pattern_hits(f.s, V.RADIONUCLIDE))))
     out = out.withColumn("matched_radionuclide", nuclides)
     counts = {f"n_{n}": F.size(f"matched_{n}") for n in [*KEYWORD_SIGNALS, "acid_context", "radionuclide"]}

@@ -88,7 +88,7 @@ def test_scalars(spark):
 
 def test_recipe_in_neighbouring_sentences(spark):
     text = "Biochar was treated with HCl in preparation. HCl 2 M was used for 3 h."
-    flags = screening.sentence_flags(T.sentences(F.col("a")))
+    flags = screening.sentence_flags(T.sentences(F.col("a")), F.lower("a"))
     assert _one(spark, screening.adjacent_pairs(flags), a=text) >= 1
 
 
