@@ -48,7 +48,7 @@ def line_templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with recurring lines taken out of the text, and two columns more: ``lines`` and ``dropped_lines``.
+    """``docs`` with recurring lines taken out of the text, and two columns more (or anew): ``lines`` and ``dropped_lines``.
 
     Lines end at ``\\n``. Null texts stay null with no lines; an empty text has one
     empty line and stays. Lines of fewer than five fixed tokens always stay. Documents
@@ -60,13 +60,14 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     owners = keys.groupBy("_key").agg(F.min("_id").alias("_owner"), F.max("_id").alias("_last")).where("_owner < _last").drop("_last")
     drops = keys.join(owners, "_key").where("_id > _owner").groupBy("_id").agg(F.collect_set("_line").alias("_drops"))
     drops = stage_table(drops, "drops")
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    joined = docs.withColumn("_id", own).join(drops, "_id", "left")
-    lines = F.split(F.col(text_col), "\n")
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id")).join(drops, "_id", "left")
+    text = F.col("_row")[text_col]
+    lines = F.split(text, "\n")
     kept = F.when(F.col("_drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_drops", F.xxhash64(x))))
-    joined = joined.withColumn("_kept", kept).withColumn("lines", F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
-    joined = joined.withColumn("dropped_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("lines") - F.size("_kept")).cast("long"))
-    return joined.withColumn(text_col, F.array_join("_kept", "\n")).select(*docs.columns, "lines", "dropped_lines")
+    rows = rows.select("_row", kept.alias("_kept"), F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("lines"))
+    dropped = F.when(text.isNull(), 0).otherwise(F.col("lines") - F.size("_kept")).cast("long").alias("dropped_lines")
+    columns = [F.array_join("_kept", "\n").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("lines", "dropped_lines")]
+    return rows.select(*columns, "lines", dropped)
 
 
 def op10_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def schedule(
 
     Columns: ``_id, _size, _src, source_size, target, _finish`` (one virtual finish time
     for each pass over the source) and ``_takes`` (words taken in each pass); with
-    ``carry`` all columns of ``docs`` as well. The document at the cut is taken in part,
+    ``carry`` the whole row of ``docs`` as the struct ``_row`` as well. The document at the cut is taken in part,
     so the mix holds exactly the budget (rounded down).
 
     Null and wordless texts have size 0 and nothing is taken of them. A null source is
@@ -74,7 +74,7 @@ def schedule(
     """
     spark = docs.sparkSession
     src = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
-    keyed = docs.select(*(["*"] if carry else []), F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("_size"), src.alias("_src"), _shuffle_key(F.col(id_col)).alias("_key"))
+    keyed = docs.select(*([F.struct("*").alias("_row")] if carry else []), F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("_size"), src.alias("_src"), _shuffle_key(F.col(id_col)).alias("_key"))
     narrow = stage_table(keyed.select("_id", "_size", "_src", "_key"), "sizes")
     rows = narrow.count()
     bits = max(5, (rows // BUCKET_ROWS).bit_length() + 2)
@@ -124,13 +124,13 @@ def mix(docs: DataFrame, text_col: str = "text", **settings: object) -> DataFram
 
     The text of the copy at the cut ends after the words taken. Settings are those of ``schedule``.
     """
-    names = docs.columns
     taken = schedule(docs, text_col=text_col, carry=True, **settings)
-    copies = taken.select(*names, "_size", F.explode(F.arrays_zip(F.col("_finish").alias("f"), F.col("_takes").alias("t"))).alias("_copy")).where("_copy.t > 0")
-    begun = F.array_join(F.slice(F.split(F.col(text_col), r"(?<=[^ \t-\r])(?=[ \t-\r])"), F.lit(1), F.col("_copy.t").cast("int")), "")
-    parts = F.when(F.col("_copy.t") < F.col("_size"), begun).otherwise(F.col(text_col))
-    copies = copies.withColumn(text_col, parts).withColumn("_time", F.col("_copy.f"))
-    return copies.repartitionByRange("_time").sortWithinPartitions("_time").select(*names)
+    copies = taken.select("_row", "_size", F.explode(F.arrays_zip(F.col("_finish").alias("f"), F.col("_takes").alias("t"))).alias("_copy")).where("_copy.t > 0")
+    text = F.col("_row")[text_col]
+    begun = F.array_join(F.slice(F.split(text, r"(?<=[^ \t-\r])(?=[ \t-\r])"), F.lit(1), F.col("_copy.t").cast("int")), "")
+    parts = F.when(F.col("_copy.t") < F.col("_size"), begun).otherwise(text)
+    copies = copies.select(F.col("_copy.f").alias("_time"), F.col("_row").withField(text_col, parts).alias("_row"))
+    return copies.repartitionByRange("_time").sortWithinPartitions("_time").select("_row.*")
 
 
 def op1_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
