@@ -117,16 +117,17 @@ def _meet(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(block):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return best_in_block(queries, block, k)
+        return best_in_block(queries, block.rename(columns={"_vec_id": "vec_id", "_ints": "ints", "_norm2": "norm2"}), k)
 
     return run
 
 
 def _against(queries: DataFrame, blocks: DataFrame, query_blocks: int, k: int) -> DataFrame:
     """``queries`` (with ``_block``) against ``blocks``: one task group for each block of candidates and block of queries."""
-    candidates = blocks.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    left = queries.groupBy("_block", "_q")
-    return left.cogroup(candidates.groupBy("_block", "_q")).applyInPandas(_meet(k), _FOUND)
+    # fresh columns on either side: both stem from one table
+    candidates = blocks.select(F.col("_block").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("_part"), *[F.col(c).alias(f"_{c}") for c in ("vec_id", "ints", "norm2")])
+    asked = queries.select("_block", "_q", *[F.expr(f"{c} as {c}") for c in queries.columns if c not in ("_block", "_q")])
+    return asked.groupBy("_block", "_q").cogroup(candidates.groupBy("_b", "_part")).applyInPandas(_meet(k), _FOUND)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
