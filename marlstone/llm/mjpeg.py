@@ -265,24 +265,32 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "shots"]
-    for batch in batches:
-        avis = batch.column(2).to_pylist()
-        if not avis:
-            continue
-        places = [frame_places(a) for a in avis]
-        counts = np.array([len(p[0]) for p in places])
-        base = np.cumsum([0, *(len(a) for a in avis)])
-        frames = decode_frames(np.frombuffer(b"".join(avis), np.uint8), *(np.concatenate([p[k] + b for p, b in zip(places, base, strict=False)]) for k in (0, 1)))
-        ends = np.cumsum(counts)
-        payloads = [frames[e - c : e].tobytes() for c, e in zip(counts, ends, strict=True)]
-        shots = shot_starts(frames, counts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), batch.column(1), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), pa.array([len(a) for a in avis], pa.int64()), pa.array([hashlib.sha256(a).hexdigest() for a in avis]),
-                pa.array(counts), pa.array([s.tolist() for s in shots], pa.list_(pa.int64())),
-            ], names,
-        )
+    for whole in batches:
+        column = whole.column(2)
+        ends = np.frombuffer(column.buffers()[1], np.int32, count=len(column) + 1 + column.offset)[column.offset :] if len(column) else np.zeros(1, np.int32)
+        start = 0
+        while start < len(whole):
+            stop = max(start + 1, int(np.searchsorted(ends, int(ends[start]) + 2 * SLICE, side="right")) - 1)
+            batch = whole.slice(start, stop - start)
+            start = stop
+            yield _read_batch(batch, names)
+
+
+def _read_batch(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    avis = batch.column(2).to_pylist()
+    places = [frame_places(a) for a in avis]
+    counts = np.array([len(p[0]) for p in places])
+    base = np.cumsum([0, *(len(a) for a in avis)])
+    frames = decode_frames(np.frombuffer(b"".join(avis), np.uint8), *(np.concatenate([p[k] + b for p, b in zip(places, base, strict=False)]) for k in (0, 1)))
+    ends = np.cumsum(counts)
+    payloads = [frames[e - c : e].tobytes() for c, e in zip(counts, ends, strict=True)]
+    shots = shot_starts(frames, counts)
+    columns = [
+        batch.column(0), batch.column(1), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
+        pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), pa.array([len(a) for a in avis], pa.int64()), pa.array([hashlib.sha256(a).hexdigest() for a in avis]),
+        pa.array(counts), pa.array([s.tolist() for s in shots], pa.list_(pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
