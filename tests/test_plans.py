@@ -66,3 +66,24 @@ def test_stream_goes_on_where_it_stood(spark, tmp_path):
         (src / f"{n}.json").write_text(json.dumps({"doc_id": n, "text": "short"}))
         ingest.ingest(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_mixed_likelihood_against_dense_algebra(spark):
+    import numpy as np
+
+    from marlstone.operators import mixed
+
+    rng = np.random.default_rng(6)
+    outer, inner, x = np.repeat(np.arange(4), 10), np.repeat(np.arange(8), 5), rng.normal(size=40)
+    y = 1 + 0.5 * x + rng.normal(size=4)[outer] + rng.normal(size=40)
+    df = spark.createDataFrame([(int(a), int(b), [1.0, float(c), float(d)]) for a, b, c, d in zip(outer, inner, x, y, strict=True)], "_outer int, _inner int, _x array<double>")
+    sums, whole, n = mixed._sums(df, 2)
+    d = np.column_stack([np.ones(40), x])
+    for likelihood, a, b, beta, _, variance in mixed._evaluate(sums, whole, n, [(0.0, 0.0), (0.7, 0.3)]):
+        v = np.eye(40) + a * (outer[:, None] == outer) + b * (inner[:, None] == inner)
+        w = np.linalg.inv(v)
+        want = np.linalg.solve(d.T @ w @ d, d.T @ w @ y)
+        e = y - d @ want
+        s = e @ w @ e / 40
+        assert np.allclose(beta, want) and np.isclose(variance, s)
+        assert np.isclose(likelihood, -0.5 * (40 * np.log(2 * np.pi * s) + np.linalg.slogdet(v)[1] + 40))
