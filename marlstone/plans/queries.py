@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import fill, match, measures, records
+from marlstone.agents import seam
+from marlstone.operators import fill, match, measures, records, resample
 from marlstone.plans import screening
 from marlstone.plans import vocabulary as V
+from marlstone.sources import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -480,3 +482,36 @@ SELECT p_partkey, round(CASE WHEN len(u) = 0 THEN 0 ELSE len(i)::DOUBLE / len(u)
   SELECT p_partkey, list_intersect(a, b) AS i, list_distinct(a || b) AS u FROM (SELECT p_partkey, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(p_type), '[^a-z0-9]+'), lambda x: x <> '')) AS b FROM part))""")
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(T.jaccard(T.tokens(F.col("p_name")), T.tokens(F.col("p_type"))), 9).alias("jaccard"))
+
+
+# ---------------------------------------------------------------- sources, packing, resampling
+@query()
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered elements of every page; parsing markup is no SQL, the tests hold it against hand-made pages."""
+    return documents.elements(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def pack_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring turns of a conversation packed up to 256 tokens; a sequential fold, no plain SQL."""
+    return seam.pack(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 256)
+
+
+@query("""
+SELECT event_type, round(avg(value), 6) AS mean, count(value) AS n, count(DISTINCT user_id) AS clusters FROM events WHERE value IS NOT NULL GROUP BY 1""")
+def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means by event type with users as clusters; the SQL states what is not resampled."""
+    out = resample.cluster_bootstrap(table(spark, sf_dir, "events"), "user_id", ["event_type"], "value", 200)
+    return out.select("event_type", F.round("mean", 6).alias("mean"), "n", "clusters")
+
+
+@query("""
+SELECT a.source_group, a.n AS left_n, b.n AS right_n, round(a.n::DOUBLE / b.n, 6) AS ratio FROM (SELECT source AS source_group, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) a
+JOIN (SELECT source AS source_group, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY 1) b USING (source_group)""")
+def grouped_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inner join of two aggregates of one table, aggregated in one pass."""
+    docs = table(spark, sf_dir, "documents")
+    even = F.count(F.when(F.col("doc_id") % 2 == 0, 1))
+    odd = F.count(F.when(F.col("doc_id") % 2 == 1, 1))
+    out = docs.groupBy(F.col("source").alias("source_group")).agg(even.alias("left_n"), odd.alias("right_n")).where("left_n > 0 and right_n > 0")
+    return out.withColumn("ratio", F.round(F.col("left_n") / F.col("right_n"), 6))
