@@ -5,6 +5,9 @@ At the leaf, fields that vary are generalised: tokens with a digit always, and o
 tokens after the leading ones any one third. What stays fixed, with the leaf, is a
 template. A template met in several documents is recurring; its lines stay in the
 document of the least id and are dropped from all others.
+
+A line with too few fixed tokens for a template is its own key, digits and all. One
+word alone says little, so such a line recurs only from ``WORD_DOCS`` documents on.
 """
 
 from __future__ import annotations
@@ -18,22 +21,24 @@ from marlstone.llm.storage import stage_table
 DEPTH, PARTS = 3, 3
 #: Fixed tokens that a template needs, and tokens of a line from which a part may vary.
 MIN_FIXED, MIN_VARIED = 5, 8
+#: Documents that must share a line of a single token.
+WORD_DOCS = 6
 _SPACE = " \\t\\x0B\\f\\r"
 _NO_ID = -(1 << 63)
 
 
 def _templates(line: Column) -> Column:
-    """Keys of a line's templates, none for a line with too few fixed tokens."""
+    """Tokens of a line, those with a digit masked."""
     masked = F.regexp_replace(line, f"[^{_SPACE}0-9]*[0-9][^{_SPACE}]*", "\u0001")
     return F.filter(F.split(masked, f"[{_SPACE}]+"), lambda t: t != "")
 
 
 def line_templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document and distinct line: ``_id, _line`` (a hash) and ``_keys``, the hashes of its templates."""
+    """A row for each document, distinct line that is not blank, and key of it: ``_id, _line`` (a hash), ``_key`` (a hash) and ``_word``, whether the line is a single token."""
     lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.explode(F.array_distinct(F.split(F.col(text_col), "\n"))).alias("_text"))
-    lines = lines.select("_id", F.xxhash64("_text").alias("_line"), _templates(F.col("_text")).alias("_t")).where(F.size("_t") >= MIN_FIXED)
+    lines = lines.select("_id", F.xxhash64("_text").alias("_line"), _templates(F.col("_text")).alias("_t")).where(F.size("_t") > 0)
     lines = lines.withColumn("_n", F.size("_t"))
-    rest = F.col("_n") - DEPTH
+    rest = F.greatest(F.col("_n") - DEPTH, F.lit(0))
     lead = F.slice("_t", 1, DEPTH)
     keys = []
     for part in range(PARTS):
@@ -42,23 +47,30 @@ def line_templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         keys.append(F.struct(F.lit(part).alias("p"), fixed.alias("t")))
     whole = F.array(F.struct(F.lit(-1).alias("p"), F.col("_t").alias("t")))
     forms = F.when(F.col("_n") >= MIN_VARIED, F.array(*keys)).otherwise(whole)
-    lines = lines.select("_id", "_line", "_n", F.explode(forms).alias("_f"))
-    lines = lines.where(F.size(F.filter("_f.t", lambda t: t != "\u0001")) >= MIN_FIXED)
-    return lines.select("_id", "_line", F.xxhash64("_n", "_f.p", "_f.t").alias("_key"))
+    full = F.filter(forms, lambda f: F.size(F.filter(f["t"], lambda t: t != "\u0001")) >= MIN_FIXED)
+    hashes = F.transform(full, lambda f: F.xxhash64("_n", f["p"], f["t"]))
+    hashes = F.when(F.size(hashes) > 0, hashes).otherwise(F.array(F.xxhash64(F.lit(-2), "_line")))
+    return lines.select("_id", "_line", (F.col("_n") == 1).alias("_word"), F.explode(hashes).alias("_key"))
+
+
+def recurring(keys: DataFrame) -> DataFrame:
+    """``_key, _owner`` of the keys that several documents have, ``WORD_DOCS`` of them for a single token."""
+    lines = keys.where("not _word").groupBy("_key").agg(F.min("_id").alias("_owner"), F.max("_id").alias("_last")).where("_owner < _last")
+    words = keys.where("_word").select("_key", "_id").distinct().groupBy("_key").agg(F.min("_id").alias("_owner"), F.count("*").alias("_docs")).where(F.col("_docs") >= WORD_DOCS)
+    return lines.select("_key", "_owner").unionByName(words.select("_key", "_owner"))
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with recurring lines taken out of the text, and two columns more (or anew): ``lines`` and ``dropped_lines``.
 
     Lines end at ``\\n``. Null texts stay null with no lines; an empty text has one
-    empty line and stays. Lines of fewer than five fixed tokens always stay. Documents
+    empty line and stays, as do blank lines. Documents
     are told apart by id: rows of one id, or without any, count as one document and
     a repetition within it drops nothing. All other columns and rows stay as they are;
     an empty table has an empty result.
     """
     keys = stage_table(line_templates(docs, id_col, text_col), "templates")
-    owners = keys.groupBy("_key").agg(F.min("_id").alias("_owner"), F.max("_id").alias("_last")).where("_owner < _last").drop("_last")
-    drops = keys.join(owners, "_key").where("_id > _owner").groupBy("_id").agg(F.collect_set("_line").alias("_drops"))
+    drops = keys.join(recurring(keys), "_key").where("_id > _owner").groupBy("_id").agg(F.collect_set("_line").alias("_drops"))
     drops = stage_table(drops, "drops")
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id")).join(drops, "_id", "left")
     text = F.col("_row")[text_col]

@@ -66,6 +66,16 @@ def test_lines_of_the_first_document_stay(spark):
         assert "passage" not in out[i]["text"] and out[i]["text"].endswith("\nRe.") and out[i]["dropped_lines"] >= 1
 
 
+def test_short_lines_recur_too(spark):
+    short = "All rights reserved.\nLicensed under CC BY-NC 4.0.\n\n \n1 2 3 4 5 6 7 8 9 ten"
+    rows = [(i, f"{short}\nalone {'abcdefg'[i]}\nMenu" + ("\nHome" if i < 5 else "")) for i in range(7)]
+    out = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame([*rows, (9, "Licensed under CC BY-NC 3.0.\nMenu")], "doc_id long, text string")).collect()}
+    assert out[0]["text"] == rows[0][1]
+    for i in range(1, 7):  # a word needs six documents; blank lines and other numbers stay
+        assert out[i]["text"] == f"\n \nalone {'abcdefg'[i]}" + ("\nHome" if i < 5 else "") and out[i]["dropped_lines"] == 4
+    assert out[9]["text"] == "Licensed under CC BY-NC 3.0."
+
+
 def test_lines_awkward_rows(spark):
     docs = awkward(spark)
     out = line_dedup.drop_recurring_lines(docs)
