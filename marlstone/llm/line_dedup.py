@@ -2,8 +2,8 @@
 
 Every line goes down a tree of fixed depth: its token count, then its leading tokens.
 At the leaf, fields that vary are generalised: tokens with a digit always, and of the
-tokens after the leading ones any one third. What stays fixed, with the leaf, is a
-template. A template met in several documents is recurring; its lines stay in the
+tokens after the leading ones, cut into sixths, any two. What stays fixed, with the
+leaf, is a template. A template met in several documents is recurring; its lines stay in the
 document of the least id and are dropped from all others.
 
 A line with too few fixed tokens for a template is its own key, digits and all. One
@@ -12,13 +12,16 @@ word alone says little, so such a line recurs only from ``WORD_DOCS`` documents
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.storage import stage_table
 
-#: Leading tokens of the tree, and parts of the rest of which one may vary.
+#: Leading tokens of the tree, and thirds of the rest, of whose halves two may vary.
 DEPTH, PARTS = 3, 3
+PAIRS = list(combinations(range(2 * PARTS), 2))
 #: Fixed tokens that a template needs, and tokens of a line from which a part may vary.
 MIN_FIXED, MIN_VARIED = 5, 8
 #: Documents that must share a line of a single token.
@@ -33,24 +36,48 @@ def _templates(line: Column) -> Column:
     return F.filter(F.split(masked, f"[{_SPACE}]+"), lambda t: t != "")
 
 
-def line_templates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document, distinct line that is not blank, and key of it: ``_id, _line`` (a hash), ``_key`` (a hash) and ``_word``, whether the line is a single token."""
+def _fixed(tokens: Column) -> Column:
+    return F.size(F.array_remove(tokens, "\u0001"))
+
+
+def line_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row for each document and distinct line that is not blank: ``_id, _line`` (a hash), ``_word`` (a single token), ``_one`` (the key of a line of which nothing varies), ``_lead`` and ``_h0`` ... (hashes of the leaf and the sixths), and ``_ok`` (a bit for each of ``PAIRS`` whose template has enough fixed tokens)."""
     lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.explode(F.array_distinct(F.split(F.col(text_col), "\n"))).alias("_text"))
     lines = lines.select("_id", F.xxhash64("_text").alias("_line"), _templates(F.col("_text")).alias("_t")).where(F.size("_t") > 0)
     lines = lines.withColumn("_n", F.size("_t"))
     rest = F.greatest(F.col("_n") - DEPTH, F.lit(0))
-    lead = F.slice("_t", 1, DEPTH)
-    keys = []
+    hashes, counts = [], []
     for part in range(PARTS):
         begin, end = F.floor(rest * part / PARTS).cast("int"), F.floor(rest * (part + 1) / PARTS).cast("int")
-        fixed = F.concat(lead, F.slice("_t", F.lit(DEPTH + 1), begin), F.slice("_t", F.lit(DEPTH + 1) + end, rest - end))
-        keys.append(F.struct(F.lit(part).alias("p"), fixed.alias("t")))
-    whole = F.array(F.struct(F.lit(-1).alias("p"), F.col("_t").alias("t")))
-    forms = F.when(F.col("_n") >= MIN_VARIED, F.array(*keys)).otherwise(whole)
-    full = F.filter(forms, lambda f: F.size(F.filter(f["t"], lambda t: t != "\u0001")) >= MIN_FIXED)
-    hashes = F.transform(full, lambda f: F.xxhash64("_n", f["p"], f["t"]))
-    hashes = F.when(F.size(hashes) > 0, hashes).otherwise(F.array(F.xxhash64(F.lit(-2), "_line")))
-    return lines.select("_id", "_line", (F.col("_n") == 1).alias("_word"), F.explode(hashes).alias("_key"))
+        mid = begin + F.floor((end - begin) / 2).cast("int")
+        for low, high in ((begin, mid), (mid, end)):
+            half = F.slice("_t", F.lit(DEPTH + 1) + low, high - low)
+            hashes.append(F.xxhash64(half).alias(f"_h{len(hashes)}"))
+            counts.append(_fixed(half).alias(f"_c{len(counts)}"))
+    lines = lines.select("_id", "_line", "_n", _fixed(F.col("_t")).alias("_f"), F.xxhash64(F.lit(-1), "_n", "_t").alias("_whole"), F.xxhash64("_n", F.slice("_t", 1, DEPTH)).alias("_lead"), *hashes, *counts)
+    bits = [F.when(F.col("_f") - F.col(f"_c{i}") - F.col(f"_c{j}") >= MIN_FIXED, 1 << k).otherwise(0) for k, (i, j) in enumerate(PAIRS)]
+    ok = F.when(F.col("_n") >= MIN_VARIED, sum(bits[1:], bits[0])).otherwise(0)
+    whole = (F.col("_f") >= MIN_FIXED) & (F.col("_n") < MIN_VARIED)
+    one = F.when(ok == 0, F.when(whole, F.col("_whole")).otherwise(F.xxhash64(F.lit(-2), "_line")))
+    return lines.select("_id", "_line", (F.col("_n") == 1).alias("_word"), one.alias("_one"), "_lead", *[f"_h{k}" for k in range(2 * PARTS)], ok.alias("_ok"))
+
+
+def line_templates(parts: DataFrame) -> DataFrame:
+    """``_id, _line, _word, _key`` for every key of the lines of ``line_parts`` that another document may have.
+
+    Two varying sixths leave one third as it is, so a line of which no third recurs
+    at its leaf shares no template, and its keys are not made.
+    """
+    varied = parts.where("_ok <> 0").drop("_one", "_word")
+    thirds = varied.select("_id", "_line", F.explode(F.array(*[F.xxhash64(F.lit(p), "_lead", f"_h{2 * p}", f"_h{2 * p + 1}") for p in range(PARTS)])).alias("_third"))
+    shared = thirds.groupBy("_third").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b")).where("_a < _b").select("_third")
+    near = thirds.join(shared, "_third", "left_semi").select("_id", "_line").distinct()
+    keys = []
+    for k, pair in enumerate(PAIRS):
+        key = F.xxhash64(F.lit(k), "_lead", *[f"_h{x}" for x in range(2 * PARTS) if x not in pair])
+        keys.append(F.when(F.col("_ok").bitwiseAND(1 << k) != 0, key))
+    many = varied.join(near, ["_id", "_line"]).select("_id", "_line", F.lit(False).alias("_word"), F.explode(F.array(*keys)).alias("_key")).where("_key is not null")
+    return parts.where("_ok = 0").select("_id", "_line", "_word", F.col("_one").alias("_key")).unionByName(many)
 
 
 def recurring(keys: DataFrame) -> DataFrame:
@@ -69,7 +96,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     a repetition within it drops nothing. All other columns and rows stay as they are;
     an empty table has an empty result.
     """
-    keys = stage_table(line_templates(docs, id_col, text_col), "templates")
+    keys = stage_table(line_templates(stage_table(line_parts(docs, id_col, text_col), "lines")), "templates")
     drops = keys.join(recurring(keys), "_key").where("_id > _owner").groupBy("_id").agg(F.collect_set("_line").alias("_drops"))
     drops = stage_table(drops, "drops")
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id")).join(drops, "_id", "left")

@@ -76,6 +76,14 @@ def test_short_lines_recur_too(spark):
     assert out[9]["text"] == "Licensed under CC BY-NC 3.0."
 
 
+def test_fields_in_two_places_vary(spark):
+    line = "Item {} was shipped to {} by carrier {} on schedule today"
+    rows = [(i, line.format(i, *names)) for i, names in enumerate((("Berlin", "Falcon"), ("Munich", "Osprey"), ("Bremen", "Kestrel")))]
+    rows += [(7, "Item 5 was never lost in Berlin by carrier Falcon with anything else")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {0: rows[0][1], 1: "", 2: "", 7: rows[3][1]}
+
+
 def test_lines_awkward_rows(spark):
     docs = awkward(spark)
     out = line_dedup.drop_recurring_lines(docs)
