@@ -505,6 +505,12 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.round("mean", 6).alias("mean"), "n", "clusters")
 
 
+@query()
+def cluster_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``cluster_bootstrap`` leaves out: interval and replicas, with the default number of replicas; checked by brute force in the tests."""
+    return resample.cluster_bootstrap(table(spark, sf_dir, "events"), "user_id", ["event_type"], "value")
+
+
 @query("""
 SELECT a.source_group, a.n AS left_n, b.n AS right_n, round(a.n::DOUBLE / b.n, 6) AS ratio FROM (SELECT source AS source_group, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) a
 JOIN (SELECT source AS source_group, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY 1) b USING (source_group)""")

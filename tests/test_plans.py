@@ -53,6 +53,31 @@ def test_export(spark):
     assert sorted((r["pH"], r["T_K"], r["Qmax"]) for r in adsorption.collect()) == [("5", "298.15", None), ("6", "298.15", "12")]
 
 
+def test_bootstrap_query_against_brute_force(spark, tmp_path):
+    import numpy as np
+
+    from marlstone import catalog
+
+    rows = [(u, "ab"[(u + i) % 2], float(u * 3 + i * i % 7)) for u in range(9) for i in range(1 + u % 4)] + [(1, "a", None), (3, "c", 1.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_type"]: r for r in catalog.QUERIES["cluster_bootstrap_interval"](spark, str(tmp_path)).collect()}
+    draws = spark.range(9).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(999))).alias("r")).withColumn("w", resample.poisson_weight(F.col("u"), F.col("r"), 1009))
+    weight = np.zeros((9, 1000))
+    for d in draws.collect():
+        weight[d["u"], d["r"]] = d["w"]
+    assert set(got) == {"a", "b", "c"} and len(set(weight.ravel())) > 3
+    for kind in "abc":
+        own = [(u, v) for u, k, v in rows if k == kind and v is not None]
+        drawn = sum(weight[u] for u, _ in own)
+        means = (sum(weight[u] * v for u, v in own)[drawn > 0]) / drawn[drawn > 0]
+        r = got[kind]
+        assert (r["n"], r["clusters"], r["replicas"]) == (len(own), len({u for u, _ in own}), len(means))
+        if len(means) >= 700:
+            assert np.allclose([r["mean"], r["low"], r["high"]], [np.mean([v for _, v in own]), *np.percentile(means, [2.5, 97.5])])
+        else:
+            assert r["low"] is None and r["high"] is None
+
+
 def test_bootstrap(spark):
     df = spark.range(2000).select((F.col("id") % 40).alias("c"), (F.col("id") % 2).alias("k"), (F.col("id") % 7).cast("double").alias("v"))
     rows = resample.cluster_bootstrap(df, "c", ["k"], "v", 200).collect()
