@@ -58,7 +58,7 @@ def keep_targets(materials: DataFrame, adsorption: DataFrame) -> tuple[DataFrame
 
 
 def export_tables(raw_materials: DataFrame, raw_adsorption: DataFrame, targets_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Materials (one row a sample) and adsorption (one row a sample, pollutant and condition) from raw rows ``filename, ord, row``."""
+    """Materials (one row a sample) and adsorption (one row a sample, pollutant and condition; rows without a sample as they are) from raw rows ``filename, ord, row``."""
     m, a = resolve_ids(normalise_materials(raw_materials)), resolve_ids(normalise_adsorption(raw_adsorption))
     pollutants = a.select("paper", T.alnum_key(F.col("pollutant_name")).alias("_s")).where("_s <> ''").distinct()
     m = m.withColumn("_s", T.alnum_key(F.col("sample_id"))).join(pollutants, ["paper", "_s"], "left_anti").drop("_s")
@@ -73,7 +73,9 @@ def export_tables(raw_materials: DataFrame, raw_adsorption: DataFrame, targets_o
     materials = records.collapse(merged, ["paper", "sample_id"], values, "ord").join(names, "paper")
     base = T.alnum_key(F.col("sample_id")).isin("bc", "biochar", "rawbc", "pristinebc") & ~F.coalesce(F.lower("modification_sequence").contains("acid"), F.lit(False))
     materials = records.clear_where_sibling(materials, ["paper"], base, F.col("sample_id").contains("-"), ["acid_type", *_RECIPE])
+    nameless, a = a.where("sample_id is null"), a.where("sample_id is not null")  # measurements of no known sample are not one sample
     a = fill.fill_unique(fill.fill_unique(a, ["paper", "sample_id", "pollutant_name"], ["T_K", "Te_min", "SLR_g_L"]), ["paper", "sample_id"], ["T_K", "Te_min", "SLR_g_L"])
     rest = ["Qmax"]
-    adsorption = records.collapse(a, ["paper", "filename", "sample_id", "pollutant_name", "pH", "T_K", "Te_min", "SLR_g_L"], rest, "ord")
+    named = records.collapse(a, ["paper", "filename", "sample_id", "pollutant_name", "pH", "T_K", "Te_min", "SLR_g_L"], rest, "ord").drop("merged_rows")
+    adsorption = named.unionByName(nameless.select(named.columns))
     return materials.select("filename", "sample_id", *values), adsorption.select("filename", *ADSORPTION_FIELDS)

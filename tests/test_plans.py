@@ -53,6 +53,14 @@ def test_export(spark):
     assert sorted((r["pH"], r["T_K"], r["Qmax"]) for r in adsorption.collect()) == [("5", "298.15", None), ("6", "298.15", "12")]
 
 
+def test_export_keeps_measurements_without_a_sample(spark):
+    rows = [("Foo-2020-main.pdf", i, {"pollutant_name": "U(VI)", "T_K": t, "Qmax": q}) for i, (t, q) in enumerate([("298 K", "12"), (None, "34"), (None, "34")])]
+    schema = "filename string, ord long, row map<string, string>"
+    m = [("Foo-2020-main.pdf", 1, {"sample_id": "BC-HCl", "acid_type": "HCl"})]
+    _, adsorption = export.export_tables(spark.createDataFrame(m, schema), spark.createDataFrame(rows, schema))
+    assert sorted((r["Qmax"], r["T_K"] or "") for r in adsorption.collect()) == [("12", "298"), ("34", ""), ("34", "")]
+
+
 def test_bootstrap_query_against_brute_force(spark, tmp_path):
     import numpy as np
 
