@@ -4,10 +4,14 @@ Every line goes down a tree of fixed depth: its token count, then its leading to
 At the leaf, fields that vary are generalised: tokens with a digit always, and of the
 tokens after the leading ones, cut into sixths, any two. What stays fixed, with the
 leaf, is a template. A template met in several documents is recurring; its lines stay in the
-document of the least id and are dropped from all others.
+first document and are dropped from all others.
 
 A line with too few fixed tokens for a template is its own key, digits and all. One
 word alone says little, so such a line recurs only from ``WORD_DOCS`` documents on.
+
+Two varying sixths leave one third as it is. So lines are first grouped by their
+thirds at the leaf, and a template's key is made only of a line whose third there
+is met in another document: most lines of a corpus cost three keys, not fifteen.
 """
 
 from __future__ import annotations
@@ -17,34 +21,45 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.heavy import join_by_key
 from marlstone.llm.storage import stage_table
 
 #: Leading tokens of the tree, and thirds of the rest, of whose halves two may vary.
 DEPTH, PARTS = 3, 3
-PAIRS = list(combinations(range(2 * PARTS), 2))
 #: Fixed tokens that a template needs, and tokens of a line from which a part may vary.
 MIN_FIXED, MIN_VARIED = 5, 8
 #: Documents that must share a line of a single token.
 WORD_DOCS = 6
 _SPACE = " \\t\\x0B\\f\\r"
-_NO_ID = -(1 << 63)
+_FIELD = "\u0001"
+_DOC = ["_id", "_anon"]
 
 
-def _templates(line: Column) -> Column:
-    """Tokens of a line, those with a digit masked."""
-    masked = F.regexp_replace(line, f"[^{_SPACE}0-9]*[0-9][^{_SPACE}]*", "\u0001")
-    return F.filter(F.split(masked, f"[{_SPACE}]+"), lambda t: t != "")
+def _pairs(third: int) -> list[tuple[int, int]]:
+    """The pairs of sixths that may vary and whose first third without either is this one."""
+    return [p for p in combinations(range(2 * PARTS), 2) if next(k for k in range(PARTS) if k not in (p[0] // 2, p[1] // 2)) == third]
 
 
-def _fixed(tokens: Column) -> Column:
-    return F.size(F.array_remove(tokens, "\u0001"))
+def _two_hashes(name: str, *columns: Column | str) -> list[Column]:
+    """128 bits of hash as two columns: tables of 10^13 keys have no collision to speak of."""
+    return [F.xxhash64(*columns).alias(f"{name}a"), F.xxhash64(F.lit(1), *columns).alias(f"{name}b")]
 
 
 def line_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document and distinct line that is not blank: ``_id, _line`` (a hash), ``_word`` (a single token), ``_one`` (the key of a line of which nothing varies), ``_lead`` and ``_h0`` ... (hashes of the leaf and the sixths), and ``_ok`` (a bit for each of ``PAIRS`` whose template has enough fixed tokens)."""
-    lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.explode(F.array_distinct(F.split(F.col(text_col), "\n"))).alias("_text"))
-    lines = lines.select("_id", F.xxhash64("_text").alias("_line"), _templates(F.col("_text")).alias("_t")).where(F.size("_t") > 0)
+    """A row for each line that is not blank: ``_id, _anon`` (its document), ``_pos``, ``_word`` (a single token), ``_ok`` (a bit for each pair of sixths whose template has enough fixed tokens), and hashes: ``_one`` (of a line of which nothing varies, null with ``_ok``), ``_lead`` (of the leaf) and ``_0`` ... (of the sixths), two columns each."""
+    text = F.col(text_col).cast("string")
+    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_anon"), F.posexplode(F.split(text, "\n")).alias("_pos", "_text"))
+    digits = F.col("_text").rlike("[0-9]")
+    # each token is met once: a match begins after space or at the start, and no run is given back
+    masked = F.when(digits, F.regexp_replace("_text", f"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+", _FIELD)).otherwise(F.col("_text"))
+    trimmed = F.btrim(masked, F.lit(" \t\x0b\f\r"))
+    lines = lines.select(*_DOC, "_pos", "_text", digits.alias("_d"), trimmed.alias("_m")).where("_m <> ''")
+    lines = lines.select(*_DOC, "_pos", "_text", "_d", F.split("_m", f"[{_SPACE}]+").alias("_t"))
     lines = lines.withColumn("_n", F.size("_t"))
+
+    def fixed(tokens: Column) -> Column:
+        return F.when(F.col("_d"), F.size(F.array_remove(tokens, _FIELD))).otherwise(F.size(tokens))
+
     rest = F.greatest(F.col("_n") - DEPTH, F.lit(0))
     hashes, counts = [], []
     for part in range(PARTS):
@@ -52,61 +67,100 @@ def line_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         mid = begin + F.floor((end - begin) / 2).cast("int")
         for low, high in ((begin, mid), (mid, end)):
             half = F.slice("_t", F.lit(DEPTH + 1) + low, high - low)
-            hashes.append(F.xxhash64(half).alias(f"_h{len(hashes)}"))
-            counts.append(_fixed(half).alias(f"_c{len(counts)}"))
-    lines = lines.select("_id", "_line", "_n", _fixed(F.col("_t")).alias("_f"), F.xxhash64(F.lit(-1), "_n", "_t").alias("_whole"), F.xxhash64("_n", F.slice("_t", 1, DEPTH)).alias("_lead"), *hashes, *counts)
-    bits = [F.when(F.col("_f") - F.col(f"_c{i}") - F.col(f"_c{j}") >= MIN_FIXED, 1 << k).otherwise(0) for k, (i, j) in enumerate(PAIRS)]
-    ok = F.when(F.col("_n") >= MIN_VARIED, sum(bits[1:], bits[0])).otherwise(0)
+            hashes += _two_hashes(f"_{len(counts)}", half)
+            counts.append(fixed(half).alias(f"_c{len(counts)}"))
+    lines = lines.select(*_DOC, "_pos", "_text", "_t", "_n", fixed(F.col("_t")).alias("_f"), *_two_hashes("_lead", "_n", F.slice("_t", 1, DEPTH)), *hashes, *counts)
+    pairs = [p for third in range(PARTS) for p in _pairs(third)]
+    bits = [F.when(F.col("_f") - F.col(f"_c{i}") - F.col(f"_c{j}") >= MIN_FIXED, 1 << k).otherwise(0) for k, (i, j) in enumerate(pairs)]
+    lines = lines.withColumn("_ok", F.when(F.col("_n") >= MIN_VARIED, sum(bits[1:], bits[0])).otherwise(0))
     whole = (F.col("_f") >= MIN_FIXED) & (F.col("_n") < MIN_VARIED)
-    one = F.when(ok == 0, F.when(whole, F.col("_whole")).otherwise(F.xxhash64(F.lit(-2), "_line")))
-    return lines.select("_id", "_line", (F.col("_n") == 1).alias("_word"), one.alias("_one"), "_lead", *[f"_h{k}" for k in range(2 * PARTS)], ok.alias("_ok"))
+    one = [F.when(F.col("_ok") == 0, F.when(whole, w).otherwise(x)).alias(n) for w, x, n in zip(_two_hashes("_w", F.lit(-1), "_n", "_t"), _two_hashes("_x", F.lit(-2), "_text"), ("_onea", "_oneb"), strict=True)]
+    return lines.select(*_DOC, "_pos", (F.col("_n") == 1).alias("_word"), "_ok", *one, *[f"{n}{s}" for n in ("_lead", *(f"_{k}" for k in range(2 * PARTS))) for s in "ab"])
 
 
-def line_templates(parts: DataFrame) -> DataFrame:
-    """``_id, _line, _word, _key`` for every key of the lines of ``line_parts`` that another document may have.
+def _met() -> list[Column]:
+    """What tells whether the rows of a key are of several documents, and which of these is the first: the least id, or without ids the least hash of a text."""
+    without = F.when(F.col("_id").isNull(), F.col("_anon"))
+    return [F.min("_id").alias("_owner"), F.max("_id").alias("_last"), F.min(without).alias("_first_anon"), F.max(without).alias("_last_anon"), F.count("*").alias("_count")]
 
-    Two varying sixths leave one third as it is, so a line of which no third recurs
-    at its leaf shares no template, and its keys are not made.
-    """
-    varied = parts.where("_ok <> 0").drop("_one", "_word")
-    thirds = varied.select("_id", "_line", F.explode(F.array(*[F.xxhash64(F.lit(p), "_lead", f"_h{2 * p}", f"_h{2 * p + 1}") for p in range(PARTS)])).alias("_third"))
-    shared = thirds.groupBy("_third").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b")).where("_a < _b").select("_third")
-    near = thirds.join(shared, "_third", "left_semi").select("_id", "_line").distinct()
-    keys = []
-    for k, pair in enumerate(PAIRS):
-        key = F.xxhash64(F.lit(k), "_lead", *[f"_h{x}" for x in range(2 * PARTS) if x not in pair])
-        keys.append(F.when(F.col("_ok").bitwiseAND(1 << k) != 0, key))
-    many = varied.join(near, ["_id", "_line"]).select("_id", "_line", F.lit(False).alias("_word"), F.explode(F.array(*keys)).alias("_key")).where("_key is not null")
-    return parts.where("_ok = 0").select("_id", "_line", "_word", F.col("_one").alias("_key")).unionByName(many)
+
+_SEVERAL = "_owner < _last or (_owner is not null and _first_anon is not null) or _first_anon < _last_anon"
+
+
+def line_templates(parts: DataFrame) -> DataFrame:
+    """``_id, _anon, _pos, _word, _ka, _kb``: every key of the lines of ``line_parts`` that another document may have."""
+    varied = parts.where("_ok <> 0")
+    rows = []
+    for third in range(PARTS):
+        own, others = [2 * third, 2 * third + 1], [k for k in range(2 * PARTS) if k // 2 != third]
+        key = [F.xxhash64(F.lit(third), f"_lead{s}", *[f"_{k}{s}" for k in own]).alias(f"_ka{s}") for s in "ab"]
+        rest = [F.col(f"_{k}{s}").alias(f"_{x}{s}") for x, k in enumerate(others) for s in "ab"]
+        rows.append(F.struct(F.lit(third).alias("_third"), *key, *rest))
+    thirds = varied.select(*_DOC, "_pos", "_ok", F.inline(F.array(*rows))).withColumnRenamed("_kaa", "_ta").withColumnRenamed("_kab", "_tb")
+    shared = thirds.groupBy("_ta", "_tb").agg(*_met()).where(_SEVERAL).select("_ta", "_tb", "_count")
+    near = join_by_key(thirds, shared, ["_ta", "_tb"], "_count", 3 * varied.count())
+    at, keys = 0, []
+    for third in range(PARTS):
+        others = [k for k in range(2 * PARTS) if k // 2 != third]
+        for pair in _pairs(third):
+            fixed = [x for x, k in enumerate(others) if k not in pair]
+            key = F.struct(*[F.xxhash64(F.lit(at), f"_t{s}", *[f"_{x}{s}" for x in fixed]).alias(f"_k{s}") for s in "ab"])
+            keys.append(F.when((F.col("_third") == third) & (F.col("_ok").bitwiseAND(1 << at) != 0), key))
+            at += 1
+    many = near.select(*_DOC, "_pos", F.lit(False).alias("_word"), F.explode(F.array(*keys)).alias("_key")).where("_key is not null").select(*_DOC, "_pos", "_word", "_key.*")
+    return parts.where("_ok = 0").select(*_DOC, "_pos", "_word", F.col("_onea").alias("_ka"), F.col("_oneb").alias("_kb")).unionByName(many)
 
 
 def recurring(keys: DataFrame) -> DataFrame:
-    """``_key, _owner`` of the keys that several documents have, ``WORD_DOCS`` of them for a single token."""
-    lines = keys.where("not _word").groupBy("_key").agg(F.min("_id").alias("_owner"), F.max("_id").alias("_last")).where("_owner < _last")
-    words = keys.where("_word").select("_key", "_id").distinct().groupBy("_key").agg(F.min("_id").alias("_owner"), F.count("*").alias("_docs")).where(F.col("_docs") >= WORD_DOCS)
-    return lines.select("_key", "_owner").unionByName(words.select("_key", "_owner"))
+    """``_ka, _kb, _owner, _first_anon, _count`` of the keys that several documents have, ``WORD_DOCS`` of them for a single token."""
+    lines = keys.where("not _word").groupBy("_ka", "_kb").agg(*_met()).where(_SEVERAL)
+    doc = F.struct("_id", F.when(F.col("_id").isNull(), F.col("_anon")).alias("_anon"))
+    words = keys.where("_word").groupBy("_ka", "_kb", doc.alias("_doc")).agg(F.count("*").alias("_count")).select("_ka", "_kb", "_doc.*", "_count")
+    without = F.when(F.col("_id").isNull(), F.col("_anon"))
+    words = words.groupBy("_ka", "_kb").agg(F.min("_id").alias("_owner"), F.min(without).alias("_first_anon"), F.sum("_count").alias("_count"), F.count("*").alias("_docs")).where(F.col("_docs") >= WORD_DOCS)
+    columns = ["_ka", "_kb", "_owner", "_first_anon", "_count"]
+    return lines.select(*columns).unionByName(words.select(*columns))
+
+
+def count_names(columns: list[str]) -> tuple[str, str]:
+    """Names of the two counts beside the given columns: ``lines`` and ``dropped_lines``, underscores appended while a column has the name."""
+    names = []
+    for name in ("lines", "dropped_lines"):
+        while name in columns:
+            name += "_"
+        names.append(name)
+    return names[0], names[1]
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with recurring lines taken out of the text, and two columns more (or anew): ``lines`` and ``dropped_lines``.
+    """``docs`` with recurring lines taken out of the text, and two columns more: ``lines`` and ``dropped_lines`` (see ``count_names`` where ``docs`` has such columns).
 
     Lines end at ``\\n``. Null texts stay null with no lines; an empty text has one
     empty line and stays, as do blank lines. Documents
-    are told apart by id: rows of one id, or without any, count as one document and
-    a repetition within it drops nothing. All other columns and rows stay as they are;
-    an empty table has an empty result.
+    are told apart by id, a number or a string: rows of one id count as one document and
+    a repetition within it drops nothing. Of rows without an id, those of equal text are
+    one document; these come after all with an id, in the order of a hash. All other columns and rows stay as they are;
+    an empty table has an empty result. Keys are hashes of 128 bits.
     """
-    keys = stage_table(line_templates(stage_table(line_parts(docs, id_col, text_col), "lines")), "templates")
-    drops = keys.join(recurring(keys), "_key").where("_id > _owner").groupBy("_id").agg(F.collect_set("_line").alias("_drops"))
-    drops = stage_table(drops, "drops")
-    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id")).join(drops, "_id", "left")
+    lines_as, dropped_as = count_names(docs.columns)
+    parts = stage_table(line_parts(docs, id_col, text_col), "lines")
+    keys = stage_table(line_templates(parts), "templates")
+    owners = stage_table(recurring(keys), "owners")
+    met = join_by_key(keys, owners, ["_ka", "_kb"], "_count", keys.count())
+    later = "_id > _owner or (_id is null and (_owner is not null or _anon > _first_anon))"
+    drops = stage_table(met.where(later).groupBy(*_DOC).agg(F.collect_set("_pos").alias("_drops")), "drops")
+    drops = drops.select(F.col("_id").alias("_of"), F.col("_anon").alias("_like"), "_drops")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_anon"))
+    rows = rows.join(drops, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_anon") == F.col("_like")), "left")
     text = F.col("_row")[text_col]
     lines = F.split(text, "\n")
-    kept = F.when(F.col("_drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_drops", F.xxhash64(x))))
-    rows = rows.select("_row", kept.alias("_kept"), F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("lines"))
-    dropped = F.when(text.isNull(), 0).otherwise(F.col("lines") - F.size("_kept")).cast("long").alias("dropped_lines")
-    columns = [F.array_join("_kept", "\n").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("lines", "dropped_lines")]
-    return rows.select(*columns, "lines", dropped)
+    number = F.when(text.isNull(), 0).otherwise(F.size(lines))
+    # the places that stay, by one set difference, and their lines
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drops"), lambda p: F.get("_lines", p))
+    rows = rows.select("_row", "_drops", number.cast("long").alias("_number"), F.when(F.col("_drops").isNotNull(), lines).alias("_lines"))
+    new = F.when(F.col("_drops").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    columns = [new.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns]
+    return rows.select(*columns, F.col("_number").alias(lines_as), F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops")).cast("long").alias(dropped_as))
 
 
 def op10_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,16 +169,20 @@ def op10_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(docs)
 
 
+#: The rules over plain token lists, without hashes or thirds.
 OP10_SQL = r"""
 WITH l AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
 t AS (SELECT DISTINCT doc_id, line, list_filter(string_split_regex(regexp_replace(line, '[^ \t\x0B\f\r0-9]*[0-9][^ \t\x0B\f\r]*', chr(1), 'g'), '[ \t\x0B\f\r]+'), lambda x: x <> '') AS t FROM l),
-n AS (SELECT *, len(t) AS n, len(t) - 3 AS rest FROM t WHERE len(t) >= 5),
-f AS (
-  SELECT doc_id, line, n, p, t[1:3] || t[4:3 + (rest * p) // 3] || t[4 + (rest * (p + 1)) // 3:] AS f FROM n, (SELECT unnest([0, 1, 2]) AS p) WHERE n >= 8
-  UNION ALL SELECT doc_id, line, n, -1, t FROM n WHERE n < 8
-), k AS (SELECT doc_id, line, n || '|' || p || '|' || array_to_string(f, ' ') AS key FROM f WHERE len(list_filter(f, lambda x: x <> chr(1))) >= 5),
-o AS (SELECT key, min(doc_id) AS owner FROM k GROUP BY key HAVING min(doc_id) < max(doc_id)),
-d AS (SELECT DISTINCT doc_id, line FROM k JOIN o USING (key) WHERE doc_id > owner),
+n AS (SELECT *, len(t) AS n, greatest(len(t) - 3, 0) AS rest FROM t WHERE len(t) > 0),
+e AS (SELECT *, [0, (rest // 3) // 2, rest // 3, rest // 3 + (rest * 2 // 3 - rest // 3) // 2, rest * 2 // 3, rest * 2 // 3 + (rest - rest * 2 // 3) // 2, rest] AS e FROM n),
+v AS (
+  SELECT doc_id, line, n, a, b, t[1:3] || flatten(list_transform(list_filter(range(1, 7), lambda k: k <> a AND k <> b), lambda k: t[4 + e[k]:3 + e[k + 1]])) AS f
+  FROM e, (SELECT unnest(range(1, 7)) AS a) JOIN (SELECT unnest(range(1, 7)) AS b) ON a < b WHERE n >= 8
+  UNION ALL SELECT doc_id, line, n, 0, 0, t FROM e WHERE n < 8
+), k AS (SELECT doc_id, line, n, n || '|' || a || '|' || b || '|' || array_to_string(f, ' ') AS key FROM v WHERE len(list_filter(f, lambda x: x <> chr(1))) >= 5),
+x AS (SELECT * FROM k UNION ALL SELECT doc_id, line, n, 'line|' || line FROM e ANTI JOIN k ON e.doc_id = k.doc_id AND e.line = k.line),
+o AS (SELECT key, min(doc_id) AS owner FROM x GROUP BY key HAVING min(doc_id) < max(doc_id) AND (max(n) > 1 OR count(DISTINCT doc_id) >= 6)),
+d AS (SELECT DISTINCT doc_id, line FROM x JOIN o USING (key) WHERE doc_id > owner),
 r AS (SELECT l.doc_id, count(*) AS lines, count(d.line) AS dropped_lines, string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE d.line IS NULL) AS text
   FROM l LEFT JOIN d ON l.doc_id = d.doc_id AND l.line = d.line GROUP BY l.doc_id)
 SELECT documents.doc_id, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text, coalesce(lines, 0) AS lines, coalesce(dropped_lines, 0) AS dropped_lines
