@@ -33,11 +33,26 @@ WORD_DOCS = 6
 _SPACE = " \\t\\x0B\\f\\r"
 _FIELD = "\u0001"
 _DOC = ["_id", "_anon"]
+#: Of the four sixths outside a third, the two that may vary and the two that stay.
+_COMBOS = [(p, tuple(x for x in range(4) if x not in p)) for p in combinations(range(4), 2)]
 
 
-def _pairs(third: int) -> list[tuple[int, int]]:
-    """The pairs of sixths that may vary and whose first third without either is this one."""
-    return [p for p in combinations(range(2 * PARTS), 2) if next(k for k in range(PARTS) if k not in (p[0] // 2, p[1] // 2)) == third]
+def _others(third: int) -> list[int]:
+    return [k for k in range(2 * PARTS) if k // 2 != third]
+
+
+def _pairs() -> dict[int, tuple[int, int]]:
+    """Every pair of sixths that may vary, once: under the first third without either, at bit ``6 * third + combination``."""
+    found: dict[int, tuple[int, int]] = {}
+    for third in range(PARTS):
+        for at, (varying, _) in enumerate(_COMBOS):
+            pair = tuple(_others(third)[x] for x in varying)
+            if pair not in found.values():
+                found[6 * third + at] = pair
+    return found
+
+
+PAIRS = _pairs()
 
 
 def _two_hashes(name: str, *columns: Column | str) -> list[Column]:
@@ -46,36 +61,47 @@ def _two_hashes(name: str, *columns: Column | str) -> list[Column]:
 
 
 def line_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each line that is not blank: ``_id, _anon`` (its document), ``_pos``, ``_word`` (a single token), ``_ok`` (a bit for each pair of sixths whose template has enough fixed tokens), and hashes: ``_one`` (of a line of which nothing varies, null with ``_ok``), ``_lead`` (of the leaf) and ``_0`` ... (of the sixths), two columns each."""
+    """A row for each line that is not blank.
+
+    ``_id, _anon`` (its document), ``_pos``, ``_word`` (a single token), ``_ok`` (a bit
+    for each of ``PAIRS`` whose template has enough fixed tokens), ``_onea, _oneb`` (the key of a
+    line of which nothing varies, else null), ``_lead`` (hash of the leaf) and ``_h`` (hashes
+    of the sixths). The loops over sixths stay loops: written out, the generated code is
+    so long that compiling it takes gigabytes.
+    """
     text = F.col(text_col).cast("string")
     lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_anon"), F.posexplode(F.split(text, "\n")).alias("_pos", "_text"))
     digits = F.col("_text").rlike("[0-9]")
     # each token is met once: a match begins after space or at the start, and no run is given back
     masked = F.when(digits, F.regexp_replace("_text", f"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+", _FIELD)).otherwise(F.col("_text"))
-    trimmed = F.btrim(masked, F.lit(" \t\x0b\f\r"))
-    lines = lines.select(*_DOC, "_pos", "_text", digits.alias("_d"), trimmed.alias("_m")).where("_m <> ''")
+    lines = lines.select(*_DOC, "_pos", "_text", digits.alias("_d"), F.btrim(masked, F.lit(" \t\x0b\f\r")).alias("_m")).where("_m <> ''")
     lines = lines.select(*_DOC, "_pos", "_text", "_d", F.split("_m", f"[{_SPACE}]+").alias("_t"))
-    lines = lines.withColumn("_n", F.size("_t"))
-
-    def fixed(tokens: Column) -> Column:
-        return F.when(F.col("_d"), F.size(F.array_remove(tokens, _FIELD))).otherwise(F.size(tokens))
-
-    rest = F.greatest(F.col("_n") - DEPTH, F.lit(0))
-    hashes, counts = [], []
+    n = F.size("_t")
+    rest = F.greatest(n - DEPTH, F.lit(0))
+    edges = []
     for part in range(PARTS):
         begin, end = F.floor(rest * part / PARTS).cast("int"), F.floor(rest * (part + 1) / PARTS).cast("int")
-        mid = begin + F.floor((end - begin) / 2).cast("int")
-        for low, high in ((begin, mid), (mid, end)):
-            half = F.slice("_t", F.lit(DEPTH + 1) + low, high - low)
-            hashes += _two_hashes(f"_{len(counts)}", half)
-            counts.append(fixed(half).alias(f"_c{len(counts)}"))
-    lines = lines.select(*_DOC, "_pos", "_text", "_t", "_n", fixed(F.col("_t")).alias("_f"), *_two_hashes("_lead", "_n", F.slice("_t", 1, DEPTH)), *hashes, *counts)
-    pairs = [p for third in range(PARTS) for p in _pairs(third)]
-    bits = [F.when(F.col("_f") - F.col(f"_c{i}") - F.col(f"_c{j}") >= MIN_FIXED, 1 << k).otherwise(0) for k, (i, j) in enumerate(pairs)]
-    lines = lines.withColumn("_ok", F.when(F.col("_n") >= MIN_VARIED, sum(bits[1:], bits[0])).otherwise(0))
+        edges += [begin, begin + F.floor((end - begin) / 2).cast("int")]
+    lines = lines.select(*_DOC, "_pos", "_text", "_d", "_t", n.alias("_n"), F.array(*edges, rest).alias("_e"))
+
+    def half(k: Column) -> Column:
+        begin = F.get("_e", k)
+        return F.slice(F.col("_t"), begin + (DEPTH + 1), F.get("_e", k + 1) - begin)
+
+    sixths = F.sequence(F.lit(0), F.lit(2 * PARTS - 1))
+    fixed = F.transform(sixths, lambda k: F.size(F.array_remove(half(k), _FIELD)))
+    lines = lines.select(
+        *_DOC, "_pos", "_text", "_t", "_n", F.xxhash64("_n", F.slice("_t", 1, DEPTH)).alias("_lead"), F.when(F.col("_n") >= MIN_VARIED, F.transform(sixths, lambda k: F.xxhash64(half(k)))).alias("_h"),
+        F.when(F.col("_d"), F.size(F.array_remove("_t", _FIELD))).otherwise(F.col("_n")).alias("_f"), F.when(F.col("_d") & (F.col("_n") >= MIN_VARIED), fixed).alias("_c"),
+    )
+    pairs = F.array(*[F.struct(F.lit(1 << bit).alias("bit"), F.lit(i).alias("i"), F.lit(j).alias("j")) for bit, (i, j) in PAIRS.items()])
+    enough = F.aggregate(pairs, F.lit(0), lambda a, p: a + F.when(F.col("_f") - F.get("_c", p.i) - F.get("_c", p.j) >= MIN_FIXED, p.bit).otherwise(0))
+    # without digits all tokens are fixed, and eight or more leave five whichever pair varies
+    ok = F.when(F.col("_n") < MIN_VARIED, 0).when(F.col("_c").isNull(), sum(1 << bit for bit in PAIRS)).otherwise(enough)
+    lines = lines.select(*_DOC, "_pos", "_text", "_t", "_n", "_f", "_lead", "_h", ok.alias("_ok"))
     whole = (F.col("_f") >= MIN_FIXED) & (F.col("_n") < MIN_VARIED)
-    one = [F.when(F.col("_ok") == 0, F.when(whole, w).otherwise(x)).alias(n) for w, x, n in zip(_two_hashes("_w", F.lit(-1), "_n", "_t"), _two_hashes("_x", F.lit(-2), "_text"), ("_onea", "_oneb"), strict=True)]
-    return lines.select(*_DOC, "_pos", (F.col("_n") == 1).alias("_word"), "_ok", *one, *[f"{n}{s}" for n in ("_lead", *(f"_{k}" for k in range(2 * PARTS))) for s in "ab"])
+    one = [F.when(F.col("_ok") == 0, F.when(whole, w).otherwise(x)).alias(c) for w, x, c in zip(_two_hashes("_w", F.lit(-1), "_n", "_t"), _two_hashes("_x", F.lit(-2), "_text"), ("_onea", "_oneb"), strict=True)]
+    return lines.select(*_DOC, "_pos", (F.col("_n") == 1).alias("_word"), "_ok", *one, "_lead", "_h")
 
 
 def _met() -> list[Column]:
@@ -92,22 +118,24 @@ def line_templates(parts: DataFrame) -> DataFrame:
     varied = parts.where("_ok <> 0")
     rows = []
     for third in range(PARTS):
-        own, others = [2 * third, 2 * third + 1], [k for k in range(2 * PARTS) if k // 2 != third]
-        key = [F.xxhash64(F.lit(third), f"_lead{s}", *[f"_{k}{s}" for k in own]).alias(f"_ka{s}") for s in "ab"]
-        rest = [F.col(f"_{k}{s}").alias(f"_{x}{s}") for x, k in enumerate(others) for s in "ab"]
-        rows.append(F.struct(F.lit(third).alias("_third"), *key, *rest))
-    thirds = varied.select(*_DOC, "_pos", "_ok", F.inline(F.array(*rows))).withColumnRenamed("_kaa", "_ta").withColumnRenamed("_kab", "_tb")
-    shared = thirds.groupBy("_ta", "_tb").agg(*_met()).where(_SEVERAL).select("_ta", "_tb", "_count")
-    near = join_by_key(thirds, shared, ["_ta", "_tb"], "_count", 3 * varied.count())
-    at, keys = 0, []
-    for third in range(PARTS):
-        others = [k for k in range(2 * PARTS) if k // 2 != third]
-        for pair in _pairs(third):
-            fixed = [x for x, k in enumerate(others) if k not in pair]
-            key = F.struct(*[F.xxhash64(F.lit(at), f"_t{s}", *[f"_{x}{s}" for x in fixed]).alias(f"_k{s}") for s in "ab"])
-            keys.append(F.when((F.col("_third") == third) & (F.col("_ok").bitwiseAND(1 << at) != 0), key))
-            at += 1
-    many = near.select(*_DOC, "_pos", F.lit(False).alias("_word"), F.explode(F.array(*keys)).alias("_key")).where("_key is not null").select(*_DOC, "_pos", "_word", "_key.*")
+        key = [F.xxhash64(F.lit(third), "_lead", *[F.get("_h", F.lit(k)) for k in (2 * third, 2 * third + 1)]).alias("_t")]
+        rest = [F.get("_h", F.lit(k)).alias(f"_o{x}") for x, k in enumerate(_others(third))]
+        bits = F.shiftright("_ok", 6 * third).bitwiseAND(63).cast("byte")
+        rows.append(F.struct(F.lit(third).cast("byte").alias("_third"), bits.alias("_bits"), *key, "_lead", *rest))
+    thirds = varied.select(*_DOC, "_pos", F.inline(F.array(*rows))).where("_bits <> 0")
+    # a hash of the document is enough to see that there are several; a false meeting costs keys, no line
+    doc = F.when(F.col("_id").isNull(), F.col("_anon")).otherwise(F.xxhash64("_id"))
+    shared = thirds.groupBy("_t").agg(F.min(doc).alias("_a"), F.max(doc).alias("_b"), F.count("*").alias("_count")).where("_a < _b").select("_t", "_count")
+    near = join_by_key(thirds, shared, ["_t"], "_count", PARTS * varied.count())
+    combos = F.array(*[F.struct(F.lit(1 << at).alias("bit"), F.lit(u).alias("u"), F.lit(v).alias("v")) for at, (_, (u, v)) in enumerate(_COMBOS)])
+    rest = F.array(*[f"_o{x}" for x in range(4)])
+
+    def key(c: Column) -> Column:
+        fixed = ["_third", c.bit, "_lead", "_t", F.get("_r", c.u), F.get("_r", c.v)]
+        return F.struct(F.xxhash64(*fixed).alias("_ka"), F.xxhash64(F.lit(1), *fixed).alias("_kb"))
+
+    keys = F.transform(F.filter(combos, lambda c: F.col("_bits").cast("int").bitwiseAND(c.bit) != 0), key)
+    many = near.withColumn("_r", rest).select(*_DOC, "_pos", F.lit(False).alias("_word"), F.inline(keys))
     return parts.where("_ok = 0").select(*_DOC, "_pos", "_word", F.col("_onea").alias("_ka"), F.col("_oneb").alias("_kb")).unionByName(many)
 
 
