@@ -22,11 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.shingles import text_slices
+from marlstone.llm.storage import small_batches
 
 #: Chunks and fragments remembered by a worker, in each of two generations.
-REMEMBERED = 300_000
-SLICE = 1_500_000
-#: Fixed value: the pieces of a lower-case ASCII word.
+REMEMBERED = 120_000
+SLICE = 1_000_000
+_BREAK = re.compile(rb"[ \t-\r]")
+#: The normaliser and split of the vocabularies that this encoder is for, and the pieces of a lower-case ASCII word under them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
@@ -65,7 +69,10 @@ class Remembered:
 
 
 class ForcedBoundaryBPE:
-    """Encoder and decoder of one vocabulary file of byte-level BPE with word ends."""
+    """Encoder and decoder of one vocabulary file of byte-level BPE with word ends.
+
+    Only files with the normaliser and split above are read; another one raises a ValueError.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Regex, Tokenizer, pre_tokenizers
@@ -75,7 +82,10 @@ class ForcedBoundaryBPE:
         self.whole = Tokenizer.from_file(path)
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.letters = byte_letters()
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.visible = dict(enumerate(self.letters)) | {10: "\n"}
+        split = next((p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"), {"pattern": None})
+        if spec["normalizer"] != NORMALIZER or split["pattern"] != {"Regex": PATTERN} or spec["model"]["type"] != "BPE" or spec["decoder"] is not None:
+            raise ValueError(f"{path} has another normaliser, split, model or decoder than this encoder is for")
         self.words = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
         self.suffix = spec["model"]["end_of_word_suffix"] or ""
         by_letter = {c: b for b, c in enumerate(self.letters)}
@@ -121,19 +131,20 @@ class ForcedBoundaryBPE:
                 out[i] = f
         return out
 
-    def cut(self, words: list[bytes]) -> list[list[bytes]]:
-        """Each word cut at its forced boundaries."""
+    def cut(self, words: list[bytes]) -> dict[bytes, list[bytes]]:
+        """The words that have forced boundaries, cut there; the others are one fragment each."""
         joined = np.frombuffer(b"\n".join(words), np.uint8)
         ends = np.cumsum([len(w) + 1 for w in words])
         cuts = ~self.inside[joined[:-1], joined[1:]]
         cuts &= (joined[:-1] != 10) & (joined[1:] != 10)
         at = np.flatnonzero(cuts) + 1
-        out = [[w] for w in words]
         owner = np.searchsorted(ends, at, side="right")
-        for k in np.unique(owner):
-            begin = int(ends[k]) - len(words[k]) - 1
-            edges = [0, *(int(x) - begin for x in at[owner == k]), len(words[k])]
-            out[k] = [words[k][a:b] for a, b in itertools.pairwise(edges)]
+        out = {}
+        for k, places in itertools.groupby(zip(owner.tolist(), at.tolist(), strict=True), key=lambda x: x[0]):
+            word = words[k]
+            begin = int(ends[k]) - len(word) - 1
+            edges = [0, *(x - begin for _, x in places), len(word)]
+            out[word] = [word[a:b] for a, b in itertools.pairwise(edges)]
         return out
 
     def _encode_fragments(self, fragments: Iterable[bytes], final: bool) -> None:
@@ -141,33 +152,41 @@ class ForcedBoundaryBPE:
         new = known.missing(fragments)
         if not new:
             return
-        letters = dict(enumerate(self.letters))
-        text = "\n".join(f.decode("latin-1").translate(letters) for f in new)
+        text = "\n".join([f.decode("latin-1") for f in new]).translate(self.visible)
         found = (self.last if final else self.inner).encode(text, add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4")
-        counts = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(new))
-        for f, part in zip(new, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-            known.young[f] = part.tobytes()
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(new)))
+        begin = 0
+        for f, end in zip(new, ends.tolist(), strict=True):
+            known.young[f] = ids[begin:end]
+            begin = end
 
     def _learn(self, chunks: list[bytes]) -> None:
-        plain = []
-        for c in chunks:
-            if any(s in c for s in self.special):
-                ids = self.whole.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids
-                self.chunks.young[c] = np.array(ids, dtype="<u4").tobytes()
-            else:
-                plain.append(c)
+        plain = chunks
+        together = b"\n".join(chunks)
+        if any(s in together for s in self.special):
+            plain = []
+            for c in chunks:
+                if any(s in c for s in self.special):
+                    ids = self.whole.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids
+                    self.chunks.young[c] = np.array(ids, dtype="<u4").tobytes()
+                else:
+                    plain.append(c)
         pieces = self._pieces(plain)
         words = list(set(itertools.chain.from_iterable(pieces)))
-        parts = dict(zip(words, self.cut(words), strict=True)) if words else {}
-        for final in (True, False):
-            self._encode_fragments([f for p in parts.values() for f in (p[-1:] if final else p[:-1])], final)
+        parts = self.cut(words) if words else {}
+        self._encode_fragments(itertools.chain((w for w in words if w not in parts), (p[-1] for p in parts.values())), True)
+        self._encode_fragments((f for p in parts.values() for f in p[:-1]), False)
         last, inner = self.fragments[True].young, self.fragments[False].young
+        whole = {w: b"".join([*(inner[f] for f in p[:-1]), last[p[-1]]]) for w, p in parts.items()}
+        young = self.chunks.young
         for c, p in zip(plain, pieces, strict=True):
-            self.chunks.young[c] = b"".join([inner[f] if k < len(parts[w]) - 1 else last[f] for w in p for k, f in enumerate(parts[w])])
+            young[c] = b"".join([whole[w] if w in whole else last[w] for w in p])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text, as little-endian unsigned 32-bit integers end to end."""
+        if len(texts) == 1 and len(texts[0]) > 2 * SLICE:  # a very long text goes by parts, cut at white space
+            return [b"".join(self.encode([part])[0] for part in parts_of(texts[0], SLICE))]
         chunked = [t.split() for t in texts]
         new = self.chunks.missing(itertools.chain.from_iterable(chunked))
         for k in range(0, len(new), 20_000):
@@ -180,6 +199,16 @@ class ForcedBoundaryBPE:
         return b" ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def parts_of(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes, cut before white space; a longer run without any stays whole."""
+    begin = 0
+    while begin < len(text):
+        found = _BREAK.search(text, min(begin + size, len(text)))
+        end = found.start() if found else len(text)
+        yield text[begin:end]
+        begin = end
+
+
 @cache
 def encoder(path: str) -> ForcedBoundaryBPE:
     """One encoder for each worker process and vocabulary file."""
@@ -215,6 +244,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(source.dtypes)["doc_id"]
+    small_batches(docs.sparkSession)
     schema = f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
     return source.mapInArrow(_rows(path or vocabulary_path(), digest), schema)
 

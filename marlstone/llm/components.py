@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.storage import stage_table
+from marlstone.llm.storage import mark as used
+from marlstone.llm.storage import remove, stage_table, staged_since
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -23,6 +24,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("_a"), F.col(b).alias("_b"))
     pairs = pairs.where("_a is not null and _b is not null and u <> v").select("u", "v").distinct()
+    spark, begun = edges.sparkSession, used()
     now = stage_table(pairs, "edges")
     mark = _mark(now)
     while mark[0]:
@@ -33,6 +35,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.withColumnRenamed("m", "v")).distinct()
         now, before = stage_table(small, "edges"), mark
+        remove(spark, staged_since(begun)[:-1])  # only the last round is read again
         mark = _mark(now)
         if mark == before:
             break

@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.components import connected_components
 from marlstone.llm.shingles import mix64, raw_bytes, shingle_sets, text_slices
-from marlstone.llm.storage import stage_table
+from marlstone.llm.storage import small_batches, stage_table
 
 #: Bins of a signature (a power of two), rows of a band. 25 bands of 5 rows miss a pair of similarity 0.85
 #: once in about two million, of 0.8 once in about twenty thousand.
 BINS, ROWS = 128, 5
 #: Documents of a block when a cluster is compared.
 BLOCK = 96
-SLICE = 3_000_000
+SLICE = 500_000
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -69,7 +69,7 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _fingerprints(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(2).cast(pa.string())
+            column = batch.column(4).cast(pa.string())
             for start, stop in text_slices(column, SLICE):
                 hashes, offsets = shingle_sets(*raw_bytes(column.slice(start, stop - start)))
                 sizes = np.diff(offsets)
@@ -80,8 +80,8 @@ def _fingerprints(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 keys = keys[sizes > 0]
                 ends = np.append(0, np.cumsum(np.where(sizes > 0, keys.shape[1], 0))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(start, stop - start) for k in (0, 1)), pa.array(sizes.astype(np.int64)), *(pa.array(p.view(np.int64)) for p in prints), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))],
-                    ["doc_id", "node", "n_shingles", "f1", "f2", "bands"],
+                    [*(batch.column(k).slice(start, stop - start) for k in range(4)), pa.array(sizes.astype(np.int64)), *(pa.array(p.view(np.int64)) for p in prints), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))],
+                    ["doc_id", "node", "h1", "h2", "n_shingles", "f1", "f2", "bands"],
                 )
 
     return run
@@ -148,26 +148,29 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
-    """Component of every document under links of Jaccard similarity ``threshold`` percent or more.
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; a document's set is its
-    distinct five-word shingles, or its whole word sequence if it has fewer words.
-    Returns ``doc_id, n_shingles, component_id, kept``, one row for each input row.
-
-    Null, empty and wordless texts have an empty set and are linked with nothing.
-    Rows that share an id are one document (its texts are linked). Rows with a null
-    id take part through their text; where no linked row has an id, component_id is
-    null and the row is kept. An empty table has an empty result; other columns are
-    ignored. Links rest on 64-bit hashes of shingles.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source = source.withColumn("node", F.coalesce("doc_id", F.xxhash64("text")))
-    schema = "doc_id long, node long, n_shingles long, f1 long, f2 long, bands array<long>"
-    prints = stage_table(source.select("doc_id", "node", "text").mapInArrow(_fingerprints(rows), schema), "prints")
+def _found(docs: DataFrame, threshold: int, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """A row for each row of ``docs``: ``doc_id, h1, h2`` (hashes of the text), ``n_shingles``, ``root`` (its component's least node, null without words) and ``component_id``."""
+    small_batches(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    # nodes are numbers: a whole-number id is its own, any other or none a hash
+    whole = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
+    node = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(2), "doc_id"))
+    source = source.withColumn("node", F.coalesce(node, "h1"))
+    schema = f"doc_id {dict(source.dtypes)['doc_id']}, node long, h1 long, h2 long, n_shingles long, f1 long, f2 long, bands array<long>"
+    prints = stage_table(source.select("doc_id", "node", "h1", "h2", "text").mapInArrow(_fingerprints(rows), schema), "prints")
     key = ["n_shingles", "f1", "f2"]
     classes = prints.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("node"), F.any_value("bands").alias("bands"))
     classes = stage_table(classes, "classes")
+    linked = _links(source.select("node", "text"), classes, threshold)
+    named = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "root").select(*key, "root", "component_id")
+    return prints.drop("node", "bands").join(named, key, "left").select("doc_id", "h1", "h2", "n_shingles", "root", "component_id")
+
+
+def _links(source: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Components (``node, root``) of the classes' representatives under confirmed links."""
     banded = classes.select("node", F.explode("bands").alias("band"))
     stars = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub <> far").drop("far")
     edges = banded.join(stars, "band").where("node <> hub").select("node", "hub").distinct()
@@ -176,20 +179,52 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id"
     placed = clusters.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     # one plan at every size: texts meet their clusters by a shuffle, never by a broadcast of the clusters
-    jobs = source.select("node", "text").join(placed.hint("merge"), "node").select("root", "node", "block", "text", other)
+    jobs = source.join(placed.hint("merge"), "node").select("root", "node", "block", "text", other)
     # a job is two blocks, or one with itself; of two, the later one's rows are on side 1
     jobs = jobs.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", (F.col("block") > F.col("other")).cast("int").alias("side"), "text")
     jobs = jobs.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
     links = jobs.mapInArrow(_verify(threshold), "a long, b long")
-    linked = connected_components(links, "a", "b")
-    named = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select(*key, "component_id")
-    found = prints.select("doc_id", *key).join(named, key, "left")
+    return connected_components(links, "a", "b")
+
+
+def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
+    """Component of every document under links of Jaccard similarity ``threshold`` percent or more.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; a document's set is its
+    distinct five-word shingles, or its whole word sequence if it has fewer words.
+    Returns ``doc_id, n_shingles, component_id, kept``, one row for each input row.
+
+    Ids are whole numbers or strings. Null, empty and wordless texts have an empty set and are linked with nothing.
+    Rows that share an id are one document (its texts are linked). Rows with a null
+    id take part through their text; where no linked row has an id, component_id is
+    null and the row is kept. An empty table has an empty result; other columns are
+    ignored. Links rest on 64-bit hashes of shingles.
+    """
+    found = _found(docs, threshold, id_col, text_col, rows)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``: that of the least id, of rows of this id that of the least hash of the text.
+
+    Rows without an id are no exception: a component of such rows alone keeps one of
+    them, any other none. Of equal rows one stays. Rows without words are linked with
+    nothing and all stay.
+    """
+    found = stage_table(_found(docs, threshold, id_col, text_col, rows), "found")
+    place = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_of"), F.col("h1").alias("_k1"), F.col("h2").alias("_k2"))
+    first = found.where("root is not null").groupBy("root").agg(F.min(place).alias("_p")).select("_p.*").drop("_none")
+    texts = F.col(text_col).cast("string")
+    silent = F.coalesce(~texts.rlike(r"[^ \t-\r]"), F.lit(True))
+    speaking = docs.where(~silent).select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(texts).alias("_h1"), F.xxhash64(F.lit(1), texts).alias("_h2"))
+    same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2"))
+    stay = speaking.join(first.hint("merge"), same, "left_semi")
+    # equal rows: one of each key, by partial aggregates
+    stay = stay.groupBy("_id", "_h1", "_h2").agg(F.first("_row").alias("_row")).select("_row.*")
+    return stay.unionByName(docs.where(silent))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents at 85 percent."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

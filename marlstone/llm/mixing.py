@@ -20,6 +20,7 @@ from marlstone.llm.storage import stage_table
 BUCKET_ROWS = 20_000
 RANGE_ROWS = 2_000
 _ORDER = ["_key", "_id", "_size"]
+_PLACE = ["_src", *_ORDER]
 
 
 def word_count(text: Column) -> Column:
@@ -28,9 +29,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.translate(marked, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
 
 
-def _shuffle_key(doc_id: Column) -> Column:
-    """60 bits of the id's MD5: the order of a source's documents."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def _shuffle_key(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of the id, or of the text's where there is none: the order of a source's documents."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], budget: float, repeats: int) -> DataFrame:
@@ -69,12 +70,12 @@ def schedule(
     so the mix holds exactly the budget (rounded down).
 
     Null and wordless texts have size 0 and nothing is taken of them. A null source is
-    a source of its own, the last. Documents of one id are ordered by size; equal rows
-    are interchangeable. An empty table has an empty result.
+    a source of its own, the last. Ids are numbers or strings; documents of one id are ordered by size, those
+    without an id by their text's hash; equal rows are interchangeable. An empty table has an empty result.
     """
     spark = docs.sparkSession
     src = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
-    keyed = docs.select(*([F.struct("*").alias("_row")] if carry else []), F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("_size"), src.alias("_src"), _shuffle_key(F.col(id_col)).alias("_key"))
+    keyed = docs.select(*([F.struct("*").alias("_row")] if carry else []), F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("_size"), src.alias("_src"), _shuffle_key(F.col(id_col), F.col(text_col).cast("string")).alias("_key"))
     narrow = stage_table(keyed.select("_id", "_size", "_src", "_key"), "sizes")
     rows = narrow.count()
     bits = max(5, (rows // BUCKET_ROWS).bit_length() + 2)
@@ -112,8 +113,8 @@ def schedule(
         if cut is None:
             takes.append(F.col("_size"))
             continue
-        row = F.struct(F.col("_finish")[p].alias("a"), F.col("_src").alias("b"), F.col("_key").alias("c"), F.coalesce(F.col("_id"), F.lit(-(1 << 63))).cast("long").alias("d"), F.col("_size").alias("e"), F.lit(p).alias("f"))
-        at = F.struct(F.lit(cut["_time"]).alias("a"), F.lit(cut["_src"]).alias("b"), F.lit(cut["_key"]).alias("c"), F.lit(-(1 << 63) if cut["_id"] is None else cut["_id"]).cast("long").alias("d"), F.lit(cut["_size"]).cast("long").alias("e"), F.lit(cut["_pass"]).alias("f"))
+        row = F.struct(F.col("_finish")[p].alias("a"), F.col("_src").alias("b"), F.col("_key").alias("c"), F.col("_id").alias("d"), F.col("_size").alias("e"), F.lit(p).alias("f"))
+        at = F.struct(F.lit(cut["_time"]).alias("a"), F.lit(cut["_src"]).alias("b"), F.lit(cut["_key"]).alias("c"), F.lit(cut["_id"]).cast(copies.schema["_id"].dataType).alias("d"), F.lit(cut["_size"]).cast("long").alias("e"), F.lit(cut["_pass"]).alias("f"))
         part = left - (cut["_until"] - cut["_size"])
         takes.append(F.when(F.col("_finish")[p].isNull() | (row > at), 0).when(row < at, F.col("_size")).otherwise(F.lit(part)).cast("long"))
     return out.withColumn("_takes", F.array(*takes)).drop("_bucket", "_so_far", "_ahead")
@@ -125,12 +126,12 @@ def mix(docs: DataFrame, text_col: str = "text", **settings: object) -> DataFram
     The text of the copy at the cut ends after the words taken. Settings are those of ``schedule``.
     """
     taken = schedule(docs, text_col=text_col, carry=True, **settings)
-    copies = taken.select("_row", "_size", F.explode(F.arrays_zip(F.col("_finish").alias("f"), F.col("_takes").alias("t"))).alias("_copy")).where("_copy.t > 0")
+    copies = taken.select("_row", *_PLACE, F.posexplode(F.arrays_zip(F.col("_finish").alias("f"), F.col("_takes").alias("t"))).alias("_pass", "_copy")).where("_copy.t > 0")
     text = F.col("_row")[text_col]
     begun = F.array_join(F.slice(F.split(text, r"(?<=[^ \t-\r])(?=[ \t-\r])"), F.lit(1), F.col("_copy.t").cast("int")), "")
     parts = F.when(F.col("_copy.t") < F.col("_size"), begun).otherwise(text)
-    copies = copies.select(F.col("_copy.f").alias("_time"), F.col("_row").withField(text_col, parts).alias("_row"))
-    return copies.repartitionByRange("_time").sortWithinPartitions("_time").select("_row.*")
+    order = [F.col("_copy.f"), *map(F.col, _PLACE), F.col("_pass")]  # the order of the cut: equal times do not differ between runs
+    return copies.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("_row").withField(text_col, parts).alias("_row")).select("_row.*")
 
 
 def op1_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +145,7 @@ OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
     CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS key
   FROM documents
 ), s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src),
 w AS (SELECT *, CAST([5.0, 2.0, 1.0][(row_number() OVER (ORDER BY src) - 1) % 3 + 1] AS DOUBLE) AS w, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),

@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.shingles import raw_bytes, text_slices, word_hashes
+from marlstone.llm.shingles import raw_bytes, text_parts, text_slices, word_hashes
+from marlstone.llm.storage import small_batches
 
 #: Most labelled documents that are fitted: those of the least hash of the id.
 FIT_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, LEAST, RIDGE = 60, 4, 64, 0.2, 10, 1.0
-SLICE = 2_000_000
+SLICE = 500_000
 
-_KINDS = np.full(256, 0, np.int64)  # 0: bytes of characters outside ASCII
+_KINDS = np.full(256, 0, np.int32)  # 0: bytes of characters outside ASCII
 for _kind, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\x0b\x0c\r", b"\n", b".", b",;:'\"()-", b"!?", b"|", b"#$%&*@^~_=+<>/\\[]{}`"), 1):
     _KINDS[list(_chars)] = _kind
 _KINDS[list(range(9))] = 11
@@ -35,17 +36,21 @@ FEATURES = [
 ]
 
 
-def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of ``FEATURES`` for each text; all zeros for an empty one."""
+def _sums(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What statistics are made of, a row for each text, and the hashes of all words with their texts.
+
+    Columns: bytes of each of the 12 kinds, words, their bytes, squares of these, distinct words,
+    words that repeat the one before, words in capitals, words ending in a symbol, longest word.
+    """
     n = len(offsets) - 1
-    out = np.zeros((n, len(FEATURES)))
-    if not len(data):
-        return out
-    sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(n), sizes)
+    out = np.zeros((n, 20))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     kinds = _KINDS[data]
-    counts = np.bincount(owner * 12 + kinds, minlength=n * 12).reshape(n, 12).astype(float)
+    out[:, :12] = np.bincount(owner * np.int32(12) + kinds, minlength=n * 12).reshape(n, 12)
     words, per_text = word_hashes(data, offsets)
+    by = np.repeat(np.arange(n, dtype=np.int32), per_text)
+    if not len(words):
+        return out, words, by
     space = (kinds == 4) | (kinds == 5)
     first = ~space
     first[1:] &= space[:-1]
@@ -57,29 +62,54 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     last[edges - 1] = ~space[edges - 1]
     ends = np.flatnonzero(last)
     lengths = (ends - starts + 1).astype(float)
-    by = np.repeat(np.arange(n), per_text)
-    total = np.maximum(per_text, 1)
-    mean = np.bincount(by, lengths, n) / total
-    square = np.bincount(by, lengths**2, n) / total
-    longest = np.zeros(n)
-    has = per_text > 0
-    if has.any():
-        begin = (np.cumsum(per_text) - per_text)[has]
-        longest[has] = np.maximum.reduceat(lengths, begin)
     order = np.lexsort((words, by))
     w, b = words[order], by[order]
     fresh = np.ones(len(w), bool)
     fresh[1:] = (w[1:] != w[:-1]) | (b[1:] != b[:-1])
     same = np.zeros(len(words), bool)
     same[1:] = (words[1:] == words[:-1]) & (by[1:] == by[:-1])
-    share = counts / np.maximum(sizes, 1)[:, None]
-    second = kinds[np.minimum(starts + 1, ends)]
-    final = kinds[ends]
+    second, final = kinds[np.minimum(starts + 1, ends)], kinds[ends]
     shouted = (kinds[starts] == 2) & (second == 2) & (ends > starts)
-    out[:] = np.column_stack([
-        np.log1p(per_text), mean, np.sqrt(np.maximum(square - mean**2, 0)), np.bincount(b, fresh, n) / total, np.bincount(by, same, n) / total,
-        share[:, 0], share[:, 1], share[:, 2], share[:, 3], share[:, 4], share[:, 5], share[:, 6], share[:, 7], share[:, 8], share[:, 9], share[:, 10], share[:, 11],
-        np.bincount(by, shouted, n) / total, np.bincount(by, final >= 8, n) / total, per_text / (counts[:, 5] + 1), per_text / (counts[:, 6] + 1), np.log1p(longest),
+    out[:, 12] = per_text
+    for at, value in enumerate((lengths, lengths**2), 13):
+        out[:, at] = np.bincount(by, value, n)
+    out[:, 15] = np.bincount(b, fresh, n)
+    for at, value in enumerate((same, shouted, final >= 8), 16):
+        out[:, at] = np.bincount(by, value, n)
+    has = per_text > 0
+    out[has, 19] = np.maximum.reduceat(lengths, (np.cumsum(per_text) - per_text)[has])
+    return out, words, by
+
+
+def _long_sums(data: np.ndarray, part: int) -> np.ndarray:
+    """The sums of one very long text, by parts; only its distinct words are held."""
+    out, known, before = np.zeros((1, 20)), np.zeros(0, np.uint64), None
+    for begin, end in text_parts(data, part):
+        own, words, _ = _sums(data[begin:end], np.array([0, end - begin]))
+        longest = max(out[0, 19], own[0, 19])
+        out += own
+        out[0, 19] = longest
+        if len(words):
+            out[0, 16] += before is not None and words[0] == before
+            before = words[-1]
+            known = np.union1d(known, words)
+    out[0, 15] = len(known)
+    return out
+
+
+def statistics(data: np.ndarray, offsets: np.ndarray, part: int = 4 * SLICE) -> np.ndarray:
+    """A row of ``FEATURES`` for each text; all zeros for an empty one. A single text of more than ``part`` bytes is taken by parts."""
+    n = len(offsets) - 1
+    if not len(data):
+        return np.zeros((n, len(FEATURES)))
+    sums = _long_sums(data, part // 4) if n == 1 and len(data) > part else _sums(data, offsets)[0]
+    sizes, counts, per_text = np.diff(offsets), sums[:, :12], sums[:, 12]
+    total = np.maximum(per_text, 1)
+    mean = sums[:, 13] / total
+    share = counts / np.maximum(sizes, 1)[:, None]
+    out = np.column_stack([
+        np.log1p(per_text), mean, np.sqrt(np.maximum(sums[:, 14] / total - mean**2, 0)), sums[:, 15] / total, sums[:, 16] / total, share,
+        sums[:, 17] / total, sums[:, 18] / total, per_text / (counts[:, 5] + 1), per_text / (counts[:, 6] + 1), np.log1p(sums[:, 19]),
     ])
     out[sizes == 0] = 0
     return out
@@ -184,12 +214,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     Labels other than 0 and 1 are left out; of several for one id the mean decides
     (a half is 0). Of several texts of one id the one of least statistics is taken.
     """
+    small_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col(label_col).cast("double").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.floor(F.avg("label") + 0.4999999).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most ``most`` rows of two numbers
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
-    rows = texts.mapInArrow(_measure, "doc_id long, label double, x array<double>").groupBy("doc_id", "label").agg(F.min("x").alias("x"))
+    rows = texts.mapInArrow(_measure, f"doc_id {dict(texts.dtypes)['doc_id']}, label double, x array<double>").groupBy("doc_id", "label").agg(F.min("x").alias("x"))
     table = rows.toArrow().sort_by("doc_id")
     x = np.array(table["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, np.array(table["label"].to_pylist(), float))
@@ -209,12 +240,14 @@ def score_documents(docs: DataFrame, forest: Forest) -> DataFrame:
                 score = _per_text(batch.column(2), forest.scores)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, forest: Forest) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is 0.5 or more."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,29 +79,68 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix64(hashed + lengths.astype(np.uint64)), per_text
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def text_parts(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Cut one text into parts of about ``size`` bytes, before white space; a longer run without any stays whole."""
+    begin, size = 0, max(1, size)
+    while begin < len(data):
+        end = min(begin + size, len(data))
+        while end < len(data):
+            space = np.flatnonzero(_SPACE[data[end : end + size]])
+            if len(space):
+                end += int(space[0])
+                break
+            end = min(end + size, len(data))
+        yield begin, end
+        begin = end
+
+
+def _windows(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words."""
+    full = np.zeros(len(words) - size + 1, np.uint64)
+    for k in range(size):
+        full += mix64(words[k : len(words) - size + 1 + k] * _PLACES[k % 5] + np.uint64(k))
+    return full
+
+
+def _sequence(words: np.ndarray) -> np.uint64:
+    """Hash of a whole word sequence."""
+    return np.add.reduce(mix64(words * mix64(np.arange(len(words), dtype=np.uint64) + _BASE))) + np.uint64(len(words))
+
+
+def long_shingle_set(data: np.ndarray, part: int, size: int = 5) -> np.ndarray:
+    """The set of one very long text, by parts of about ``part`` bytes; equals that of ``shingle_sets``."""
+    found, words = [], np.zeros(0, np.uint64)
+    for begin, end in text_parts(data, part):
+        words = np.concatenate([words[max(0, len(words) - size + 1) :], word_hashes(data[begin:end], np.array([0, end - begin]))[0]])
+        if len(words) >= size:
+            found.append(np.unique(mix64(_windows(words, size))))
+    if not found:
+        return mix64(np.array([_sequence(words)])) if len(words) else words
+    return np.unique(np.concatenate(found))
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5, part: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, end to end, and the offsets of each text's set.
 
     A text of fewer than ``size`` words has one shingle, its whole word sequence; one without words has none.
+    A single text of more than ``part`` bytes is taken by parts, so that memory is that of its set.
     """
+    if len(offsets) == 2 and len(data) > part:
+        alone = long_shingle_set(data, part // 4, size)
+        return alone, np.array([0, len(alone)])
     words, per_text = word_hashes(data, offsets)
     ends = np.cumsum(per_text)
     begins = ends - per_text
     n = len(words)
-    text_of = np.repeat(np.arange(len(per_text)), per_text)
+    text_of = np.repeat(np.arange(len(per_text), dtype=np.int32), per_text)
     parts, owners = [], []
     if n >= size:
-        full = np.zeros(n - size + 1, np.uint64)
-        for k in range(size):
-            full += mix64(words[k : n - size + 1 + k] * _PLACES[k % 5] + np.uint64(k))
         ok = text_of[: n - size + 1] == text_of[size - 1 :]
-        parts.append(mix64(full[ok]))
+        parts.append(mix64(_windows(words, size)[ok]))
         owners.append(text_of[: n - size + 1][ok])
     for t in np.flatnonzero((per_text > 0) & (per_text < size)):
-        w = words[begins[t] : ends[t]]
-        whole = np.add.reduce(mix64(w * mix64(np.arange(len(w), dtype=np.uint64) + _BASE)), keepdims=True)
-        parts.append(mix64(whole + np.uint64(len(w))))
-        owners.append(np.array([t]))
+        parts.append(mix64(np.array([_sequence(words[begins[t] : ends[t]])])))
+        owners.append(np.array([t], np.int32))
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(len(per_text) + 1, np.int64)
     hashes, owner = np.concatenate(parts), np.concatenate(owners)

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch handed to a Python worker. The session's own bound is 64 MB, of which a task holds
+#: several copies on either side.
+BATCH_BYTES = 8 << 20
 _written: list[str] = []
 
 
@@ -68,3 +72,9 @@ def mark() -> int:
 def release(spark: SparkSession) -> None:
     """Delete every table staged by this process. Results that still read one must be written first."""
     remove(spark, list(_written))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on an Arrow batch to ``BATCH_BYTES``; a lower bound stays as it is."""
+    if int(spark.conf.get(_BATCH_KEY).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
