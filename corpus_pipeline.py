@@ -33,16 +33,14 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from all documents but the first that has them; documents of which no line is left go."""
-    cleaned = line_dedup.drop_recurring_lines(docs)
-    left = cleaned.where("dropped_lines = 0 or dropped_lines < lines")
+    total, dropped = line_dedup.count_names(docs.columns)
+    left = line_dedup.drop_recurring_lines(docs).where(f"{dropped} = 0 or {dropped} < {total}")
     return _recount(left.select(*docs.columns))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity 0.8 or more) stays; rows without an id stay."""
-    found = minhash.near_duplicates(docs, threshold=80)
-    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates (similarity 0.8 or more) stays, also among rows without an id or of one id; documents without words stay."""
+    return minhash.keep_one(docs, threshold=80).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
