@@ -2,20 +2,18 @@
 
 For every participant of a dialogue the whole dialogue is rendered with that speaker
 as the assistant and everyone else as a named user; the mask covers what the
-assistant says. The turns of a dialogue are gathered once and rendered once for
-each speaker. A dialogue longer than ``PART_TURNS`` turn numbers is rendered in parts,
-so no task gathers more than a part.
+assistant says. Turns meet in one shuffle by dialogue, in which running sums give the
+place of each turn for its own speaker; the gathered turns are then rendered once for
+each participant. All steps are linear in the turns rendered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers that one rendered part spans.
-PART_TURNS = 1024
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 #: Roles that set the scene: rendered under their own name, never as a participant.
 SCENE = ("system",)
@@ -31,43 +29,44 @@ def _name(role: Column) -> Column:
 
 
 def rotate_perspectives(turns: DataFrame, scene: Sequence[str] = SCENE) -> DataFrame:
-    """Columns ``conv_id, speaker, part, turns, text, mask``: a row for each participant and part of each dialogue.
+    """Columns ``conv_id, speaker, turns, text, mask``: a row for each participant of each dialogue, however long.
 
     ``mask`` lists ``start:stop`` character ranges of ``text``, with commas between: what the
     assistant says, its end mark included. Turns are in the order of their number, then
-    role and text; those without a number come last, in a part of their own. A null
-    role is a user named ``unknown`` and no participant; a null text is empty. Rows without
-    a conv_id form one dialogue. Repeated rows are repeated turns. A dialogue of scene
+    role and text; those without a number come last. A null
+    role is a user named ``unknown`` and no participant; a null text is empty. A row without
+    a conv_id is a dialogue of its own. Repeated rows are repeated turns. A dialogue of scene
     roles alone has no participant and no row. Control strings in texts and names are
     defused. Other columns are ignored; an empty table has an empty result.
     """
     scenes = F.array(*[F.lit(s) for s in scene]).cast("array<string>")
     own = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    part = F.coalesce(F.floor(F.col("turn") / PART_TURNS).cast("long"), F.lit((1 << 63) - 1))
-    gathered = own.withColumn("part", part).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text"))).alias("_turns"))
-    speakers = own.where(F.col("role").isNotNull() & ~F.array_contains(scenes, F.col("role"))).select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
-    both = gathered.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
-
-    def said(t: Column) -> Column:
-        return t.role.eqNullSafe(F.col("speaker"))
-
-    def head(t: Column) -> Column:
-        who = F.when(t.role.isNull(), F.lit("user name=unknown")).when(said(t), F.lit("assistant")).when(F.array_contains(scenes, t.role), _name(t.role)).otherwise(F.concat(F.lit("user name="), _name(t.role)))
-        return F.concat(F.lit(BEGIN), who, F.lit("\n"))
-
-    pieces = F.transform("_turns", lambda t: F.struct(head(t).alias("head"), F.concat(_plain(t.text), F.lit(END)).alias("body"), said(t).alias("said")))
-    out = both.withColumn("_pieces", pieces)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
-
-    def step(a: Column, p: Column) -> Column:
-        begin = a.at + F.length(p.head)
-        stop = begin + F.length(p.body)
-        span = F.concat(begin.cast("string"), F.lit(":"), stop.cast("string"))
-        return F.struct((stop + 1).alias("at"), F.when(p.said, F.concat(a.spans, F.array(span))).otherwise(a.spans).alias("spans"))
-
-    spans = F.aggregate("_pieces", start, step, lambda a: a.spans)
-    text = F.array_join(F.transform("_pieces", lambda p: F.concat(p.head, p.body, F.lit("\n"))), "")
-    return out.select("conv_id", "speaker", "part", F.size("_turns").alias("turns"), text.alias("text"), F.array_join(spans, ",").alias("mask"))
+    speaks = F.col("role").isNotNull() & ~F.array_contains(scenes, F.col("role"))
+    who = F.when(F.col("role").isNull(), F.lit("user name=unknown")).when(speaks, F.concat(F.lit("user name="), _name(F.col("role")))).otherwise(_name(F.col("role")))
+    own = own.select("conv_id", "turn", "role", "text", speaks.alias("speaks"), who.alias("who"), F.concat(_plain(F.col("text")), F.lit(END)).alias("body"))
+    # characters of a turn as a named user's; for its own speaker every turn of theirs is shorter or longer by the same
+    size = (F.length("who") + F.length("body") + len(BEGIN) + 2).cast("long")
+    less = F.length("who") - len("assistant")
+    order = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
+
+    def placed(table: DataFrame, before: Column, earlier: Column, at: Column) -> DataFrame:
+        start = before - less * earlier + (len(BEGIN) + len("assistant") + 1)
+        piece = F.struct(at.alias("at"), "role", "who", "body", F.concat(start.cast("string"), F.lit(":"), (start + F.length("body")).cast("string")).alias("span"))
+        return table.select("conv_id", F.when(F.col("speaks"), F.col("role")).alias("speaker"), piece.alias("piece"))
+
+    every = Window.partitionBy("conv_id").orderBy("at")
+    same = Window.partitionBy("conv_id", "role").orderBy("at")
+    numbered = own.where("conv_id is not null").withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
+    numbered = numbered.withColumn("before", F.sum(size).over(every.rowsBetween(Window.unboundedPreceding, 0)) - size).withColumn("earlier", F.row_number().over(same) - 1)
+    gathered = placed(numbered, F.col("before"), F.col("earlier"), F.col("at")).groupBy("conv_id").agg(F.array_sort(F.collect_list("piece")).alias("_turns"), F.collect_set("speaker").alias("_speakers"))
+    lone = placed(own.where("conv_id is null"), F.lit(0), F.lit(0), F.lit(1)).select("conv_id", F.array("piece").alias("_turns"), F.array_compact(F.array("speaker")).alias("_speakers"))
+    both = gathered.unionByName(lone).select("conv_id", "_turns", F.explode("_speakers").alias("speaker"))
+
+    def rendered(t: Column) -> Column:
+        return F.concat(F.lit(BEGIN), F.when(t.role.eqNullSafe(F.col("speaker")), F.lit("assistant")).otherwise(t.who), F.lit("\n"), t.body, F.lit("\n"))
+
+    mask = F.array_join(F.transform(F.filter("_turns", lambda t: t.role.eqNullSafe(F.col("speaker"))), lambda t: t.span), ",")
+    return both.select("conv_id", "speaker", F.size("_turns").alias("turns"), F.array_join(F.transform("_turns", rendered), "").alias("text"), mask.alias("mask"))
 
 
 def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,20 +76,20 @@ def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, role, coalesce(CAST(floor(turn / 1024) AS BIGINT), 9223372036854775807) AS part,
+  SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), 'row ' || row_number() OVER ()) AS dialogue, turn, role,
     replace(replace(coalesce(text, ''), '<|im_start|>', '<|im_start >'), '<|im_end|>', '<|im_end >') AS text, text AS raw FROM conversations
-), s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role IS NOT NULL AND role <> 'system'),
+), s AS (SELECT DISTINCT dialogue, role AS speaker FROM t WHERE role IS NOT NULL AND role <> 'system'),
 p AS (
-  SELECT t.conv_id, speaker, part, turn, role, raw, role IS NOT DISTINCT FROM speaker AS said,
+  SELECT t.dialogue, conv_id, speaker, turn, role, raw, role IS NOT DISTINCT FROM speaker AS said,
     '<|im_start|>' || CASE WHEN role IS NULL THEN 'user name=unknown' WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system'
       ELSE 'user name=' || regexp_replace(replace(replace(role, '<|im_start|>', '<|im_start >'), '<|im_end|>', '<|im_end >'), '[ \t\r\n]+', '_', 'g') END || chr(10) AS head,
     text || '<|im_end|>' AS body
-  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+  FROM t JOIN s ON t.dialogue = s.dialogue
 ), o AS (
   SELECT *, row_number() OVER w AS rn, coalesce(sum(len(head) + len(body) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM p WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS LAST, role NULLS FIRST, raw NULLS FIRST)
+  FROM p WINDOW w AS (PARTITION BY dialogue, speaker ORDER BY turn NULLS LAST, role NULLS FIRST, raw NULLS FIRST)
 )
-SELECT conv_id, speaker, part, CAST(count(*) AS INTEGER) AS turns, string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
+SELECT conv_id, speaker, CAST(count(*) AS INTEGER) AS turns, string_agg(head || body || chr(10), '' ORDER BY rn) AS text,
   coalesce(string_agg(CAST(pos + len(head) AS BIGINT) || ':' || CAST(pos + len(head) + len(body) AS BIGINT), ',' ORDER BY rn) FILTER (WHERE said), '') AS mask
-FROM o GROUP BY conv_id, speaker, part
+FROM o GROUP BY dialogue, conv_id, speaker
 """

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 HEAVY = 10_000
 
 
-def join_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``keyed``, which has one row for each key and the number ``count`` of the rows with it.
+def join_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (``inner``, or ``left`` for all rows) of ``rows`` with ``keyed``, which has one row for each key and the number ``count`` of the rows with it.
 
     Keys with ``total / HEAVY`` rows or more are at most ``HEAVY`` by arithmetic
     (their counts add up to no more than ``total``, the number of ``rows``): their few rows are broadcast and
@@ -21,5 +21,5 @@ def join_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str,
     heavy = keyed.where(F.col(count) >= least).drop(count)
     light = keyed.where(F.col(count) < least).drop(count)
     here = rows.join(F.broadcast(heavy), keys)
-    there = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("merge"), keys)
+    there = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("merge"), keys, how)
     return here.unionByName(there)

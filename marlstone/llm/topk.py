@@ -6,7 +6,10 @@ score. In every other bucket the floor over the product of the lengths is the co
 a candidate must reach there: above 1 the bucket is passed over for this query;
 where it is high, a few of the query's largest coordinates confine the candidates'
 coordinates; where it is low, length alone prunes. What is left is multiplied out.
-Queries meet buckets as blocks of bounded size; no pair of rows is a row.
+A bucket is a block of bounded size, cut from one sorted order, so a hot length or
+vector fills several. Queries are blocked by the length they need of a candidate: a
+block of queries then reaches a run of buckets from the longest on, and a bucket is
+sent to those blocks of queries alone that reach it. No pair of rows is a row.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.storage import stage_table
 
-#: Rows of a candidate block and of a query block.
-BLOCK, QUERIES = 4096, 1024
+#: Rows of a candidate block and of a query block, and queries multiplied at once.
+BLOCK, QUERIES, AT_ONCE = 8192, 4096, 512
 #: From this local cosine threshold on, coordinates prune; below it, lengths do.
 HIGH, FOCUS = 0.5, 3
 _FOUND = "query_id long, vec_id long, score long"
@@ -30,11 +33,12 @@ _FOUND = "query_id long, vec_id long, score long"
 def whole_vectors(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
     """``vec_id, ints, norm2``: components ``floor(scale * x)``; vectors that are null or hold null or non-finite components are left out.
 
-    Components beyond 2^53 are no exact doubles and are kept as the double's whole value, up to the range of a long.
+    Components beyond 2^53 are no exact doubles and are kept as the double's whole value; one of 2^62 or more is an error.
     """
     double = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     sound = F.col(vec_col).isNotNull() & F.forall(double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    ints = F.transform(double, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
+    much = F.raise_error(F.lit("a scaled component of 2^62 or more")).cast("long")
+    ints = F.transform(double, lambda x: F.when(F.abs(x * F.lit(float(scale))) < float(1 << 62), F.floor(x * F.lit(float(scale))).cast("long")).otherwise(much))
     out = vectors.where(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("ints"))
     return out.withColumn("norm2", F.aggregate("ints", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
@@ -49,11 +53,16 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows; doubles where they are exact, since these multiply faster."""
+    """Exact inner products of rows; doubles where they are exact, since these multiply faster. A product past 64 bits is an OverflowError."""
     bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if bound < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if bound < 2**62:
+        return a @ b.T
+    whole = a.astype(object) @ b.astype(object).T
+    if whole.size and (whole.max() >= 1 << 63 or whole.min() < -(1 << 63)):
+        raise OverflowError("an inner product does not fit 64 bits")
+    return whole.astype(np.int64)
 
 
 def best_in_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -84,11 +93,11 @@ def best_in_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.Data
         parts.append((np.full(len(at), q_ids[q]), ids[at], scores))
 
     chosen = np.flatnonzero(plain)
-    if len(chosen):
-        scores = _products(q_all[chosen], c)
-        everyone = np.arange(len(ids))
-        for row, q in enumerate(chosen):
-            keep(q, everyone, scores[row])
+    everyone = np.arange(len(ids))
+    for begin in range(0, len(chosen), AT_ONCE):
+        some = chosen[begin : begin + AT_ONCE]
+        for q, scores in zip(some, _products(q_all[some], c), strict=True):
+            keep(q, everyone, scores)
     slack = 1e-9
     for q in np.flatnonzero(~plain):
         if local[q] > 1 + slack:
@@ -122,12 +131,33 @@ def _meet(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def _against(queries: DataFrame, blocks: DataFrame, query_blocks: int, k: int) -> DataFrame:
-    """``queries`` (with ``_block``) against ``blocks``: one task group for each block of candidates and block of queries."""
+def _against(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """``queries`` (a row for each ``_b`` that the block ``_q`` of queries meets) against ``blocks`` (a row for each ``_q`` that meets them)."""
     # fresh columns on either side: both stem from one table
-    candidates = blocks.select(F.col("_block").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("_part"), *[F.col(c).alias(f"_{c}") for c in ("vec_id", "ints", "norm2")])
-    asked = queries.select("_block", "_q", *[F.expr(f"{c} as {c}") for c in queries.columns if c not in ("_block", "_q")])
-    return asked.groupBy("_block", "_q").cogroup(candidates.groupBy("_b", "_part")).applyInPandas(_meet(k), _FOUND)
+    candidates = blocks.select(F.col("_b").alias("_b2"), F.col("_q").alias("_q2"), *[F.col(c).alias(f"_{c}") for c in ("vec_id", "ints", "norm2")])
+    asked = queries.select("_b", "_q", *[F.expr(f"{c} as {c}") for c in queries.columns if c not in ("_b", "_q")])
+    return asked.groupBy("_b", "_q").cogroup(candidates.groupBy("_b2", "_q2")).applyInPandas(_meet(k), _FOUND)
+
+
+def _blocked(table: DataFrame, rows: int, most: int, order: list, name: str) -> DataFrame:
+    """The table in blocks of about ``most`` rows, numbered in ``order``: range partitions, written once."""
+    parts = max(1, -(-rows // most))
+    return stage_table(table.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()), "blocks")
+
+
+def _reached(blocks: DataFrame, asking: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each block of queries the number of blocks it reaches (``_q, _blocks``), and for each block that of the blocks of queries which reach it (``_b, _asking``).
+
+    Both are runs from the first on, since blocks come by falling length and blocks of queries by rising need:
+    counts along one order, over as many rows as there are blocks.
+    """
+    longest = blocks.groupBy("_b").agg((F.sqrt(F.max("norm2")) * (1 + 1e-9)).alias("_at"))
+    needs = asking.groupBy("_q").agg(F.min("_need").alias("_at"))
+    both = longest.select("_at", F.lit(1).alias("_is_block"), F.col("_b").alias("_n")).unionByName(needs.select("_at", F.lit(0).alias("_is_block"), F.col("_q").alias("_n")))
+    falling = Window.orderBy(F.desc("_at"), F.desc("_is_block")).rowsBetween(Window.unboundedPreceding, 0)
+    rising = Window.orderBy("_at", "_is_block").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_before", F.sum("_is_block").over(falling)).withColumn("_under", F.sum(1 - F.col("_is_block")).over(rising))
+    return both.where("_is_block = 0").select(F.col("_n").alias("_q"), F.col("_before").alias("_blocks")), both.where("_is_block = 1").select(F.col("_n").alias("_b"), F.col("_under").alias("_asking"))
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -142,41 +172,40 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
     those of the query's own id; ties go to the smaller id. Vectors that are null or hold a
     null or non-finite component, and rows without an id, take no part. A shorter vector
     counts as ended by zeros; one without components scores 0. Repeated rows are
-    candidates as often as they occur; of query rows that share an id, the least vector asks. Fewer than ``k`` candidates are all returned; an
+    candidates as often as they occur; of query rows that share an id, the least vector asks. A score past
+    64 bits is an error. Fewer than ``k`` candidates are all returned; an
     empty table has an empty result; other columns are ignored.
     """
     table = stage_table(whole_vectors(vectors.select(id_col, vec_col), scale, id_col, vec_col), "vectors")
     rows = table.count()
     queries = table.where(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min(F.struct("ints", "norm2")).alias("_v")).select("vec_id", "_v.*")
-    query_blocks = max(1, -(-queries.count() // QUERIES))
-    buckets = max(1, -(-rows // BLOCK))
-    # lengths that part the rows evenly, longest first; equal lengths past a block's size are dealt on by id
-    edges = sorted(set(table.approxQuantile("norm2", [i / buckets for i in range(1, buckets)], 0.1 / buckets)), reverse=True) if buckets > 1 else []
-    bucket = F.lit(len(edges)) - F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("norm2"))) if edges else F.lit(0)
-    table = table.withColumn("_bucket", bucket)
-    sizes = {r["_bucket"]: (r["n"], r["longest"]) for r in table.groupBy("_bucket").agg(F.count("*").alias("n"), F.max("norm2").alias("longest")).collect()}
-    if not sizes:
-        return table.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).where("false")
-    deal, start = {}, 0
-    for b in sorted(sizes):
-        deal[b] = (start, -(-sizes[b][0] // (2 * BLOCK)))
-        start += deal[b][1]
-    first_of = F.element_at(F.array(*[F.lit(deal.get(b, (0, 1))[0]) for b in range(len(edges) + 1)]), F.col("_bucket") + 1)
-    ways = F.element_at(F.array(*[F.lit(deal.get(b, (0, 1))[1]) for b in range(len(edges) + 1)]), F.col("_bucket") + 1)
-    blocks = table.withColumn("_block", first_of + F.pmod(F.xxhash64("vec_id"), ways).cast("int"))
-    longest = [sizes[b][1] for b in sorted(sizes) for _ in range(deal[b][1])]
-    # the floor: the k-th score among the longest bucket's first block
-    q = queries.withColumn("_q", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
-    seeds = stage_table(_top(_against(q.withColumn("_block", F.lit(0)), blocks.where("_block = 0"), query_blocks, k), k), "seeds")
+    queries = stage_table(queries, "queries")
+    asked = queries.count()
+    # equal lengths are parted by id; the first block holds the longest vectors
+    blocks = _blocked(table, rows, BLOCK, [F.desc("norm2"), F.asc("vec_id")], "_b")
+    first, rest = blocks.where("_b = 0"), blocks.where("_b > 0")
+    # the floor: the k-th score in the first block, which meets every block of queries
+    parts = max(1, -(-asked // QUERIES))
+    q = queries.select(F.lit(0).alias("_b"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("_q"), "*")
+    seeds = _against(q, first.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), k)
+    seeds = stage_table(_top(seeds, k), "seeds")
     floors = seeds.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor")).dropDuplicates(["vec_id"])
-    q = q.join(floors, "vec_id", "left")
-    if len(longest) > 1:
-        bound = F.array(*[F.lit(float(x)) for x in longest[1:]])
-        # block b stays where |q| |v| can reach the floor
-        reach = F.filter(F.sequence(F.lit(1), F.lit(len(longest) - 1)), lambda b: F.col("floor").isNull() | (F.col("floor") <= 0) | (F.sqrt("norm2") * F.sqrt(F.element_at(bound, b)) * (1 + 1e-9) >= F.col("floor")))
-        rest = _against(q.withColumn("_block", F.explode(reach)), blocks.where("_block > 0"), query_blocks, k)
-        seeds = seeds.select("query_id", "vec_id", "score").unionByName(rest)
-    return _top(seeds.select("query_id", "vec_id", "score"), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    need = F.when((F.col("floor") > 0) & (F.col("norm2") > 0), F.col("floor") / F.sqrt("norm2")).otherwise(0.0)
+    asking = _blocked(queries.join(floors, "vec_id", "left").withColumn("_need", need), asked, QUERIES, [F.col("_need"), F.col("vec_id")], "_q")
+    reach, asked_by = _reached(rest, asking)
+    # a block of queries meets the blocks 1 to its last; a block meets the blocks of queries 0 to its last
+    numbered = reach.where("_blocks > 0").select("_q", F.explode(F.sequence(F.lit(1), F.col("_blocks").cast("int"))).alias("_rank"))
+    order = _ranks(rest, "_b")
+    meets = numbered.join(order, "_rank").select("_q", "_b")
+    likes = asked_by.where("_asking > 0").select("_b", F.explode(F.sequence(F.lit(1), F.col("_asking").cast("int"))).alias("_rank")).join(_ranks(asking, "_q"), "_rank").select("_b", "_q")
+    found = _against(asking.join(meets, "_q").drop("_need"), rest.join(likes, "_b"), k)
+    every = seeds.select("query_id", "vec_id", "score").unionByName(found)
+    return _top(every, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _ranks(table: DataFrame, name: str) -> DataFrame:
+    """``_rank, name``: the blocks that have rows, counted from 1."""
+    return table.select(name).distinct().select(F.row_number().over(Window.orderBy(name)).alias("_rank"), name)
 
 
 def op6_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.storage import fresh_path, stage_table
+from marlstone.llm.heavy import join_by_key
+from marlstone.llm.storage import fresh_path, small_batches, stage_table
 
 #: Bytes after which a task begins another archive; gap that a read bridges; bytes of one read.
 FILE_BYTES, GAP, READ_BYTES = 256 << 20, 64 << 10, 8 << 20
+#: Bytes of archives that one reading task is meant to have.
+TASK_BYTES = 8 << 20
 #: All records carry one date: equal pages give equal archives.
 DATE = "2024-01-01T00:00:00Z"
 _INDEX = "page_id long, url string, digest string, file string, offset long, length long, record_type string"
@@ -133,10 +136,12 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_
     table has an empty index.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     html = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.sha1(html).alias("_sha"), F.octet_length(html).alias("_n"))
-    owners = source.select("page_id", "_sha", "_n").where(F.col("_n") >= min_bytes).groupBy("_sha").agg(F.min("page_id").alias("_owner"), F.count("*").alias("_copies")).where("_copies > 1 and _owner is not null").drop("_copies")
-    marked = source.join(owners, "_sha", "left")
+    owners = source.select("page_id", "_sha", "_n").where(F.col("_n") >= min_bytes).groupBy("_sha").agg(F.min("page_id").alias("_owner"), F.count("*").alias("_copies")).where("_copies > 1 and _owner is not null")
+    # a payload that very many pages share finds its owner where the pages lie
+    marked = join_by_key(source, stage_table(owners, "owners"), ["_sha"], "_copies", pages.count(), "left")
     refers_to = F.when(F.col("_owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_owner")), F.col("_owner"))
     rows = marked.select("page_id", "url", "html", refers_to.alias("refers_to"))
     return stage_table(rows.mapInArrow(_write(fresh_path(spark, "warc"), file_bytes), _INDEX), "warc-index")
@@ -168,8 +173,13 @@ def _read(payloads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the index rows given (all, or a selection), read by coalesced ranges of each file."""
-    ranges = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    """The records of the index rows given (all, or a selection), read by coalesced ranges of each file.
+
+    Tasks are as many as the bytes of the records ask for; each has a run of the order by file and offset, also within one file.
+    """
+    small_batches(index.sparkSession)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    ranges = index.select("file", "offset", "length").repartitionByRange(max(1, -(-total // TASK_BYTES)), "file", "offset").sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return ranges.mapInArrow(_read(payloads), schema + (", payload binary" if payloads else ""))
 

@@ -58,6 +58,14 @@ def test_topk_prunes_by_both_rules_exactly():
         assert set(got.itertuples(index=False, name=None)) == want
 
 
+def test_topk_beyond_64_bits():
+    big = np.array([[1 << 40, 3]], np.int64)
+    assert topk._products(big, np.array([[1 << 21, 5], [-(1 << 21), 1]], np.int64)).tolist() == [[(1 << 61) + 15, -(1 << 61) + 3]]
+    assert topk._products(np.array([[1 << 61, 1 << 61]], np.int64), np.array([[2, -1]], np.int64)).tolist() == [[1 << 61]]
+    with pytest.raises(OverflowError):
+        topk._products(np.array([[3_000_000_000 * 64] * 2], np.int64), np.array([[3_000_000_000 * 64] * 2], np.int64))
+
+
 # ------------------------------------------------------------------ WARC
 def _pages(spark):
     rows = [(3, "http://a/3", "same"), (1, "http://a/1", "same"), (2, None, None), (4, "http://b", ""), (None, "http://n", "same"), (5, "http://c/ü", "ü\r\n\r\nx"), (1, "http://a/1", "same"), (6, "http://d", "y" * 300_000)]
@@ -77,6 +85,18 @@ def test_archives_round_trip(spark):
     assert warc.read_records(warc.write_archives(_pages(spark).where("false"))).count() == 0
 
 
+def test_many_archives_are_read_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 20_000)
+    rng = np.random.default_rng(1)
+    rows = [(i, f"http://x/{i}", rng.bytes(1500).hex() if i % 3 else "hot page " * 20) for i in range(300)]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), file_bytes=50_000)
+    assert index.select("file").distinct().count() > 6
+    read = warc.read_records(index)
+    assert read.rdd.getNumPartitions() > 10
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], bytes(r["payload"] or b"").decode()) for r in read.collect()}
+    assert got == {i: ("response", None, h) if i % 3 or i == 0 else ("revisit", 0, "") for i, _, h in rows}
+
+
 def test_ranges_are_coalesced():
     offsets, lengths = np.array([0, 10, 30, 1000, 1010]), np.array([10, 10, 5, 10, 10])
     assert warc.coalesce_ranges(offsets, lengths, gap=20, most=100) == [(0, 3), (3, 5)]
@@ -94,22 +114,33 @@ def test_damage_is_noticed():
 # ------------------------------------------------------------------ chat
 def test_every_participant_is_the_assistant_once(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi <|im_end|> there"), (1, 2, "bo b", "Hello"), (1, 3, "ann", None), (1, None, None, "late"), (2, 0, "system", "alone"), (None, 0, "cy", "é"), (None, 0, "cy", "é")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, part int")
-    out = {(r["conv_id"], r["speaker"], r["part"]): r for r in chat.rotate_perspectives(df).collect()}
-    late = (1 << 63) - 1
-    assert set(out) == {(1, "ann", 0), (1, "bo b", 0), (1, "ann", late), (1, "bo b", late), (None, "cy", 0)}
-    ann = out[1, "ann", 0]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, at int, speaker string")
+    found = chat.rotate_perspectives(df).collect()
+    out = {(r["conv_id"], r["speaker"]): r for r in found}
+    assert set(out) == {(1, "ann"), (1, "bo b"), (None, "cy")} and len(found) == 4
+    ann = out[1, "ann"]
     assert ann["text"] == (
         "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>assistant\nHi <|im_end > there<|im_end|>\n"
-        "<|im_start|>user name=bo_b\nHello<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+        "<|im_start|>user name=bo_b\nHello<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>user name=unknown\nlate<|im_end|>\n"
     )
     spans = [tuple(map(int, s.split(":"))) for s in ann["mask"].split(",")]
-    assert [ann["text"][a:b] for a, b in spans] == ["Hi <|im_end > there<|im_end|>", "<|im_end|>"]
-    assert out[1, "ann", late]["text"] == "<|im_start|>user name=unknown\nlate<|im_end|>\n" and out[1, "ann", late]["mask"] == ""
-    assert out[None, "cy", 0]["turns"] == 2
+    assert [ann["text"][a:b] for a, b in spans] == ["Hi <|im_end > there<|im_end|>", "<|im_end|>"] and ann["turns"] == 5
+    assert out[None, "cy"]["turns"] == 1 and out[None, "cy"]["text"][slice(*map(int, out[None, "cy"]["mask"].split(":")))] == "é<|im_end|>"
     assert chat.rotate_perspectives(df.where("false")).count() == 0
 
 
+def test_a_long_dialogue_is_one_row(spark):
+    rows = [(7, t, ("ann", "bo", "system")[t % 3], f"says {t} " + "ü" * (t % 5)) for t in range(3000)] + [(7, 5, "bo", "tie")] * 2 + [(8, 1, "cy", "long " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r["speaker"]: r for r in chat.rotate_perspectives(df.repartition(5)).collect()}
+    assert set(out) == {"ann", "bo", "cy"} and out["ann"]["turns"] == out["bo"]["turns"] == 3002
+    for who in ("ann", "bo"):
+        spans = [tuple(map(int, s.split(":"))) for s in out[who]["mask"].split(",")]
+        said = sorted((t, r, x) for _, t, r, x in rows if r == who)
+        assert [out[who]["text"][a:b] for a, b in spans] == [x + "<|im_end|>" for _, _, x in said]
+    assert len(out["cy"]["text"]) > 1_000_000
+
+
 # ------------------------------------------------------------------ components
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7), (None, 3)]
