@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.sharding import number_rows
 from marlstone.llm.storage import stage_table
 
 #: Rows of a candidate block and of a query block, and queries multiplied at once.
@@ -80,11 +81,19 @@ def best_in_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.Data
     plain = ~(local > 0)
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+    bound = float(np.abs(q_all).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, width)
+    doubles = (q_all.astype(np.float64), c.astype(np.float64)) if bound < 2**53 else None
+    slack = 1e-9
+
+    def multiply(some: np.ndarray | list[int], at: np.ndarray | slice) -> np.ndarray:
+        return _products(q_all[some], c[at]) if doubles is None else doubles[0][some] @ doubles[1][at].T
+
     def keep(q: int, at: np.ndarray, scores: np.ndarray) -> None:
-        ok = ids[at] != q_ids[q]
         if not np.isnan(floors[q]):
-            ok &= scores >= floors[q]
-        at, scores = at[ok], scores[ok]
+            over = np.flatnonzero(scores >= floors[q])
+            at, scores = at[over], scores[over]
+        ok = ids[at] != q_ids[q]
+        at, scores = at[ok], scores[ok].astype(np.int64)
         if len(at) > k:
             edge = np.partition(scores, len(scores) - k)[len(scores) - k]
             at, scores = at[scores >= edge], scores[scores >= edge]
@@ -92,30 +101,36 @@ def best_in_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.Data
             at, scores = at[order], scores[order]
         parts.append((np.full(len(at), q_ids[q]), ids[at], scores))
 
-    chosen = np.flatnonzero(plain)
-    everyone = np.arange(len(ids))
-    for begin in range(0, len(chosen), AT_ONCE):
-        some = chosen[begin : begin + AT_ONCE]
-        for q, scores in zip(some, _products(q_all[some], c), strict=True):
-            keep(q, everyone, scores)
-    slack = 1e-9
-    for q in np.flatnonzero(~plain):
-        if local[q] > 1 + slack:
+    # how many of the longest candidates a query may meet: all, or those of |v| >= floor / |q|
+    need = np.where(plain, 0, floors / np.maximum(q_len, 1e-300))
+    reach = np.where(plain, len(ids), np.searchsorted(-lengths, -need * (1 - slack), side="right"))
+    reach[~plain & (local > 1 + slack)] = 0
+    together = []
+    for q in np.flatnonzero(reach):
+        if local[q] < HIGH or plain[q]:
+            together.append(q)
             continue
-        need = floors[q] / q_len[q]
-        at = np.arange(np.searchsorted(-lengths, -need * (1 - slack), side="right"))  # length: |v| >= floor / |q|
-        if local[q] >= HIGH and len(at):
-            # a unit vector within the threshold t of unit q has its coordinate f in q_f*t -+ sqrt((1-t^2)(1-q_f^2))
-            direction = q_all[q] / q_len[q]
-            t = min(1.0, local[q])
-            for f in np.argsort(-np.abs(direction))[:FOCUS]:
-                spread = np.sqrt(max(0.0, (1 - t * t) * (1 - direction[f] ** 2))) + slack
-                low = direction[f] * t - spread if -direction[f] < t else -1 - slack
-                high = direction[f] * t + spread if direction[f] < t else 1 + slack
-                x = unit[at, f]
-                at = at[(x >= low) & (x <= high)]
-        if len(at):
-            keep(q, at, _products(q_all[q : q + 1], c[at])[0])
+        # a unit vector within the threshold t of unit q has its coordinate f in q_f*t -+ sqrt((1-t^2)(1-q_f^2))
+        at = np.arange(reach[q])
+        direction = q_all[q] / q_len[q]
+        t = min(1.0, local[q])
+        for f in np.argsort(-np.abs(direction))[:FOCUS]:
+            spread = np.sqrt(max(0.0, (1 - t * t) * (1 - direction[f] ** 2))) + slack
+            low = direction[f] * t - spread if -direction[f] < t else -1 - slack
+            high = direction[f] * t + spread if direction[f] < t else 1 + slack
+            x = unit[at, f]
+            at = at[(x >= low) & (x <= high)]
+        if len(at) * 8 > reach[q]:
+            together.append(q)  # coordinates say little here: multiplied along with the others
+        elif len(at):
+            keep(q, at, multiply([q], at)[0])
+    together = np.array(together, int)
+    together = together[np.argsort(reach[together], kind="stable")]
+    everyone = np.arange(len(ids))
+    for begin in range(0, len(together), AT_ONCE):
+        some = together[begin : begin + AT_ONCE]
+        for q, scores in zip(some, multiply(some, slice(0, reach[some[-1]])), strict=True):
+            keep(q, everyone[: reach[q]], scores[: reach[q]])
     if not parts:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
     columns = [np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3)]
@@ -139,10 +154,10 @@ def _against(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     return asked.groupBy("_b", "_q").cogroup(candidates.groupBy("_b2", "_q2")).applyInPandas(_meet(k), _FOUND)
 
 
-def _blocked(table: DataFrame, rows: int, most: int, order: list, name: str) -> DataFrame:
-    """The table in blocks of about ``most`` rows, numbered in ``order``: range partitions, written once."""
-    parts = max(1, -(-rows // most))
-    return stage_table(table.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()), "blocks")
+def _blocked(table: DataFrame, rows: int, most: int, order: list[str], name: str) -> DataFrame:
+    """The table in blocks of ``most`` rows (the last has fewer), numbered from 0 in ``order``."""
+    numbered = number_rows(table, order, rows).withColumn(name, F.floor(F.col("_row") / most).cast("int")).drop("_row")
+    return stage_table(numbered, "blocks")
 
 
 def _reached(blocks: DataFrame, asking: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +197,7 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
     queries = stage_table(queries, "queries")
     asked = queries.count()
     # equal lengths are parted by id; the first block holds the longest vectors
-    blocks = _blocked(table, rows, BLOCK, [F.desc("norm2"), F.asc("vec_id")], "_b")
+    blocks = _blocked(table.withColumn("_short", -F.col("norm2")), rows, BLOCK, ["_short", "vec_id"], "_b").drop("_short")
     first, rest = blocks.where("_b = 0"), blocks.where("_b > 0")
     # the floor: the k-th score in the first block, which meets every block of queries
     parts = max(1, -(-asked // QUERIES))
@@ -191,23 +206,16 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
     seeds = stage_table(_top(seeds, k), "seeds")
     floors = seeds.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor")).dropDuplicates(["vec_id"])
     need = F.when((F.col("floor") > 0) & (F.col("norm2") > 0), F.col("floor") / F.sqrt("norm2")).otherwise(0.0)
-    asking = _blocked(queries.join(floors, "vec_id", "left").withColumn("_need", need), asked, QUERIES, [F.col("_need"), F.col("vec_id")], "_q")
+    asking = _blocked(queries.join(floors, "vec_id", "left").withColumn("_need", need), asked, QUERIES, ["_need", "vec_id"], "_q")
     reach, asked_by = _reached(rest, asking)
     # a block of queries meets the blocks 1 to its last; a block meets the blocks of queries 0 to its last
-    numbered = reach.where("_blocks > 0").select("_q", F.explode(F.sequence(F.lit(1), F.col("_blocks").cast("int"))).alias("_rank"))
-    order = _ranks(rest, "_b")
-    meets = numbered.join(order, "_rank").select("_q", "_b")
-    likes = asked_by.where("_asking > 0").select("_b", F.explode(F.sequence(F.lit(1), F.col("_asking").cast("int"))).alias("_rank")).join(_ranks(asking, "_q"), "_rank").select("_b", "_q")
+    meets = reach.where("_blocks > 0").select("_q", F.explode(F.sequence(F.lit(1), F.col("_blocks").cast("int"))).alias("_b"))
+    likes = asked_by.where("_asking > 0").select("_b", F.explode(F.sequence(F.lit(0), F.col("_asking").cast("int") - 1)).alias("_q"))
     found = _against(asking.join(meets, "_q").drop("_need"), rest.join(likes, "_b"), k)
     every = seeds.select("query_id", "vec_id", "score").unionByName(found)
     return _top(every, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _ranks(table: DataFrame, name: str) -> DataFrame:
-    """``_rank, name``: the blocks that have rows, counted from 1."""
-    return table.select(name).distinct().select(F.row_number().over(Window.orderBy(name)).alias("_rank"), name)
-
-
 def op6_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20, against all embeddings: 20 best."""
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
