@@ -51,17 +51,28 @@ def squeeze_lines(c: Column) -> Column:
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
+def _folding() -> tuple[str, str]:
+    """Typographic variants by the plain character they become; zero-width characters, listed last, go."""
+    def chars(*codes: int | tuple[int, int]) -> str:
+        return "".join(chr(c) if isinstance(c, int) else "".join(map(chr, range(c[0], c[1] + 1))) for c in codes)
+
+    classes = [
+        (" ", chars(0xA0, 0x1680, (0x2000, 0x200A), 0x202F, 0x205F, 0x3000)),
+        ("-", chars((0x2010, 0x2015), 0x2212, 0xFE58, 0xFE63, 0xFF0D)),
+        ("~", chars(0x223C, 0x2DC, 0xFF5E)),
+        ("'", chars((0x2018, 0x201B), 0x2032)),
+        ('"', chars((0x201C, 0x201F), 0x2033)),
+        ("/", chars(0x2044, 0x2215, 0xFF0F)),
+        (",", chars(0x60C, 0x3001, 0xFF0C)),
+        ("·", chars(0x2022, 0x2219, 0x22C5, 0x30FB)),
+    ]
+    gone = chars((0x200B, 0x200D), 0x2060, 0xFEFF)
+    return "".join(c for _, c in classes) + gone, "".join(to * len(c) for to, c in classes)
+
+
 def fold_unicode(c: Column) -> Column:
-    """Typographic variants to plain characters: spaces, dashes, tildes, quotes, slashes, commas, middle dots; zero-width characters go."""
-    out = F.regexp_replace(c, "[   -   　]", " ")
-    out = F.regexp_replace(out, "[​-‍⁠﻿]", "")
-    out = F.regexp_replace(out, "[‐-―−﹘﹣－]", "-")
-    out = F.regexp_replace(out, "[∼˜～]", "~")
-    out = F.regexp_replace(out, "[‘’‚‛′]", "'")
-    out = F.regexp_replace(out, "[“”„‟″]", '"')
-    out = F.regexp_replace(out, "[⁄∕／]", "/")
-    out = F.regexp_replace(out, "[،、，]", ",")
-    return F.regexp_replace(out, "[•∙⋅・]", "·")
+    """Typographic variants to plain characters: spaces, dashes, tildes, quotes, slashes, commas, middle dots; zero-width characters go. One pass."""
+    return F.translate(c, *_folding())
 
 
 def strip_tail(c: Column, markers: Sequence[str] = ("references", "reference"), share: float = 0.4) -> Column:
@@ -82,7 +93,8 @@ def sentences(c: Column) -> Column:
 
 def keyword_hits(text: Column, words: Sequence[str]) -> Column:
     """The words, in their order, that occur anywhere in the (lower-case) text."""
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda k: F.contains(text, F.lower(k)))
+    pairs = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(w.lower()).alias("k")) for w in words])
+    return F.transform(F.filter(pairs, lambda p: F.contains(text, p.k)), lambda p: p.w)
 
 
 def pattern_hits(text: Column, labelled: Sequence[tuple[str, str]]) -> Column:
@@ -136,9 +148,10 @@ def is_supplement(filename: Column) -> Column:
 
 
 def dedupe_scalar(c: Column) -> Column:
-    """``x x x`` to ``x`` where all tokens are equal."""
+    """``x x x`` to ``x`` where all tokens are equal, and a number to itself where it alone is repeated, blanks between or not."""
     parts = F.split(collapse(c), " ")
-    return F.when(F.size(F.array_distinct(parts)) == 1, parts[0]).otherwise(collapse(c))
+    number = F.regexp_extract(collapse(c), r"^([0-9]+(?:\.[0-9]+)?)\s+(?:\1\s*)+$", 1)
+    return F.when(F.size(F.array_distinct(parts)) == 1, parts[0]).when(number != "", number).otherwise(collapse(c))
 
 
 def first_number(c: Column) -> Column:
@@ -226,3 +239,127 @@ def chi2_survival(x: Column, df: int) -> Column:
     for k in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
         poly = poly * t + k
     return t * F.exp(-z * z + poly)
+
+
+def plain_filename(c: Column) -> Column:
+    """A file name without the words for "main text, original" before it; null counts as empty."""
+    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), "^主文[\\s_-]*原始[\\s_-]*", ""))
+
+
+#: Base materials, in the order in which a suffix is tried; names of modified bases.
+FAMILIES = ["PBC", "BC", "DC", "HC", "SC", "MB"]
+FAMILY_ALIASES = {"APBC": "PBC", "OPBC": "PBC"}
+
+
+def sample_family(c: Column) -> Column:
+    """The base material of a sample id: an alias, the id itself, one of its tokens, its end, or else its letters and digits; blank gives an empty text."""
+    sid = F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", ""))
+    known = F.array(*[F.lit(f) for f in [*FAMILIES, *FAMILY_ALIASES]])
+
+    def base(x: Column) -> Column:
+        return F.coalesce(*[F.when(x == alias, F.lit(of)) for alias, of in FAMILY_ALIASES.items()], x)
+
+    token = F.get(F.filter(F.split(sid, "[-_/]+"), lambda t: F.array_contains(known, t)), F.lit(0))
+    compact = F.regexp_replace(sid, "[^A-Z0-9]", "")
+    out = F.when(F.array_contains(known, sid), base(sid)).when(token.isNotNull(), base(token))
+    for family in FAMILIES:
+        out = out.when(compact.endswith(family) & (compact != family), F.lit(family))
+    # an id of one letter and a family ends in that family, so it needs no rule of its own
+    return out.when(compact != "", compact).otherwise(sid)
+
+
+def is_base_of(c: Column, family: Column) -> Column:
+    """An id that is its family's name and nothing else."""
+    return (sample_key(c) == sample_key(family)) & (sample_key(c) != "")
+
+
+def pick_url(doi: Column, link: Column) -> Column:
+    """A link with a scheme as it is, else the DOI's resolver address, else the link."""
+    d, u = strip(F.coalesce(doi, F.lit(""))), strip(F.coalesce(link, F.lit("")))
+    return F.when(u.rlike("^https?://"), u).when(d != "", F.concat(F.lit("https://doi.org/"), d)).otherwise(u)
+
+
+def plain_markup(c: Column) -> Column:
+    """Table markup without layout attributes and elements; italic, bold and lowered text loses its tags and keeps its content; lines are not left empty."""
+    out = F.regexp_replace(c, ' (xmlns|id|view|nameend|namest|valign)="[^"]+"', "")
+    for element in ("(?:ce:)?hsp", "vsp", "colspec"):
+        out = F.regexp_replace(out, f"<{element}[^>]*>.*?</{element}>", "")
+    for element, attributes in (("italic", ""), ("bold", ""), ("inf", ' loc="post"')):
+        out = F.regexp_replace(out, f"<(?:ce:)?{element}{attributes}>(.*?)</(?:ce:)?{element}>", "$1")
+    return F.regexp_replace(F.regexp_replace(out, ' (frame|loc)="[^"]+"', ""), "\n+", "\n")
+
+
+#: Extensions of files that are worth having, and what a content type says, in order.
+FILE_EXTENSIONS = [".pdf", ".doc", ".docx", ".xls", ".xlsx", ".csv", ".zip", ".rar", ".txt", ".ppt", ".pptx", ".tsv", ".jpg", ".jpeg", ".png"]
+CONTENT_TYPES = [
+    ("pdf", ".pdf"), ("word", ".docx"), ("officedocument.wordprocessingml", ".docx"), ("excel", ".xlsx"), ("spreadsheetml", ".xlsx"),
+    ("zip", ".zip"), ("csv", ".csv"), ("plain", ".txt"), ("jpeg", ".jpg"), ("png", ".png"),
+]
+
+
+def url_extension(url: Column) -> Column:
+    """The lower-case extension of a URL's path, empty where there is none."""
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
+
+
+def file_extension(url: Column, content_type: Column) -> Column:
+    """A known extension of the URL, else that of the content type, else ``.bin``."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    out = F.when(url_extension(url).isin(FILE_EXTENSIONS), url_extension(url))
+    for word, extension in CONTENT_TYPES:
+        out = out.when(kind.contains(word), F.lit(extension))
+    return out.otherwise(F.lit(".bin"))
+
+
+def general_number(x: Column) -> Column:
+    """A number as C's ``%g`` writes it: six significant digits, no trailing zeros, an exponent below 1e-4 and from 1e6 on."""
+    science = F.format_string("%.5e", x)
+    power = F.regexp_extract(science, "e([-+][0-9]+)$", 1).cast("int")
+    plain = F.format_string("%.10f", science.cast("double"))
+    mantissa = F.regexp_extract(science, "^([^e]+)e", 1)
+
+    def bare(t: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+    return F.when(x.isNull(), None).when((power >= -4) & (power < 6), bare(plain)).otherwise(F.concat(bare(mantissa), F.regexp_extract(science, "(e[-+][0-9]+)$", 1)))
+
+
+def whole_or_short(x: Column) -> Column:
+    """A number as an integer if it is one within 1e-8, else with two decimals less trailing zeros."""
+    near = F.round(x).cast("long")
+    return F.when(F.abs(x - near) < 1e-8, near.cast("string")).otherwise(short_number(x, 2))
+
+
+def approximate_tokens(c: Column) -> Column:
+    """Tokens of a text where no tokenizer is given: a token for four characters, rounded up."""
+    return F.ceil(F.length(F.coalesce(c, F.lit(""))) / 4).cast("long")
+
+
+def has_number_about(c: Column, words: Sequence[str]) -> Column:
+    """Whether a text has one of the words, in any case, and a digit."""
+    t = F.lower(F.coalesce(c, F.lit("")))
+    return (F.size(keyword_hits(t, list(words))) > 0) & t.rlike("[0-9]")
+
+
+def is_markdown_table(c: Column) -> Column:
+    """A block of lines of which the first has a pipe and the second or third is a separator row."""
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\r?\n"), strip), lambda x: x != "")
+    rule = F.exists(F.slice(lines, 2, 2), lambda x: x.rlike(r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?$"))
+    return (F.size(lines) >= 2) & F.get(lines, F.lit(0)).contains("|") & rule
+
+
+def markdown_blocks(c: Column) -> Column:
+    """Array of ``kind, block``: the blocks between blank lines, each a ``table`` or ``text``."""
+    blocks = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\n\s*\n"), strip), lambda x: x != "")
+    return F.transform(blocks, lambda x: F.struct(F.when(is_markdown_table(x), F.lit("table")).otherwise(F.lit("text")).alias("kind"), x.alias("block")))
+
+
+#: Words that say a sample was changed, left out of its alias.
+ALIAS_WORDS = ["modified", "with", "treated"]
+
+
+def sample_aliases(c: Column) -> Column:
+    """The key of a sample id and that of the id without the words of ``ALIAS_WORDS``, once each, none empty."""
+    short = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?i)\b(?:{'|'.join(ALIAS_WORDS)})\b", " ")
+    return F.array_distinct(F.filter(F.array(alnum_key(c), alnum_key(short)), lambda x: x != ""))

@@ -59,7 +59,7 @@ def lattice_max(df: DataFrame, keys: Sequence[str], column: str, ranks: Sequence
     return df.groupBy(*keys).agg(F.max(rank).alias("_r")).select(*keys, F.get(F.array(*[F.lit(r) for r in ranks]), (F.col("_r") - 1).cast("int")).alias(column))
 
 
-def _compatible(kept: dict, row: dict, block: Sequence[str], columns: Sequence[str], least: int) -> bool:
+def _compatible(kept: dict, row: dict, block: Sequence[str], columns: Sequence[str], cues: frozenset, least: int) -> bool:
     known = [c for c in block if kept[c] is not None and row[c] is not None]
     if any(kept[c] != row[c] for c in known):
         return False
@@ -68,19 +68,20 @@ def _compatible(kept: dict, row: dict, block: Sequence[str], columns: Sequence[s
         if kept[c] is not None and row[c] is not None:
             if kept[c] != row[c]:
                 return False
-            equal += 1
+            equal += c in cues
     return len(known) == len(block) or equal >= least
 
 
-def greedy_merge(df: DataFrame, paper: str, block: Sequence[str], columns: Sequence[str], order: str, least: int = 2) -> DataFrame:
+def greedy_merge(df: DataFrame, paper: str, block: Sequence[str], columns: Sequence[str], order: str, least: int = 2, cues: Sequence[str] | None = None) -> DataFrame:
     """Within each paper every row joins the first kept row that it does not contradict, else it is kept.
 
-    Rows with an empty block field need ``least`` equal values with the kept row. The result depends on
+    Rows with an empty block field need ``least`` equal values (of ``cues``, if given) with the kept row. The result depends on
     the order of rows, hence one pass for each paper over rows in order; kept rows are looked up by
     their block value, so rows that cannot match are not visited.
     """
     fields = [*block, *columns]
     out_columns = [paper, *fields, order, "merged_rows"]
+    signs = frozenset(columns if cues is None else cues)
 
     def merge(rows: list[dict]) -> list[dict]:
         kept: list[dict] = []
@@ -89,7 +90,7 @@ def greedy_merge(df: DataFrame, paper: str, block: Sequence[str], columns: Seque
         for row in rows:
             own = tuple(row[c] for c in block)
             at = sorted({*index.get(own, ()), *open_rows}) if None not in own else range(len(kept))
-            hit = next((k for k in at if _compatible(kept[k], row, block, columns, least)), None)
+            hit = next((k for k in at if _compatible(kept[k], row, block, columns, signs, least)), None)
             if hit is None:
                 kept.append(row | {"merged_rows": 1})
                 index.setdefault(own, []).append(len(kept) - 1)
@@ -126,3 +127,37 @@ def greedy_merge(df: DataFrame, paper: str, block: Sequence[str], columns: Seque
     schema = StructType([*source.schema.fields, StructField("merged_rows", LongType())])
     target = to_arrow_schema(StructType([StructField(f.name, f.dataType) for f in schema.fields]))
     return source.repartition(paper).sortWithinPartitions(paper, order).mapInArrow(run, schema).select(*out_columns)
+
+
+def label_histogram(df: DataFrame, labels: str, none: str = "(none)") -> DataFrame:
+    """``label, n``: rows by label, each row once for every distinct label it has; those without any under ``none``."""
+    own = F.array_distinct(F.array_compact(F.coalesce(F.col(labels), F.array().cast("array<string>"))))
+    each = df.select(F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(none)))).alias("label"))
+    return each.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def changes(before: DataFrame, after: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``field, filled, cleared, changed, rows``: what a step did to each column, counted in one pass over the joined tables."""
+    now = after.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in columns])
+    both = before.select(*keys, *columns).join(now, list(keys), "left")
+    cells = []
+    for c in columns:
+        was, new = F.col(c), F.col(f"_n_{c}")
+        cells.append(F.struct(
+            F.lit(c).alias("field"), F.count_if(was.isNull() & new.isNotNull()).alias("filled"), F.count_if(was.isNotNull() & new.isNull()).alias("cleared"),
+            F.count_if(was.isNotNull() & new.isNotNull() & (was != new)).alias("changed"), F.count("*").alias("rows"),
+        ))
+    return both.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
+
+
+def missing_columns(df: DataFrame, wanted: Sequence[str]) -> list[str]:
+    """The wanted columns that a table lacks, in the order wanted."""
+    return [c for c in wanted if c not in df.columns]
+
+
+def require_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """The table with its wanted columns alone, rows without any value left out; a missing column is a ValueError."""
+    lacking = missing_columns(df, wanted)
+    if lacking:
+        raise ValueError(f"columns are missing: {', '.join(lacking)}")
+    return df.select(*wanted).na.drop("all")

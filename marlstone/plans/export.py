@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import fill, match, records
+from marlstone.operators import match, records, resolve
+from marlstone.plans import vocabulary as V
 from marlstone.plans.screening import classify_sample
 from marlstone.sources.tables import ADSORPTION_FIELDS, MATERIAL_FIELDS
+from marlstone.staging import stage_table
 
-_RECIPE = ["acid_conc_mol_L", "acid_time_h", "acid_temp_C"]
-_THERMAL = ["pyrolysis_temp_C", "hold_duration_h", "heating_rate_C_min", "biomass_source"]
+#: What a template row lends to its children.
+_TEMPLATE = ["biomass_source", "pyrolysis_temp_C", "hold_duration_h", "heating_rate_C_min", "acid_type", "acid_conc_mol_L", "acid_conc_original", "acid_conc_mol_L_source", "acid_time_h", "acid_temp_C", "modification_sequence"]
 _RANKS = ["unknown", "other", "pristine", "acid"]
 
 
@@ -37,13 +39,21 @@ def normalise_adsorption(raw: DataFrame) -> DataFrame:
 
 def resolve_ids(rows: DataFrame) -> DataFrame:
     """One spelling of each sample id of a paper, one file name for an article and its supplements; ``paper`` is the key of both."""
-    keyed = rows.withColumn("paper", T.paper_key(F.col("filename"))).withColumn("_sid", T.sample_key(F.col("sample_id")))
+    keyed = rows.withColumn("filename", T.plain_filename(F.col("filename"))).withColumn("paper", T.paper_key(F.col("filename"))).withColumn("_sid", T.sample_key(F.col("sample_id")))
     names = match.preferred(keyed, "paper", "filename", T.is_supplement(F.col("filename")), "ord").withColumnRenamed("filename", "_name")
     spelled = match.canonical(keyed.where("sample_id is not null and _sid <> ''"), ["paper", "_sid"], "sample_id")
     out = keyed.join(names, "paper", "left").join(spelled, ["paper", "_sid"], "left")
     return out.withColumn("filename", F.coalesce("_name", "filename")).withColumn("sample_id", F.coalesce("canonical", "sample_id")).drop("_name", "canonical", "_sid")
 
 
+def drop_false_samples(materials: DataFrame, adsorption: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Materials named like reagents, design runs or a pollutant of their paper go, and adsorption rows of reagents or of samples cited from other papers."""
+    pollutants = adsorption.select("paper", T.alnum_key(F.col("pollutant_name")).alias("_s")).where("_s <> ''").distinct()
+    sound = materials.where(~resolve.reagent(F.col("sample_id"), V.REAGENT_IDS) & ~resolve.design_run(F.col("sample_id"))).withColumn("_s", T.alnum_key(F.col("sample_id")))
+    kept = adsorption.where(~resolve.reagent(F.col("sample_id"), V.REAGENT_IDS) & ~resolve.cited(F.col("sample_id")))
+    return sound.join(pollutants, ["paper", "_s"], "left_anti").select(materials.columns), kept
+
+
 def keep_targets(materials: DataFrame, adsorption: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose sample is acid-treated or pristine: a sample has the highest class of its rows; unknown ones inherit from the id without its first letter."""
     cls = classify_sample(F.col("sample_id"), F.col("acid_type"), F.col("modification_sequence"))
@@ -57,25 +67,53 @@ def keep_targets(materials: DataFrame, adsorption: DataFrame) -> tuple[DataFrame
     return m.where("_k = ''").unionByName(m.join(kept, ["paper", "_k"], "left_semi").select(m.columns)).drop("_k"), a.where("_k = ''").unionByName(a.join(kept, ["paper", "_k"], "left_semi").select(a.columns)).drop("_k")
 
 
-def export_tables(raw_materials: DataFrame, raw_adsorption: DataFrame, targets_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Materials (one row a sample) and adsorption (one row a sample, pollutant and condition; rows without a sample as they are) from raw rows ``filename, ord, row``."""
-    m, a = resolve_ids(normalise_materials(raw_materials)), resolve_ids(normalise_adsorption(raw_adsorption))
-    pollutants = a.select("paper", T.alnum_key(F.col("pollutant_name")).alias("_s")).where("_s <> ''").distinct()
-    m = m.withColumn("_s", T.alnum_key(F.col("sample_id"))).join(pollutants, ["paper", "_s"], "left_anti").drop("_s")
-    if targets_only:
-        m, a = keep_targets(m, a)
-    known = m.where("acid_type is not null")
-    m = fill.fill_unique(known, ["paper", "acid_type"], _RECIPE).unionByName(m.where("acid_type is null"))
-    m = fill.fill_unique(m, ["paper"], _THERMAL)
+def merge_adsorption(rows: DataFrame) -> DataFrame:
+    """Complementary adsorption rows of a paper become one: equal samples and pollutants where known, no contradiction, and an equal condition where a sample is blank."""
+    pollutant_last = [*resolve.CONDITIONS, "Qmax", "pollutant_name"]
+    merged = records.greedy_merge(rows.select("paper", "sample_id", *pollutant_last, "ord"), "paper", ["sample_id"], pollutant_last, "ord", 1, resolve.CONDITIONS).drop("merged_rows")
+    return _named(merged, rows)
+
+
+def _named(merged: DataFrame, rows: DataFrame) -> DataFrame:
+    """Merged rows with the file name of their paper."""
+    names = match.preferred(rows, "paper", "filename", T.is_supplement(F.col("filename")), "ord")
+    return merged.join(names, "paper", "left").select(*[c for c in rows.columns if c in merged.columns or c == "filename"])
+
+
+def export_tables(raw_materials: DataFrame, raw_adsorption: DataFrame, targets_only: bool = True, placeholders: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Materials (one row a sample) and adsorption (one row a sample, pollutant and condition; rows without a sample as they are) from raw rows ``filename, ord, row``.
+
+    In order: normalise; one spelling of ids; false samples out; templates to their children; targets;
+    ids filled in; shared fields; unresolved rows absorbed; rows merged; conditions shared; one row a
+    sample; guards; with ``placeholders`` names for what is still without an id, whose rows then are absorbed or go.
+    """
+    def both(m: DataFrame, a: DataFrame, step: str) -> tuple[DataFrame, DataFrame]:
+        # a step uses its input several times: without a cut the plan would double with each
+        return stage_table(m, f"{step}-materials"), stage_table(a, f"{step}-adsorption")
+
     values = [f for f in MATERIAL_FIELDS if f != "sample_id"]
-    merged = records.greedy_merge(m.select("paper", "filename", "sample_id", *values, "ord"), "paper", ["sample_id"], [*values], "ord", 2).drop("merged_rows")
-    names = m.groupBy("paper").agg(F.first("filename").alias("filename"))
-    materials = records.collapse(merged, ["paper", "sample_id"], values, "ord").join(names, "paper")
-    base = T.alnum_key(F.col("sample_id")).isin("bc", "biochar", "rawbc", "pristinebc") & ~F.coalesce(F.lower("modification_sequence").contains("acid"), F.lit(False))
-    materials = records.clear_where_sibling(materials, ["paper"], base, F.col("sample_id").contains("-"), ["acid_type", *_RECIPE])
-    nameless, a = a.where("sample_id is null"), a.where("sample_id is not null")  # measurements of no known sample are not one sample
-    a = fill.fill_unique(fill.fill_unique(a, ["paper", "sample_id", "pollutant_name"], ["T_K", "Te_min", "SLR_g_L"]), ["paper", "sample_id"], ["T_K", "Te_min", "SLR_g_L"])
-    rest = ["Qmax"]
-    named = records.collapse(a, ["paper", "filename", "sample_id", "pollutant_name", "pH", "T_K", "Te_min", "SLR_g_L"], rest, "ord").drop("merged_rows")
-    adsorption = named.unionByName(nameless.select(named.columns))
-    return materials.select("filename", "sample_id", *values), adsorption.select("filename", *ADSORPTION_FIELDS)
+    m, a = both(resolve_ids(normalise_materials(raw_materials)), resolve_ids(normalise_adsorption(raw_adsorption)), "named")
+    m, a = drop_false_samples(m, a)
+    m, a = both(resolve.propagate_templates(m, _TEMPLATE), a, "sound")
+    if targets_only:
+        m, a = both(*keep_targets(m, a), "targets")
+    together = stage_table(resolve.autofilled(m, a), "filled")
+    m, a = resolve.parted(together, m.columns, a.columns)
+    m = resolve.absorb(stage_table(resolve.fill_shared_materials(m), "shared"), resolve.MATERIAL_MATCH, values, resolve.SHARED)
+    a = resolve.absorb(a, resolve.ADSORPTION_KEY, [*resolve.ADSORPTION_KEY, "Qmax"])
+    m, a = both(m, a, "absorbed")
+    merged = records.greedy_merge(m.select("paper", "sample_id", *values, "ord"), "paper", ["sample_id"], values, "ord", 2, resolve.MATERIAL_KEY).drop("merged_rows")
+    m, a = both(_named(merged, m), merge_adsorption(a), "merged")
+    a = resolve.fill_shared_adsorption(a)
+    named, nameless = m.where("sample_id is not null"), m.where("sample_id is null")
+    m = _named(records.collapse(named, ["paper", "sample_id"], values, "ord").drop("merged_rows"), m).select(m.columns).unionByName(nameless)
+    m, a = both(m, a, "collapsed")
+    m = resolve.clear_base_acid(m)
+    if placeholders:
+        m = records.placeholder_ids(m, "paper", resolve.MATERIAL_KEY, "sample_id", "ord", resolve.UNRESOLVED.rstrip("_"))
+        a = records.placeholder_ids(a, "paper", resolve.ADSORPTION_KEY, "sample_id", "ord", resolve.UNRESOLVED.rstrip("_"))
+        m = resolve.absorb(m, resolve.MATERIAL_MATCH, values, resolve.SHARED)
+        a = stage_table(resolve.absorb(a, resolve.ADSORPTION_KEY, [*resolve.ADSORPTION_KEY, "Qmax"]), "placed")
+    a = resolve.collapse_adsorption(a)
+    m = m.withColumn("pyrolysis_temp_C", resolve.single_temperature(F.col("sample_id"), F.col("pyrolysis_temp_C")))
+    return m.select("filename", "sample_id", *values), a.select("filename", *ADSORPTION_FIELDS)

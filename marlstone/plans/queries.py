@@ -47,11 +47,11 @@ def _screen_sql() -> str:
     hits = ", ".join(f"len(list_filter({_list(words)}, lambda k: contains(t, k))) AS n_{name}" for name, words in screening.KEYWORD_SIGNALS.items())
     return f"""
 WITH s AS (SELECT doc_id, {_FOLD} AS t FROM documents), h AS (SELECT doc_id, t, {hits},
-  len(regexp_extract_all(t, '(?i)\\btable\\s*\\d+\\b')) AS table_hits, len(t) AS text_chars FROM s)
+  len(regexp_extract_all(t, '(?i)\\btable\\s*\\d+\\b')) AS table_hits, len(regexp_extract_all(t, '(?i){V.UNIT}')) AS unit_hits, len(t) AS text_chars FROM s)
 SELECT doc_id, CAST(n_topic AS INTEGER) AS n_topic, CAST(n_method AS INTEGER) AS n_method, CAST(n_data + least(table_hits, 5) AS INTEGER) AS data_score,
   CAST(n_topic * 4 + n_method * 2 + n_data + least(table_hits, 5) AS INTEGER) AS score_total, CAST(text_chars AS INTEGER) AS text_chars,
-  CASE WHEN text_chars < 3000 THEN 'FAIL' WHEN n_topic >= 3 AND n_method >= 1 AND n_data + least(table_hits, 5) >= 4 THEN 'PASS'
-    WHEN n_topic >= 2 AND n_data + least(table_hits, 5) >= 2 THEN 'MAYBE' ELSE 'FAIL' END AS status FROM h"""
+  CASE WHEN text_chars < 3000 THEN 'FAIL' WHEN n_topic >= 3 AND n_method >= 1 AND (n_data + least(table_hits, 5) >= 4 OR unit_hits >= 8) THEN 'PASS'
+    WHEN n_topic >= 2 AND (n_data + least(table_hits, 5) >= 2 OR unit_hits >= 4) THEN 'MAYBE' ELSE 'FAIL' END AS status FROM h"""
 
 
 @query(_screen_sql())
@@ -71,12 +71,8 @@ SELECT profile, CASE WHEN short THEN 'Likely scanned PDF or low selectable text;
 FROM h GROUP BY ALL""")
 def screen_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by profile and reason."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts = [screening.screen(docs, p).groupBy("profile", "reason").agg(F.count("*").alias("docs")) for p in screening.PROFILES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = screening.signals(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return screening.verdicts(found).groupBy("profile", "reason").agg(F.count("*").alias("docs"))
 
 
 @query(r"""
@@ -172,7 +168,7 @@ def fill_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH l AS ({_LINES}), e AS (SELECT l_partkey, l_suppkey, l_tax FROM lineitem WHERE l_orderkey % 4 = 0),
+WITH l AS ({_LINES}), e AS (SELECT l_partkey, l_suppkey, l_tax FROM lineitem),
 a AS (SELECT l_partkey, l_suppkey, min(l_tax) AS v FROM e GROUP BY ALL HAVING min(l_tax) = max(l_tax)), b AS (SELECT l_partkey, min(l_tax) AS v FROM e GROUP BY ALL HAVING min(l_tax) = max(l_tax)),
 c AS (SELECT l_suppkey, min(l_tax) AS v FROM e GROUP BY ALL HAVING min(l_tax) = max(l_tax))
 SELECT l_orderkey, l_linenumber, coalesce(l_tax, a.v, b.v, c.v) AS l_tax,
@@ -180,7 +176,7 @@ SELECT l_orderkey, l_linenumber, coalesce(l_tax, a.v, b.v, c.v) AS l_tax,
 FROM l LEFT JOIN a USING (l_partkey, l_suppkey) LEFT JOIN b USING (l_partkey) LEFT JOIN c USING (l_suppkey)""")
 def lookup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nulls filled from evidence at the first level with a unique value, with the level's name."""
-    evidence = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select("l_partkey", "l_suppkey", "l_tax")
+    evidence = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_tax")
     levels = [("part+supplier", ["l_partkey", "l_suppkey"]), ("part", ["l_partkey"]), ("supplier", ["l_suppkey"])]
     return fill.fill_lookup(_lines(spark, sf_dir), evidence, levels, ["l_tax"]).select("l_orderkey", "l_linenumber", "l_tax", "l_tax_source")
 
@@ -243,35 +239,36 @@ _NAMES = "SELECT p_brand, p_partkey, p_name, lower(regexp_replace(p_name, '[^A-Z
 
 
 @query(f"""
-WITH n AS ({_NAMES}), a AS (SELECT * FROM n WHERE p_partkey % 5 = 0), b AS (SELECT DISTINCT p_brand, k AS bk, p_name AS target FROM n WHERE p_partkey % 5 = 1),
+WITH n AS ({_NAMES}), b AS (SELECT DISTINCT p_brand, target, lower(regexp_replace(target, '[^A-Za-z0-9]+', '', 'g')) AS bk FROM (SELECT p_brand, p_type AS target FROM part UNION ALL SELECT p_brand, left(p_name, -2) FROM part)),
 s AS (SELECT p_partkey, target, CASE WHEN k = bk THEN 1.0 WHEN contains(k, bk) OR contains(bk, k) THEN greatest(0.65::DOUBLE, least(len(k), len(bk))::DOUBLE / greatest(len(k), len(bk)))
-  ELSE CASE WHEN k = bk THEN 1.0 ELSE 0.0 END END::DOUBLE AS score FROM a JOIN b USING (p_brand))
+  ELSE CASE WHEN k = bk THEN 1.0 ELSE 0.0 END END::DOUBLE AS score FROM n JOIN b USING (p_brand))
 SELECT p_partkey, target, score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, target) AS rn FROM s WHERE score >= 0.3) WHERE rn = 1""")
 def fuzzy_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best name of the same brand by equality, containment or token overlap of folded names."""
+    """For every part the best of its brand's types and shortened names by equality, containment or token overlap of folded names."""
     part = table(spark, sf_dir, "part")
-    rows = part.where("p_partkey % 5 = 0").select("p_partkey", "p_brand", "p_name")
-    names = part.where("p_partkey % 5 = 1").select("p_brand", F.col("p_name").alias("target")).distinct()
-    return match.fuzzy_top1(rows, names, ["p_brand"], "p_partkey", "p_name", "target")
+    names = part.select("p_brand", F.col("p_type").alias("target")).unionByName(part.select("p_brand", F.expr("substring(p_name, 1, length(p_name) - 2)").alias("target"))).distinct()
+    return match.fuzzy_top1(part.select("p_partkey", "p_brand", "p_name"), names, ["p_brand"], "p_partkey", "p_name", "target")
 
 
 @query(f"""
-WITH n AS ({_NAMES}), a AS (SELECT p_partkey, unnest(t) AS w FROM n WHERE p_partkey % 5 = 0), b AS (SELECT DISTINCT p_name AS target, unnest(t) AS w FROM n WHERE p_partkey % 5 = 1),
+WITH n AS ({_NAMES}), a AS (SELECT p_partkey, unnest(t) AS w FROM n), b AS (SELECT DISTINCT target, unnest(list_distinct(string_split(lower(target), ' '))) AS w FROM (SELECT DISTINCT p_type || ' ' || p_name AS target FROM part)),
 s AS (SELECT p_partkey, target, count(*) AS shared FROM a JOIN b USING (w) GROUP BY ALL HAVING count(*) >= 2)
 SELECT p_partkey, target, shared FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, target) AS rn FROM s) WHERE rn = 1""")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every part the type and name, of any part, that shares most tokens with its name."""
     part = table(spark, sf_dir, "part")
-    names = part.where("p_partkey % 5 = 1").select(F.col("p_name").alias("target")).distinct()
-    return match.token_overlap(part.where("p_partkey % 5 = 0").select("p_partkey", "p_name"), names, "p_partkey", "p_name", "target")
+    names = part.select(F.concat_ws(" ", "p_type", "p_name").alias("target")).distinct()
+    return match.token_overlap(part.select("p_partkey", "p_name"), names, "p_partkey", "p_name", "target")
 
 
 @query("""
-WITH e AS (SELECT p_brand, p_type, p_size, min(p_partkey) AS found FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL HAVING count(DISTINCT p_partkey) = 1)
-SELECT p_partkey, found FROM part JOIN e USING (p_brand, p_type, p_size) WHERE p_partkey % 3 = 1""")
+WITH e AS (SELECT p_brand, p_size, min(p_type) AS found FROM part GROUP BY ALL HAVING count(DISTINCT p_type) = 1)
+SELECT p_partkey, found FROM part JOIN e USING (p_brand, p_size)""")
 def unique_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every part the type of its brand and size, where all parts of these have one."""
     part = table(spark, sf_dir, "part")
-    evidence = part.where("p_partkey % 3 = 0").withColumnRenamed("p_partkey", "found")
-    return match.unique_by_key(part.where("p_partkey % 3 = 1"), evidence, ["p_brand", "p_type", "p_size"], "p_partkey", "found")
+    evidence = part.select("p_brand", "p_size", F.col("p_type").alias("found"))
+    return match.unique_by_key(part, evidence, ["p_brand", "p_size"], "p_partkey", "found")
 
 
 @query("""
@@ -397,18 +394,24 @@ def z_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.z_score(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_acctbal", "z", ["c_nationkey"]).select("c_custkey", F.round("z", 6).alias("z"))
 
 
-@query("""
-SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
+_CLASS_WORDS = ["acid", "lead", "table", "tion", "und", "que", "les"]
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, list_filter({_list(_CLASS_WORDS)}, lambda k: contains(lower(text), k)) AS l FROM documents)
+SELECT label, count(*) AS n FROM (SELECT unnest(CASE WHEN len(l) > 0 THEN l ELSE ['(none)'] END) AS label FROM l) GROUP BY 1""")
 def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    """Documents by label, as often as they have labels, and those without any."""
+    docs = table(spark, sf_dir, "documents").select(T.keyword_hits(F.lower("text"), _CLASS_WORDS).alias("labels"))
+    return records.label_histogram(docs, "labels")
 
 
 @query("""
-SELECT role, sum(CAST(ceil(len(text) / 4.0) AS BIGINT)) AS tokens, round(sum(CAST(ceil(len(text) / 4.0) AS BIGINT)) * CASE WHEN role = 'assistant' THEN 0.06 ELSE 0.03 END / 1000, 6) AS price FROM conversations WHERE role <> 'system' GROUP BY 1""")
+SELECT role, sum(CAST(ceil(len(text) / 4.0) AS BIGINT)) AS tokens, round(sum(CAST(ceil(len(text) / 4.0) AS BIGINT)) * CASE role WHEN 'assistant' THEN 0.06 WHEN 'user' THEN 0.03 ELSE 0.01 END / 1000, 6) AS price FROM conversations GROUP BY 1""")
 def token_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token sums times a price list; a role without a price raises."""
-    prices = spark.createDataFrame([("assistant", 0.06), ("user", 0.03)], "role string, usd double")
-    turns = table(spark, sf_dir, "conversations").where("role <> 'system'").groupBy("role").agg(F.sum(F.ceil(F.length("text") / 4.0)).alias("tokens"))
+    """Token sums of every role times a price list; a role without a price raises."""
+    prices = spark.createDataFrame([("assistant", 0.06), ("user", 0.03), ("system", 0.01)], "role string, usd double")
+    turns = table(spark, sf_dir, "conversations").groupBy("role").agg(F.sum(F.ceil(F.length("text") / 4.0)).alias("tokens"))
     priced = turns.join(F.broadcast(prices), "role", "left")  # the price list has a row for each role
     usd = F.coalesce("usd", F.raise_error(F.lit("no price for a role")).cast("double"))
     return priced.select("role", "tokens", F.round(F.col("tokens") * usd / 1000, 6).alias("price"))
@@ -444,30 +447,45 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- functions
-_CASES = [("25 °C",), ("298 K",), ("298K",), ("25",), ("30 celsius",), ("1,200 m2/g",), ("x x x",), ("Foo-2020-main.pdf",), ("Foo-2020-mmc1.docx",), ("BC-HNO3",), ("doi:10.1000/abc.def). See",), ("",), (None,)]
-
-
 @query("""
-SELECT * FROM (VALUES ('25 °C', '298.15'), ('298 K', '298'), ('298K', '298K'), ('25', '25'), ('30 celsius', '303.15')) v(raw, kelvin)""")
+WITH r AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size || ' °C' WHEN 1 THEN p_size || ' K' WHEN 2 THEN p_size || 'K' WHEN 3 THEN CAST(p_size AS VARCHAR) WHEN 4 THEN p_size || ' Celsius' ELSE 'room' END AS raw, p_size FROM part)
+SELECT p_partkey, raw, CASE WHEN p_partkey % 6 IN (0, 4) THEN (p_size + 273) || '.15' WHEN p_partkey % 6 = 1 THEN CAST(p_size AS VARCHAR) ELSE raw END AS kelvin FROM r""")
 def to_kelvin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame(_CASES[:5], "raw string")
-    return raw.select("raw", T.to_kelvin(F.col("raw")).alias("kelvin"))
+    """Temperatures of every part's size in five spellings and without a number."""
+    k = F.col("p_partkey") % 6
+    raw = F.when(k == 0, F.concat("p_size", F.lit(" °C"))).when(k == 1, F.concat("p_size", F.lit(" K"))).when(k == 2, F.concat("p_size", F.lit("K"))).when(k == 3, F.col("p_size").cast("string"))
+    raw = raw.when(k == 4, F.concat("p_size", F.lit(" Celsius"))).otherwise("room")
+    return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).withColumn("kelvin", T.to_kelvin(F.col("raw")))
 
 
-@query("""
-SELECT * FROM (VALUES ('85 wt%', 'H3PO4', '14.6157', 'converted_from_wt_percent'), ('10% v/v', 'HCl', '3.2638', 'converted_from_vv_percent'), ('1 M', 'HCl', '1', 'reported_molar'), ('1', 'HCl', NULL, NULL)) v(conc, acid, molar, source)""")
+@query(r"""
+WITH a(acid, mw, usual, pure) AS (VALUES ('HCl', 36.46094::DOUBLE, 1.19::DOUBLE, 1.19::DOUBLE), ('HNO3', 63.01284, 1.41, 1.51), ('H2SO4', 98.079, 1.84, 1.84), ('H3PO4', 97.994, 1.685, 1.885)),
+r AS (SELECT p_partkey, p_size, p_partkey % 4 AS k, ['HCl', 'HNO3', 'H2SO4', 'H3PO4'][CAST(p_partkey // 4 % 4 + 1 AS INTEGER)] AS acid FROM part),
+v AS (SELECT *, CASE k WHEN 0 THEN p_size * usual * 10.0::DOUBLE / mw WHEN 1 THEN p_size / 100.0::DOUBLE * pure * 1000.0::DOUBLE / mw END AS x FROM r JOIN a USING (acid))
+SELECT p_partkey, CASE WHEN k = 2 THEN CAST(p_size AS VARCHAR) WHEN k < 2 THEN regexp_replace(regexp_replace(printf('%.4f', x), '(\.[0-9]*?)0+$', '\1'), '\.$', '') END AS molar,
+  CASE k WHEN 0 THEN 'converted_from_wt_percent' WHEN 1 THEN 'converted_from_vv_percent' WHEN 2 THEN 'reported_molar' END AS source FROM v""")
 def acid_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([("85 wt%", "H3PO4"), ("10% v/v", "HCl"), ("1 M", "HCl"), ("1", "HCl")], "conc string, acid string")
-    return raw.select("conc", "acid", T.acid_concentration(F.col("conc"), F.col("acid")).alias("_c")).select("conc", "acid", "_c.*")
+    """Concentrations of every part's size as weight percent, volume percent, molarity or bare number, of four acids."""
+    k = F.col("p_partkey") % 4
+    conc = F.when(k == 0, F.concat("p_size", F.lit(" wt%"))).when(k == 1, F.concat("p_size", F.lit("% v/v"))).when(k == 2, F.concat("p_size", F.lit(" M"))).otherwise(F.col("p_size").cast("string"))
+    acid = F.get(F.array(*map(F.lit, ("HCl", "HNO3", "H2SO4", "H3PO4"))), F.expr("cast(p_partkey div 4 % 4 as int)"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.acid_concentration(conc, acid).alias("_c")).select("p_partkey", "_c.*")
 
 
-@query("""
-SELECT doc_id, CASE WHEN lower(source) LIKE '%1' THEN 'acid' ELSE 'other' END AS class FROM documents""")
+#: Ids, acids and sequences of samples, and the classes that the rules give them.
+_SAMPLES = [
+    ("BC", None, None, "pristine"), ("BC-HNO3", None, None, "acid"), ("BC-KOH", None, None, "other"), (None, None, None, "unknown"), ("APBC", "HCl", None, "other"), ("qmax", "HCl", None, "other"),
+    ("Char (Wang et al., 2010)", "HCl", None, "other"), ("PEI-BC", None, None, "other"), ("S1", "lemon juice", None, "acid"), ("S2", None, "neutralization", "unknown"), ("S3", None, "treated with steam", "other"),
+    ("S4", "KOH", None, "other"), ("S5", None, "raw biochar", "pristine"), ("S6", None, None, "unknown"), ("S7", None, "citric acid wash", "acid"), ("EDTA-BC", "HCl", None, "other"),
+]
+
+
+@query("SELECT doc_id, [" + ", ".join(f"'{c}'" for *_, c in _SAMPLES) + f"][CAST(doc_id % {len(_SAMPLES)} + 1 AS INTEGER)] AS class FROM documents")
 def sample_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample classes by rule, of ids made from the documents' sources."""
-    docs = table(spark, sf_dir, "documents")
-    sid = F.when(F.lower("source").endswith("1"), F.concat(F.lit("BC-HNO3-"), "source")).otherwise(F.concat(F.lit("BC-KOH-"), "source"))
-    return docs.select("doc_id", screening.classify_sample(sid, F.lit(None).cast("string"), F.lit(None).cast("string")).alias("class"))
+    """Classes of samples that reach every rule, dealt to the documents by id."""
+    at = (F.col("doc_id") % len(_SAMPLES)).cast("int")
+    parts = [F.get(F.array(*[F.lit(s[k]).cast("string") for s in _SAMPLES]), at) for k in range(3)]
+    return table(spark, sf_dir, "documents").select("doc_id", screening.classify_sample(*parts).alias("class"))
 
 
 @query("""
@@ -512,12 +530,12 @@ def cluster_bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT a.source_group, a.n AS left_n, b.n AS right_n, round(a.n::DOUBLE / b.n, 6) AS ratio FROM (SELECT source AS source_group, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) a
-JOIN (SELECT source AS source_group, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY 1) b USING (source_group)""")
+SELECT a.source_group, a.n AS left_n, b.n AS right_n, round(a.n::DOUBLE / b.n, 6) AS ratio FROM (SELECT source AS source_group, count(*) AS n FROM documents WHERE n_chars % 2 = 0 GROUP BY 1) a
+JOIN (SELECT source AS source_group, count(*) AS n FROM documents WHERE n_chars % 2 = 1 GROUP BY 1) b USING (source_group)""")
 def grouped_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner join of two aggregates of one table, aggregated in one pass."""
     docs = table(spark, sf_dir, "documents")
-    even = F.count(F.when(F.col("doc_id") % 2 == 0, 1))
-    odd = F.count(F.when(F.col("doc_id") % 2 == 1, 1))
+    even = F.count(F.when(F.col("n_chars") % 2 == 0, 1))
+    odd = F.count(F.when(F.col("n_chars") % 2 == 1, 1))
     out = docs.groupBy(F.col("source").alias("source_group")).agg(even.alias("left_n"), odd.alias("right_n")).where("left_n > 0 and right_n > 0")
     return out.withColumn("ratio", F.round(F.col("left_n") / F.col("right_n"), 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +100,8 @@ def adjacent_pairs(flags: Column, first: str = "prep", second: str = "cond") ->
     return F.when(F.size(flags) == 0, F.lit(0)).otherwise(F.size(F.filter(paired, lambda x: x)))
 
 
-def screen(docs: DataFrame, profile: str = "legacy", text_col: str = "text", pages_col: str | None = None) -> DataFrame:
-    """All columns of ``docs`` but the text, with hit lists, signals, scores, ``status`` and ``reason``.
+def signals(docs: DataFrame, text_col: str = "text", pages_col: str | None = None) -> DataFrame:
+    """All columns of ``docs`` but the text, with hit lists, signals and scores: what the rules of every profile look at.
 
     One projection for each step keeps every regular expression evaluated once. A null
     text is an empty one and fails as scanned.
@@ -120,9 +122,21 @@ def screen(docs: DataFrame, profile: str = "legacy", text_col: str = "text", pag
         "unit_hits": F.regexp_count("_norm", F.lit(f"(?i){V.UNIT}")), "table_hits": F.regexp_count("_norm", F.lit(f"(?i){V.TABLE}")),
         "text_chars": F.length("_norm"), "chars_per_page": F.length("_norm") / pages,
     })
-    out = out.withColumns({"data_score": F.col("n_data") + F.least("table_hits", F.lit(5)), "scanned_suspect": (F.col("text_chars") < 3000) | (F.col("chars_per_page") < 200), "profile": F.lit(profile)})
-    out = out.withColumn("score_total", F.col("n_topic") * 4 + F.col("n_method") * 2 + F.col("data_score"))
-    return out.withColumn("_verdict", first_rule(RULES)).select("*", "_verdict.*").drop("_verdict", "_raw", "_norm", "_flags", text_col)
+    out = out.withColumns({"data_score": F.col("n_data") + F.least("table_hits", F.lit(5)), "scanned_suspect": (F.col("text_chars") < 3000) | (F.col("chars_per_page") < 200)})
+    return out.withColumn("score_total", F.col("n_topic") * 4 + F.col("n_method") * 2 + F.col("data_score")).drop("_raw", "_norm", "_flags", text_col)
+
+
+def verdicts(found: DataFrame, profiles: Sequence[str] = PROFILES) -> DataFrame:
+    """``profile, status, reason`` beside the signals of a document, a row for each profile: texts are looked at once whatever the profiles."""
+    asked = found.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in profiles])))
+    return asked.withColumn("_verdict", first_rule(RULES)).select("*", "_verdict.*").drop("_verdict")
+
+
+def screen(docs: DataFrame, profile: str = "legacy", text_col: str = "text", pages_col: str | None = None) -> DataFrame:
+    """All columns of ``docs`` but the text, with hit lists, signals, scores, ``status`` and ``reason`` under one profile."""
+    return verdicts(signals(docs, text_col, pages_col), [profile])
+
+
 
 
 def classify_sample(sample_id: Column, acid_type: Column, sequence: Column) -> Column:

@@ -77,3 +77,7 @@ DROPPED_IDS = ["scrhsmt", "scrhwmt", "apbc"]
 PARAMETER_IDS = ["qmax", "kl", "kf", "ks", "krp", "qmfs", "kfs", "nfs", "r2"]
 PARAMETER_NAMES = ["q max", "k l", "r 2", "k f", "k rp", "α rp", "a rp", "k s", "β s", "b s", "a s", "b t", "n t", "q mfs", "k fs", "n fs", "n"]
 CHANGED_WORDS = ["modified", "activation", "activated", "treated", "functionalized"]
+REAGENT_IDS = [
+    "sulfuric acid", "sulphuric acid", "hydrochloric acid", "nitric acid", "phosphoric acid", "acetic anhydride", "carbon disulfide", "carbon disulphide",
+    "elemental sulfur", "elemental sulphur", "iron nitrate", "ammonium tetrathiomolybdate", "mercaptoethanol", "beta-mercaptoethanol",
+]

@@ -56,7 +56,8 @@ def test_export(spark):
 def test_export_keeps_measurements_without_a_sample(spark):
     rows = [("Foo-2020-main.pdf", i, {"pollutant_name": "U(VI)", "T_K": t, "Qmax": q}) for i, (t, q) in enumerate([("298 K", "12"), (None, "34"), (None, "34")])]
     schema = "filename string, ord long, row map<string, string>"
-    m = [("Foo-2020-main.pdf", 1, {"sample_id": "BC-HCl", "acid_type": "HCl"})]
+    # two samples: a file's only sample would name its rows
+    m = [("Foo-2020-main.pdf", 1, {"sample_id": "BC-HCl", "acid_type": "HCl"}), ("Foo-2020-main.pdf", 2, {"sample_id": "BC-HNO3", "acid_type": "HNO3"})]
     _, adsorption = export.export_tables(spark.createDataFrame(m, schema), spark.createDataFrame(rows, schema))
     assert sorted((r["Qmax"], r["T_K"] or "") for r in adsorption.collect()) == [("12", "298"), ("34", ""), ("34", "")]
 
