@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marlstone.plans import queries_more  # noqa: F401 - registers its queries
 from marlstone.plans.queries import ORACLES, QUERIES
 
 #: The query that ``entry`` runs.

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,6 +76,10 @@ class Fit:
     r2: float
     rows: int
     residual_df: int
+    covariance: np.ndarray | None = None
+    sse: float = float("nan")
+    sst: float = float("nan")
+    cross: np.ndarray | None = None
 
 
 def _moments(df: DataFrame, design: list[Column], y: Column) -> tuple[np.ndarray, np.ndarray, float, float, int]:
@@ -102,7 +107,7 @@ def least_squares(df: DataFrame, terms: dict[str, Column], y: str, robust: bool
     beta = inverse @ xy
     sse = max(0.0, yy - float(beta @ xy))
     sst = yy - total**2 / max(n, 1)
-    errors = np.full(len(names), np.nan)
+    errors, covariance = np.full(len(names), np.nan), None
     if robust and n > len(names):
         at = F.array(*design)
         fitted = sum((design[i] * float(b) for i, b in enumerate(beta)), F.lit(0.0))
@@ -112,8 +117,9 @@ def least_squares(df: DataFrame, terms: dict[str, Column], y: str, robust: bool
         cells = [F.sum(F.col("_w") * design[i] * design[j]).alias(f"c{i}_{j}") for i in range(len(names)) for j in range(i, len(names))]
         middle[np.triu_indices(len(names))] = [float(v or 0) for v in scaled.agg(*cells).first()]
         middle = middle + middle.T - np.diag(np.diag(middle))
-        errors = np.sqrt(np.maximum(0, np.diag(inverse @ middle @ inverse)))
-    return Fit(names, beta, errors, 1 - sse / sst if sst > 0 else float("nan"), n, n - int(np.linalg.matrix_rank(xx)))
+        covariance = inverse @ middle @ inverse
+        errors = np.sqrt(np.maximum(0, np.diag(covariance)))
+    return Fit(names, beta, errors, 1 - sse / sst if sst > 0 else float("nan"), n, n - int(np.linalg.matrix_rank(xx)), covariance, sse, sst, xx)
 
 
 def drop_one_block(df: DataFrame, blocks: dict[str, dict[str, Column]], y: str) -> dict[str, float]:
@@ -124,3 +130,54 @@ def drop_one_block(df: DataFrame, blocks: dict[str, dict[str, Column]], y: str)
         complete = complete.where(c.isNotNull())
     full = least_squares(complete, every, y, robust=False).r2
     return {name: full - least_squares(complete, {k: c for k, c in every.items() if k not in blocks[name]}, y, robust=False).r2 for name in blocks}
+
+
+def block_contributions(df: DataFrame, blocks: dict[str, dict[str, Column]], y: str, least: int = 10) -> list[dict[str, float]]:
+    """For each block of terms ``delta_r2`` (what R squared loses without it), ``partial_r2`` (the share of the reduced model's error that it explains) and ``relative_pct`` (its share of all losses).
+
+    Rows complete in all blocks count throughout; fewer than ``least`` of them give no result.
+    """
+    every = {k: c for b in blocks.values() for k, c in b.items()}
+    complete = df.where(F.col(y).isNotNull())
+    for c in every.values():
+        complete = complete.where(c.isNotNull())
+    full = least_squares(complete, every, y, robust=False)
+    if full.rows < least:
+        return []
+    out = []
+    for name in blocks:
+        reduced = least_squares(complete, {k: c for k, c in every.items() if k not in blocks[name]}, y, robust=False)
+        lost = max(0.0, reduced.sse - full.sse)
+        out.append({"block": name, "delta_r2": lost / full.sst if full.sst > 0 else 0.0, "partial_r2": lost / reduced.sse if reduced.sse > 0 else 0.0})
+    total = sum(r["delta_r2"] for r in out)
+    return [r | {"relative_pct": 100 * r["delta_r2"] / total if total > 0 else 0.0, "r2": full.r2, "rows": full.rows} for r in out]
+
+
+def standardized_means(df: DataFrame, fit: Fit, scenarios: dict[str, dict[str, Column]], back: Callable[[float], float] = math.exp) -> list[dict[str, float]]:
+    """For each scenario the mean of the model's predictions over all rows with some terms set to it, back-transformed, with a 1.96 interval.
+
+    A scenario gives a Column for each term of the fit (levels or values fixed for all rows, the others as they are);
+    the mean prediction is the coefficients times the mean design, so all scenarios cost one pass.
+    """
+    cells = [F.avg(c.cast("double")).alias(f"c{i}_{j}") for i, terms in enumerate(scenarios.values()) for j, c in enumerate(terms[n] for n in fit.names[1:])]
+    means = np.array([float(v) for v in df.agg(*cells).first()]).reshape(len(scenarios), -1)
+    out = []
+    for name, mean in zip(scenarios, means, strict=True):
+        at = np.append(1.0, mean)
+        link, error = float(at @ fit.beta), math.sqrt(max(0.0, float(at @ fit.covariance @ at)))
+        out.append({"scenario": name, "estimate": back(link), "low": back(link - 1.96 * error), "high": back(link + 1.96 * error)})
+    return out
+
+
+def parametric_bootstrap(fit: Fit, vector: Sequence[float], replicas: int = 1000, seed: int = 1009, points: Sequence[float] = (0.025, 0.975)) -> tuple[float, float]:
+    """Interval of a linear function of the coefficients over refits to responses drawn from the model.
+
+    Refitted coefficients of a Gaussian model depend on the draws through their cross
+    products alone, which are drawn themselves; so no replica reads the data.
+    """
+    rng = np.random.default_rng(seed)
+    sigma = math.sqrt(fit.sse / max(1, fit.residual_df))
+    root = np.linalg.cholesky(np.linalg.pinv(fit.cross) + 1e-15 * np.eye(len(fit.beta)))
+    draws = fit.beta + sigma * rng.normal(size=(replicas, len(fit.beta))) @ root.T
+    low, high = np.quantile(draws @ np.asarray(vector, float), points)
+    return float(low), float(high)

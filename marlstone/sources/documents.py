@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
+import json
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
@@ -22,10 +24,17 @@ SKIPPED_TAGS = {"script", "style", "nav", "header", "footer", "aside", "form", "
 BLOCK_TAGS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "br", "tr", "blockquote", "pre"}
 
 
-def find_files(spark: SparkSession, root: str, pattern: str = "*.pdf", mains_only: bool = False) -> DataFrame:
-    """``path, length, content`` of all files below ``root`` that match; with ``mains_only`` those that name a supplement are left out."""
+def find_files(spark: SparkSession, root: str, pattern: str = "*.pdf", mains_only: bool = False, most: int | None = None) -> DataFrame:
+    """``path, length, content`` of all files below ``root`` that match, by path; with ``mains_only`` those that name a supplement are left out; ``most`` stops after so many.
+
+    ``root`` may be a file itself; one that does not match the pattern is a ValueError.
+    """
+    name = root.rstrip("/").rsplit("/", 1)[-1]
+    if re.fullmatch(r".+\.[A-Za-z0-9]{1,5}", name) and not any(c in name for c in "*?[") and not fnmatch.fnmatch(name.lower(), pattern.lower()):
+        raise ValueError(f"{root} is no {pattern}")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return found.where(~T.is_supplement(F.col("path"))) if mains_only else found
+    found = (found.where(~T.is_supplement(F.col("path"))) if mains_only else found).orderBy("path")
+    return found if most is None else found.limit(most)
 
 
 def markdown_table(rows: list[list[str]]) -> str:
@@ -124,7 +133,7 @@ def chunks(text: str | None, size: int = 1800, least: int = 40) -> list[str]:
     return [c for c in [*out, now] if len(c) >= least]
 
 
-def _elements(blocks: Callable, size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _elements(blocks: Callable, size: int, least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
@@ -134,20 +143,20 @@ def _elements(blocks: Callable, size: int) -> Callable[[Iterator[pd.DataFrame]],
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as failed:
                     found, error = [], f"{type(failed).__name__}: {failed}"
                 tables = [("table", t) for k, t in found if k == "table"]
-                texts = [("text", c) for k, t in found if k == "text" for c in chunks(t, size, 1)]
+                texts = [("text", c) for k, t in found if k == "text" for c in chunks(t, size, least)]
                 rows += [(ident, i, k, t, None) for i, (k, t) in enumerate([*tables, *texts], 1)] or [(ident, 0, "error", None, error or "empty")]
             yield pd.DataFrame(rows, columns=["id", "idx", "type", "content", "error"]).astype({"idx": "int32"})
 
     return run
 
 
-def elements(df: DataFrame, ident: str, content: str, kind: str = "html", size: int = 1800) -> DataFrame:
-    """Ordered elements of each document (tables first, then text chunks): ``id, idx, type, content, error``.
+def elements(df: DataFrame, ident: str, content: str, kind: str = "html", size: int = 1800, least: int = 40) -> DataFrame:
+    """Ordered elements of each document (tables first, then text chunks of ``least`` characters or more): ``id, idx, type, content, error``.
 
     A document that cannot be read, or is empty, has one row of type ``error``.
     """
     blocks = {"html": markup_blocks, "docx": lambda c: docx_blocks(bytes(c))}[kind]
-    return df.select(ident, content).mapInPandas(_elements(blocks, size), f"id {dict(df.dtypes)[ident]}, idx int, type string, content string, error string")
+    return df.select(ident, content).mapInPandas(_elements(blocks, size, least), f"id {dict(df.dtypes)[ident]}, idx int, type string, content string, error string")
 
 
 def raw_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -204,6 +213,92 @@ def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
     return files.withColumn("target", F.when(n == 0, F.col(name)).otherwise(F.concat(stem, F.lit("__"), n, ext)))
 
 
+#: Names under which a list of articles may have its columns.
+ARTICLE_COLUMNS = {"doi": ["doi"], "link": ["doi link", "doi_link", "url", "link"], "title": ["filename", "article title", "title"]}
+
+
+def first_column(df: DataFrame, names: Sequence[str]) -> str | None:
+    """The first of the names that a column has, blanks, underscores and case aside."""
+    folded = {re.sub(r"[\s_]+", "", c.strip().lower()): c for c in reversed(df.columns)}
+    return next((folded[re.sub(r"[\s_]+", "", n.lower())] for n in names if re.sub(r"[\s_]+", "", n.lower()) in folded), None)
+
+
+def article_list(sheet: DataFrame, order: str) -> DataFrame:
+    """``order, doi, link, title`` of a list of articles: rows with a DOI or a link, the first of each DOI or else link. Missing columns are null."""
+    found = {k: first_column(sheet, names) for k, names in ARTICLE_COLUMNS.items()}
+    columns = {k: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string") for k, c in found.items()}
+    rows = sheet.select(order, T.find_doi(columns["doi"]).alias("doi"), T.blank_to_null(columns["link"]).alias("link"), T.blank_to_null(columns["title"]).alias("title"))
+    rows = rows.where("doi is not null or link is not null").withColumn("_k", F.coalesce("doi", "link"))
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(order))).where("_n = 1").drop("_n", "_k")
+
+
+def extract_texts(files: DataFrame, parser: Callable[[bytes, int], tuple[list[str], int]], most_pages: int = 20, between: str = "\n") -> DataFrame:
+    """``path, text, pages, error`` of binary files (``path, content``) by a page parser: (content, most pages) -> (texts of the first pages, all pages).
+
+    The parser is given, so no library for a format is needed here; a file that it fails on has an ``error``.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, content in frame.itertuples(index=False, name=None):
+                try:
+                    texts, pages = parser(bytes(content), most_pages)
+                    rows.append((path, between.join(texts[:most_pages]), pages, None))
+                except Exception as failed:  # a parser may fail in any way
+                    rows.append((path, None, 0, f"{type(failed).__name__}: {failed}"))
+            yield pd.DataFrame(rows, columns=["path", "text", "pages", "error"]).astype({"pages": "int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, text string, pages int, error string")
+
+
+def leading_share(text: Column, pages: Column, most_pages: int, least: int = 1000) -> Column:
+    """A whole text cut to the share that ``most_pages`` are of its pages, ``least`` characters at least."""
+    keep = F.greatest(F.floor(F.length(text) * (F.lit(float(most_pages)) / pages)).cast("int"), F.lit(least))
+    return F.when(pages > most_pages, F.substring(text, F.lit(1), keep)).otherwise(text)
+
+
+def nested_rows(df: DataFrame, ident: str, data: str, targets: Sequence[str]) -> DataFrame:
+    """``ident, key, row``: the records under keys that match a target (``key_matches``) anywhere in nested JSON, outer ones first."""
+    names = [re.compile(rf"^{re.escape(t)}(_[0-9]+)?$") for t in targets]
+
+    def records_in(value: object) -> Iterator[tuple[str, dict]]:
+        if isinstance(value, dict):
+            for key, inner in value.items():
+                folded = re.sub(r"[\s-]+", "_", key.strip().lower())
+                if any(n.match(folded) for n in names):
+                    yield from ((key, r) for r in (inner if isinstance(inner, list) else [inner]) if isinstance(r, dict))
+            value = list(value.values())
+        if isinstance(value, list):
+            for inner in value:
+                yield from records_in(inner)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for i, text in frame.itertuples(index=False, name=None):
+                try:
+                    value = json.loads(text) if text else None
+                except ValueError:
+                    continue
+                rows += [(i, k, {a: b if isinstance(b, str) or b is None else json.dumps(b) for a, b in r.items()}) for k, r in records_in(value)]
+            yield pd.DataFrame(rows, columns=["id", "key", "row"])
+
+    kind = dict(df.dtypes)[ident]
+    return df.select(ident, data).mapInPandas(run, f"id {kind}, key string, row map<string, string>").withColumnRenamed("id", ident)
+
+
+def flat_records(value: object) -> list[dict]:
+    """The records of nested lists, in order; texts are passed over, anything else is a TypeError."""
+    if isinstance(value, dict):
+        return [value]
+    if isinstance(value, str):
+        return []
+    if isinstance(value, list | tuple):
+        return [r for inner in value for r in flat_records(inner)]
+    raise TypeError(f"no record: {type(value).__name__}")
+
+
 def export(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Write a table: Parquet, JSON lines, or CSV with a header in which null is an empty cell."""
     writer = df.write.mode("overwrite")
