@@ -82,21 +82,32 @@ def records_of(answers: DataFrame, ident: str) -> DataFrame:
     return answers.where("value is not null").select(ident, F.posexplode(rows).alias("ord", "row")).where("row is not null")
 
 
-def pack(elements: DataFrame, doc: str, order: str, text: str, most_tokens: int, kind: str | None = None) -> DataFrame:
-    """Neighbouring paragraphs of a document (of one class, if given) packed up to a number of tokens: ``doc, pack, first, last, text``.
+def pack(elements: DataFrame, doc: str, order: str, text: str, most_tokens: int, kind: str | None = None, kind_as: str | None = None) -> DataFrame:
+    """Neighbouring paragraphs of a document (of one class, if given) packed up to a number of tokens: ``doc, pack, first, last, tokens, text`` (and ``kind`` if asked for).
 
-    A token is taken as four characters. Packs are cut by running sums over each document's paragraphs in order.
+    A token is taken as four characters; a pack counts all its paragraphs. One pass over rows sorted by document and
+    order holds the open pack alone, so a long document needs no more memory than a short one.
     """
-    turns = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(text).alias("t"), (F.col(kind) if kind else F.lit("")).alias("k"))))
-    empty = F.array().cast("array<struct<first: bigint, last: bigint, tokens: bigint, k: string, t: string>>")
-
-    def step(done: Column, x: Column) -> Column:
-        last, own = F.element_at(done, -1), F.ceil(F.length(x.t) / 4).cast("long")
-        joined = F.struct(last.first.alias("first"), x.o.alias("last"), (last.tokens + own).alias("tokens"), x.k.alias("k"), F.concat(last.t, F.lit("\n\n"), x.t).alias("t"))
-        fresh = F.struct(x.o.alias("first"), x.o.alias("last"), own.alias("tokens"), x.k.alias("k"), x.t.alias("t"))
-        fits = (F.size(done) > 0) & (F.get(done, F.size(done) - 1).k == x.k) & (F.get(done, F.size(done) - 1).tokens + own <= most_tokens)
-        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(fresh)))
-
-    gathered = elements.groupBy(doc).agg(turns.alias("_turns"))
-    packed = gathered.select(doc, F.posexplode(F.aggregate("_turns", empty, step)).alias("pack", "_p"))
-    return packed.select(doc, "pack", "_p.first", "_p.last", "_p.tokens", F.col("_p.t").alias("text"))
+    own = elements.select(doc, F.col(order).cast("long").alias("_o"), F.coalesce(F.col(text), F.lit("")).alias("_t"), (F.col(kind) if kind else F.lit("")).alias("_k"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, number, now = None, 0, None
+        for frame in frames:
+            rows = []
+            for d, o, t, k in frame.itertuples(index=False, name=None):
+                tokens = -(-len(t) // 4)
+                if now is not None and d == last and k == now[5] and now[3] + tokens <= most_tokens:
+                    now[2], now[3] = o, now[3] + tokens
+                    now[4].append(t)
+                    continue
+                if now is not None:
+                    rows.append((last, number, now[1], now[2], now[3], "\n\n".join(now[4]), now[5]))
+                number = number + 1 if now is not None and d == last else 0
+                last, now = d, [d, o, o, tokens, [t], k]
+            yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame([] if now is None else [(last, number, now[1], now[2], now[3], "\n\n".join(now[4]), now[5])], columns=names)
+
+    names = [doc, "pack", "first", "last", "tokens", "text", "kind"]
+    schema = f"{doc} {dict(own.dtypes)[doc]}, pack int, first long, last long, tokens long, text string, kind string"
+    packed = own.repartition(doc).sortWithinPartitions(doc, "_o").mapInPandas(run, schema)
+    return packed if kind_as else packed.drop("kind")
