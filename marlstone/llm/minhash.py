@@ -4,10 +4,13 @@ One pass over the texts gives every document the fingerprint of its shingle set
 and the bands of its one-permutation signature (empty bins densified by optimal
 densification). Documents of one shingle set form a class, of which one stands
 in. In each band bucket the representatives get star-shaped candidate edges to
-the bucket's least one, so candidates stay linear in the bucket. The connected
-stars are candidate clusters; within a cluster, full shingle sets are compared
-in pairs of small blocks of documents, each task yielding only a spanning forest
-of the links that hold. No bucket, cluster or partner count is capped.
+the bucket's least one, its hub, so candidates stay linear in the bucket.
+
+Each representative is first compared with one hub, on full sets; confirmed links are contracted
+to components. What is left are buckets that hold several components: there every pair
+of different components is compared, in blocks of bounded size, and each task yields only
+a spanning forest of the links that hold. So all pairs that share a bucket are linked
+or known to be unlike; no bucket, cluster or partner count is capped.
 """
 
 from __future__ import annotations
@@ -16,18 +19,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import connected_components
+from marlstone.llm.heavy import join_by_key
 from marlstone.llm.shingles import mix64, raw_bytes, shingle_sets, text_slices
 from marlstone.llm.storage import small_batches, stage_table
 
 #: Bins of a signature (a power of two), rows of a band. 25 bands of 5 rows miss a pair of similarity 0.85
 #: once in about two million, of 0.8 once in about twenty thousand.
 BINS, ROWS = 128, 5
-#: Documents of a block when a cluster is compared.
-BLOCK = 96
+#: Documents and shingles of a block when the rest of a bucket is compared; leaves of a hub in one job; columns of a product.
+BLOCK, BLOCK_SHINGLES, LEAVES, COLUMNS = 384, 400_000, 1024, 4096
 SLICE = 500_000
 
 
@@ -87,58 +91,111 @@ def _fingerprints(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _forest(sets: list[np.ndarray], nodes: list[int], side: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Links ``100 * intersection >= threshold * union`` that span the components; pairs of one side only are left to others if both sides are here."""
-    m = len(sets)
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``left`` with those at ``right``, by products of 0/1 matrices over the shingles that several sets have."""
+    lengths = np.array([len(s) for s in sets])
+    values, flat, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[flat]
+    owner, flat = np.repeat(np.arange(len(sets)), lengths)[keep], column[flat[keep]]
+    order = np.argsort(flat, kind="stable")
+    owner, flat = owner[order], flat[order]
+    out = np.zeros((len(left), len(right)))
+    for begin in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(flat, [begin, begin + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[lo:hi], flat[lo:hi] - begin] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def _forest(sets: list[np.ndarray], nodes: list[int], side: np.ndarray, comps: list[int], threshold: int) -> list[tuple[int, int]]:
+    """Links ``100 * intersection >= threshold * union`` between different components, of which only those that join two; with two sides only links across."""
     lengths = np.array([len(s) for s in sets])
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    begins = np.cumsum(lengths) - lengths
-    parent = np.arange(m)
     two = side.min() != side.max()
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(sets)),) * 2
+    parent = np.unique(comps, return_inverse=True)[1].tolist()
+    if len(set(parent)) == 1:
+        return []
+    both = _common(sets, left, right)
+    whole = lengths[left][:, None] + lengths[right][None, :] - both
+    mixed = np.array(parent)
+    linked = (100 * both >= threshold * whole) & (mixed[left][:, None] != mixed[right][None, :])
+    head = list(range(max(parent) + 1))
+
+    def top(k: int) -> int:
+        while head[k] != k:
+            head[k] = head[head[k]]
+            k = head[k]
+        return k
+
     out = []
-    marked = np.zeros(int(flat.max()) + 1, np.int64)
-    for i in range(m):
-        root = parent[i]
-        others = np.flatnonzero((parent != root) & (np.arange(m) > i) & (lengths * 100 >= threshold * lengths[i]) & (lengths[i] * 100 >= threshold * lengths))
-        if two:
-            others = others[side[others] != side[i]]
-        if not len(others):
-            continue
-        own = flat[begins[i] : begins[i] + lengths[i]]
-        marked[own] = 1
-        picks = np.concatenate([flat[begins[j] : begins[j] + lengths[j]] for j in others])
-        ends = np.cumsum(lengths[others])
-        both = np.add.reduceat(marked[picks], ends - lengths[others])
-        marked[own] = 0
-        for j in others[100 * both >= threshold * (lengths[i] + lengths[others] - both)]:
-            if parent[j] != parent[i]:
-                out.append((nodes[i], nodes[j]))
-                parent[parent == parent[j]] = parent[i]
+    for i, j in np.argwhere(linked).tolist():
+        a, b = int(left[i]), int(right[j])
+        x, y = top(parent[a]), top(parent[b])
+        if x != y:
+            head[x] = y
+            out.append((nodes[a], nodes[b]))
     return out
 
 
+def _sets(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """Each row's place and shingle set, the text being the column of that number."""
+    for batch in batches:
+        column = batch.column(text).cast(pa.string())
+        for start, stop in text_slices(column, SLICE):
+            hashes, offsets = shingle_sets(*raw_bytes(column.slice(start, stop - start)))
+            for k in range(start, stop):
+                yield batch, k, hashes[offsets[k - start] : offsets[k - start + 1]]
+
+
+def _verify_stars(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``hub, chunk, leaf, node, text`` sorted by the first three: each leaf against its hub's set. One set is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, hubs, found, last = None, [], [], None
+        for batch, k, own in _sets(batches, 4):
+            if batch is not last:
+                if found:
+                    yield _edges(found)
+                names, found, last = [batch.column(c).to_pylist() for c in range(4)], [], batch
+            hub, chunk, leaf, node = (names[c][k] for c in range(4))
+            if (hub, chunk) != job:
+                job, hubs = (hub, chunk), []
+            if not leaf:
+                # rows of one id may have several texts; equal ones count once
+                if not any(len(h) == len(own) and (h == own).all() for h in hubs):
+                    hubs.append(own.copy())
+                continue
+            for h in hubs:
+                both = len(np.intersect1d(h, own, assume_unique=True))
+                if 100 * both >= threshold * (len(h) + len(own) - both):
+                    found.append((hub, node))
+                    break
+        yield _edges(found)
+
+    return run
+
+
 def _verify(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come sorted by job; a job is a pair of blocks of one cluster and so bounded."""
+    """Rows ``band, main, lo, hi, node, side, comp, text`` sorted by job, the first four; a job is two blocks or one and so bounded."""
 
     def job(rows: list[tuple]) -> list[tuple[int, int]]:
-        return _forest([r[1] for r in rows], [r[0] for r in rows], np.array([r[2] for r in rows]), threshold) if len(rows) > 1 else []
+        return _forest([r[3] for r in rows], [r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows], threshold) if len(rows) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows = None, []
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            names = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
-            nodes, sides = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            column = batch.column(5).cast(pa.string())
-            for start, stop in text_slices(column, SLICE):
-                hashes, offsets = shingle_sets(*raw_bytes(column.slice(start, stop - start)))
-                for k in range(start, stop):
-                    if names[k] != last:
-                        found += job(rows)
-                        last, rows = names[k], []
-                    rows.append((nodes[k], hashes[offsets[k - start] : offsets[k - start + 1]].copy(), sides[k]))
-            yield _edges(found)
-        yield _edges(job(rows))
+        now, rows, last = None, [], None
+        for batch, k, own in _sets(batches, 7):
+            if batch is not last:
+                names = list(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True))
+                members, last = list(zip(*(batch.column(c).to_pylist() for c in (4, 5, 6)), strict=True)), batch
+            if names[k] != now:
+                if rows:
+                    yield _edges(job(rows))
+                now, rows = names[k], []
+            rows.append((*members[k], own.copy()))
+        yield _edges(job(rows) if rows else [])
 
     return run
 
@@ -171,20 +228,58 @@ def _found(docs: DataFrame, threshold: int, id_col: str, text_col: str, rows: in
 
 def _links(source: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Components (``node, root``) of the classes' representatives under confirmed links."""
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    stars = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub <> far").drop("far")
-    edges = banded.join(stars, "band").where("node <> hub").select("node", "hub").distinct()
-    clusters = connected_components(edges, "node", "hub")
-    blocks = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = clusters.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    # one plan at every size: texts meet their clusters by a shuffle, never by a broadcast of the clusters
-    jobs = source.join(placed.hint("merge"), "node").select("root", "node", "block", "text", other)
-    # a job is two blocks, or one with itself; of two, the later one's rows are on side 1
-    jobs = jobs.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", (F.col("block") > F.col("other")).cast("int").alias("side"), "text")
-    jobs = jobs.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
-    links = jobs.mapInArrow(_verify(threshold), "a long, b long")
-    return connected_components(links, "a", "b")
+    banded = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count("*").alias("n")).where("hub <> far").drop("far")
+    rows = classes.select(F.sum(F.size("bands"))).first()[0] or 0
+    placed = stage_table(join_by_key(banded, stage_table(buckets, "buckets"), ["band"], "n", rows), "banded")
+    # a star edge for each representative: to the least hub of its buckets
+    stars = stage_table(placed.groupBy("node").agg(F.min("hub").alias("hub")), "stars")
+    candidates = stage_table(source.join(stars.hint("merge"), "node").select("node", "hub", "text"), "candidates")
+    leaves = candidates.where("node <> hub")
+    chunks = stars.where("node <> hub").groupBy("hub").agg(F.ceil(F.count("*") / LEAVES).alias("chunks"), F.count("*").alias("n"))
+    chunks = stage_table(chunks, "chunks")
+    own = join_by_key(leaves, chunks, ["hub"], "n", leaves.count()).select("hub", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(True).alias("leaf"), "node", "text")
+    hubs = candidates.select("node", "text").join(chunks.select(F.col("hub").alias("node"), "chunks").hint("merge"), "node")
+    hubs = hubs.select(F.col("node").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("leaf"), "node", "text")
+    jobs = hubs.unionByName(own).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "leaf", "node")
+    links = stage_table(jobs.mapInArrow(_verify_stars(threshold), "a long, b long"), "links")
+    first = connected_components(links, "a", "b")
+    rest = _rest(placed, stars, first, candidates, threshold)
+    return connected_components(links.unionByName(rest), "a", "b")
+
+
+def _rest(placed: DataFrame, stars: DataFrame, first: DataFrame, candidates: DataFrame, threshold: int) -> DataFrame:
+    """Links between the components that share a bucket: ``a, b``."""
+    comps = stars.select("node", F.col("hub").alias("tried")).join(first, "node", "left").select("node", "tried", F.coalesce("root", "node").alias("comp"))
+    members = stage_table(placed.select("node", "n_shingles", "band").join(comps.hint("merge"), "node"), "members")
+    # of each bucket: its components, and what its least member, whose component is the main one, was compared with
+    found = members.groupBy("band").agg(
+        F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("n"), F.min("node").alias("hub"), F.min_by("comp", "node").alias("main"), F.max_by("tried", "node").alias("tried"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_sum"),
+    )
+    # a pair that was compared needs no second look, nor does a set of members that another bucket has as well
+    found = found.where("_lo <> _hi and not (n = 2 and tried = hub)").groupBy("n", "_sum").agg(F.min(F.struct("band", "main")).alias("_b")).select("_b.*", "n")
+    found = stage_table(found, "open")
+    total = members.count()
+    rows = stage_table(join_by_key(members, found, ["band"], "n", total).withColumn("is_main", F.col("comp") == F.col("main")), "open-members")
+    blocks = rows.groupBy("band", "is_main").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("_blocks"))
+    blocks = blocks.groupBy("band").agg(F.coalesce(F.max(F.when(F.col("is_main"), F.col("_blocks"))), F.lit(0)).alias("mains"), F.coalesce(F.max(F.when(~F.col("is_main"), F.col("_blocks"))), F.lit(0)).alias("others"))
+    sizes = stage_table(rows.groupBy("band").agg(F.count("*").alias("n")).join(blocks, "band"), "blocks")
+    rows = join_by_key(rows, sizes, ["band"], "n", rows.count())
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
+
+    def every(n: str) -> Column:
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+
+    rows = rows.withColumn("block", block)
+    # members of the main component meet the others; the others meet one another too
+    across = F.transform(every("mains"), lambda k: F.struct(F.lit(True).alias("with_main"), F.col("block").alias("lo"), k.alias("hi"), F.lit(0).alias("side")))
+    among = F.transform(every("others"), lambda k: F.struct(F.lit(False).alias("with_main"), F.least(k, F.col("block")).alias("lo"), F.greatest(k, F.col("block")).alias("hi"), (F.col("block") > k).cast("int").alias("side")))
+    mains = F.transform(every("others"), lambda k: F.struct(F.lit(True).alias("with_main"), k.alias("lo"), F.col("block").alias("hi"), F.lit(1).alias("side")))
+    jobs = rows.select("band", "node", "comp", F.inline(F.when(F.col("is_main"), mains).otherwise(F.concat(across, among))))
+    jobs = candidates.select("node", "text").join(jobs.hint("merge"), "node").select("band", "with_main", "lo", "hi", "node", "side", "comp", "text")
+    jobs = jobs.repartition("band", "with_main", "lo", "hi").sortWithinPartitions("band", "with_main", "lo", "hi", "node")
+    return jobs.mapInArrow(_verify(threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:

@@ -143,6 +143,65 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.itertuples()} == _brute(rows, 85)
 
 
+@pytest.mark.parametrize("changed", [3, 9])
+def test_near_duplicates_of_two_thousand_variants(spark, monkeypatch, changed):
+    """Distinct near copies of which most (3) or few (9) are linked with their hub; small blocks, so that many jobs meet."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    monkeypatch.setattr(minhash, "LEAVES", 50)
+    rng = np.random.default_rng(changed)
+    rows = []
+    for i in range(2000):
+        words = [f"w{k}" for k in range(150)]
+        for at in rng.choice(150, rng.integers(0, changed), replace=False):
+            words[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    sets = {}
+    for i, text in rows:
+        w = text.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    columns = {s: k for k, s in enumerate(set().union(*sets.values()))}
+    common = np.zeros((2000, 2000), np.float32)
+    has = np.zeros((2000, len(columns)), np.float32)
+    for i, s in sets.items():
+        has[i, [columns[x] for x in s]] = 1
+    common = has @ has.T
+    size = has.sum(axis=1)
+    linked = 100 * common >= 85 * (size[:, None] + size[None, :] - common)
+    root = np.arange(2000)
+    while True:  # least id reachable
+        least = np.where(linked, root[None, :], 2000).min(axis=1)
+        if (least == root).all():
+            break
+        root = least
+    assert dict(zip(out.doc_id, out.component_id, strict=True)) == dict(enumerate(root.tolist()))
+
+
+def test_one_of_each_group_stays(spark):
+    copy = "the same words in every one of these many rows of text"
+    rows = [(3, copy, "a"), (3, copy, "b"), (3, copy + " indeed", "c"), (2, copy.upper(), "d"), (None, copy, "e"), (None, "rows without any id but with words", "f"), (None, "rows without any id but with words", "g"), (7, "", "h"), (7, "", "i"), (None, None, "j"), (8, " \t", "k")]
+    out = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, root string"), threshold=80)
+    got = [r["root"] for r in out.collect()]
+    assert out.columns == ["doc_id", "text", "root"] and {"d", "h", "i", "j", "k"} <= set(got) and len(got) == 6 and len({"f", "g"} & set(got)) == 1
+
+
+def test_text_ids(spark):
+    text = "a passage of ten words or so that recurs here twice over"
+    docs = spark.createDataFrame([("b", text, "s"), ("a", text + "\nindeed", "s"), (None, text, None)], "doc_id string, text string, source string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 60).collect()} == {"a": "a", "b": "a", None: "a"}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(docs).collect()} == {"a": text + "\nindeed", "b": "", None: ""}
+    words = len(text.split())
+    assert sum(sum(r["_takes"]) for r in mixing.schedule(docs).collect()) == int(1.5 * (3 * words + 1)) and mixing.mix(docs).columns == docs.columns
+    labels = spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, quality int")
+    assert quality.score_documents(docs, quality.train(docs, labels)).count() == 3
+
+
+def test_line_counts_have_free_names(spark):
+    docs = spark.createDataFrame([(1, "x y\nz", 42, 7), (2, "x y", 43, 8)], "doc_id long, text string, lines int, lines_ int")
+    out = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(docs).collect()}
+    assert (out[1]["lines"], out[1]["lines_"], out[1]["lines__"], out[1]["dropped_lines"]) == (42, 7, 2, 0) and (out[2]["lines"], out[2]["lines__"], out[2]["dropped_lines"]) == (43, 1, 1)
+
+
 def test_near_duplicates_awkward_rows(spark):
     out = minhash.near_duplicates(awkward(spark)).collect()
     assert len(out) == 12
