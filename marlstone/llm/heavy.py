@@ -10,16 +10,18 @@ HEAVY = 10_000
 
 
 def join_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
-    """Join (``inner``, or ``left`` for all rows) of ``rows`` with ``keyed``, which has one row for each key and the number ``count`` of the rows with it.
+    """Join (``inner``, or ``left`` for all rows) of ``rows`` with ``keyed``, a written table that has one row for each key and the number ``count`` of the rows with it.
 
     Keys with ``total / HEAVY`` rows or more are at most ``HEAVY`` by arithmetic
-    (their counts add up to no more than ``total``, the number of ``rows``): their few rows are broadcast and
-    the rows that have them are joined where they lie. All other keys are small
+    (their counts add up to no more than ``total``, the number of ``rows``): a hash of each tells the rows
+    that have them, which are joined where they lie with the few rows of these keys. All other keys are small
     and meet by a shuffle. ``count`` is dropped.
     """
     least = max(2, -(-total // HEAVY))
-    heavy = keyed.where(F.col(count) >= least).drop(count)
-    light = keyed.where(F.col(count) < least).drop(count)
-    here = rows.join(F.broadcast(heavy), keys)
-    there = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("merge"), keys, how)
-    return here.unionByName(there)
+    known = [r[0] for r in keyed.where(F.col(count) >= least).select(F.xxhash64(*keys)).collect()]  # at most HEAVY numbers
+    plain = keyed.drop(count)
+    if not known:
+        return rows.join(plain.hint("merge"), keys, how)
+    heavy = F.xxhash64(*keys).isin(known)
+    here = rows.where(heavy).join(F.broadcast(plain.where(heavy)), keys, how)
+    return here.unionByName(rows.where(~heavy).join(plain.where(~heavy).hint("merge"), keys, how))

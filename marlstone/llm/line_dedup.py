@@ -125,7 +125,7 @@ def line_templates(parts: DataFrame) -> DataFrame:
     thirds = varied.select(*_DOC, "_pos", F.inline(F.array(*rows))).where("_bits <> 0")
     # a hash of the document is enough to see that there are several; a false meeting costs keys, no line
     doc = F.when(F.col("_id").isNull(), F.col("_anon")).otherwise(F.xxhash64("_id"))
-    shared = thirds.groupBy("_t").agg(F.min(doc).alias("_a"), F.max(doc).alias("_b"), F.count("*").alias("_count")).where("_a < _b").select("_t", "_count")
+    shared = stage_table(thirds.groupBy("_t").agg(F.min(doc).alias("_a"), F.max(doc).alias("_b"), F.count("*").alias("_count")).where("_a < _b").select("_t", "_count"), "thirds")
     near = join_by_key(thirds, shared, ["_t"], "_count", PARTS * varied.count())
     combos = F.array(*[F.struct(F.lit(1 << at).alias("bit"), F.lit(u).alias("u"), F.lit(v).alias("v")) for at, (_, (u, v)) in enumerate(_COMBOS)])
     rest = F.array(*[f"_o{x}" for x in range(4)])
