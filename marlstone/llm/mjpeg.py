@@ -5,7 +5,8 @@ the lossless process (T.81, Annex H: a start of frame SOF3, the left or upper sa
 as prediction, Huffman-coded differences); the frames are the ``00dc`` chunks of an AVI
 file with an ``idx1`` index. Reading parses the RIFF lists and the index, decodes each
 frame on its own and cuts shots where the histograms of neighbouring frames differ by
-more than is usual around. Frames of many files are coded and decoded side by side in
+more than is usual around. Only frames of this size, process and code table are read; any
+other JPEG is an error. Frames of many files are coded and decoded side by side in
 numpy: one step for each sample of a frame, over all frames at once.
 """
 
@@ -191,7 +192,7 @@ def write_avis(payloads: np.ndarray, counts: np.ndarray) -> list[bytes]:
 
 
 def frame_places(avi: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the frames of an AVI file begin and end, from its index."""
+    """Where the frames of an AVI file begin and end, from its index, whose offsets count from ``movi`` or from the file's start."""
     if avi[:4] != b"RIFF" or avi[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     at, end, movi, index = 12, min(len(avi), 8 + struct.unpack_from("<I", avi, 4)[0]), None, None
@@ -205,7 +206,8 @@ def frame_places(avi: bytes) -> tuple[np.ndarray, np.ndarray]:
     if movi is None or index is None:
         raise ValueError("an AVI file without frames or index")
     rows = index[index[:, 0] == int.from_bytes(b"00dc", "little")].astype(np.int64)
-    starts = rows[:, 2] + movi + 8  # offsets count from the list's type to a chunk's head
+    base = movi if not len(rows) or avi[movi + int(rows[0, 2]) :][:4] == b"00dc" else 0
+    starts = rows[:, 2] + base + 8  # to the chunk behind its head
     return starts, starts + rows[:, 3]
 
 
