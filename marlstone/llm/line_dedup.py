@@ -70,7 +70,9 @@ def line_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     so long that compiling it takes gigabytes.
     """
     text = F.col(text_col).cast("string")
-    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_anon"), F.posexplode(F.split(text, "\n")).alias("_pos", "_text"))
+    # the hash of a text is taken before the text falls into lines, not once for each of them
+    whole = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_anon"), text.alias("_whole"))
+    lines = whole.select(*_DOC, F.posexplode(F.split("_whole", "\n")).alias("_pos", "_text"))
     digits = F.col("_text").rlike("[0-9]")
     # each token is met once: a match begins after space or at the start, and no run is given back
     masked = F.when(digits, F.regexp_replace("_text", f"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+", _FIELD)).otherwise(F.col("_text"))
@@ -91,7 +93,7 @@ def line_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sixths = F.sequence(F.lit(0), F.lit(2 * PARTS - 1))
     fixed = F.transform(sixths, lambda k: F.size(F.array_remove(half(k), _FIELD)))
     lines = lines.select(
-        *_DOC, "_pos", "_text", "_t", "_n", F.xxhash64("_n", F.slice("_t", 1, DEPTH)).alias("_lead"), F.when(F.col("_n") >= MIN_VARIED, F.transform(sixths, lambda k: F.xxhash64(half(k)))).alias("_h"),
+        *_DOC, "_pos", "_text", "_t", "_n", F.xxhash64("_n", F.slice("_t", 1, DEPTH)).alias("_lead"), F.when(F.col("_n") >= MIN_VARIED, F.array(*[F.xxhash64(half(F.lit(k))) for k in range(2 * PARTS)])).alias("_h"),
         F.when(F.col("_d"), F.size(F.array_remove("_t", _FIELD))).otherwise(F.col("_n")).alias("_f"), F.when(F.col("_d") & (F.col("_n") >= MIN_VARIED), fixed).alias("_c"),
     )
     pairs = F.array(*[F.struct(F.lit(1 << bit).alias("bit"), F.lit(i).alias("i"), F.lit(j).alias("j")) for bit, (i, j) in PAIRS.items()])
