@@ -44,8 +44,11 @@ def test_docx_and_damage(spark):
     cell = "<w:tc><w:p><w:r><w:t>{}</w:t></w:r></w:p></w:tc>"
     good = _docx("<w:p><w:r><w:t>Hello  docx</w:t></w:r></w:p><w:tbl><w:tr>" + cell.format("a|b") + cell.format("c") + "</w:tr></w:tbl>")
     assert D.docx_blocks(good) == [("text", "Hello docx"), ("table", "| a\\|b | c |\n|---|---|")]
-    df = spark.createDataFrame([(1, good), (2, b"no zip")], "id long, content binary")
-    assert sorted((r["id"], r["idx"], r["type"]) for r in D.elements(df, "id", "content", "docx").collect()) == [(1, 1, "table"), (1, 2, "text"), (2, 0, "error")]
+    whole = _docx("<w:p><w:r><w:t>A paragraph of forty characters or more stays.</w:t></w:r></w:p><w:tbl><w:tr>" + cell.format("a") + "</w:tr></w:tbl>")
+    df = spark.createDataFrame([(1, whole), (2, b"no zip"), (3, good)], "id long, content binary")
+    found = D.elements(df, "id", "content", "docx").collect()
+    assert sorted((r["id"], r["idx"], r["type"]) for r in found) == [(1, 1, "table"), (1, 2, "text"), (2, 0, "error"), (3, 1, "table")]  # a shorter text goes
+    assert D.elements(df.where("id = 3"), "id", "content", "docx", least=1).count() == 2
 
 
 def test_pages(spark):
