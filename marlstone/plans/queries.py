@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan has fewer tasks than these: a small table may be one row group. A larger scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.lower().replace("'", "''") + "'" for w in words) + "]"
 
@@ -57,7 +63,7 @@ SELECT doc_id, CAST(n_topic AS INTEGER) AS n_topic, CAST(n_method AS INTEGER) AS
 @query(_screen_sql())
 def screen_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the legacy profile for every document."""
-    out = screening.screen(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = screening.screen(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "n_topic", "n_method", "data_score", "score_total", "text_chars", "status")
 
 
@@ -71,7 +77,7 @@ SELECT profile, CASE WHEN short THEN 'Likely scanned PDF or low selectable text;
 FROM h GROUP BY ALL""")
 def screen_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by profile and reason."""
-    found = screening.signals(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = screening.signals(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return screening.verdicts(found).groupBy("profile", "reason").agg(F.count("*").alias("docs"))
 
 
