@@ -128,7 +128,8 @@ def signals(docs: DataFrame, text_col: str = "text", pages_col: str | None = Non
 
 def verdicts(found: DataFrame, profiles: Sequence[str] = PROFILES) -> DataFrame:
     """``profile, status, reason`` beside the signals of a document, a row for each profile: texts are looked at once whatever the profiles."""
-    asked = found.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in profiles])))
+    # one profile as a literal: signals that its rules do not look at are then not computed
+    asked = found.withColumn("profile", F.lit(profiles[0]) if len(profiles) == 1 else F.explode(F.array(*[F.lit(p) for p in profiles])))
     return asked.withColumn("_verdict", first_rule(RULES)).select("*", "_verdict.*").drop("_verdict")
 
 
