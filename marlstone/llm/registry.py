@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, chat, line_dedup, minhash, mixing, mjpeg, quality, sharding, topk, warc
+from marlstone.llm import bpe, chat, line_dedup, minhash, mixing, mjpeg, periodic, quality, sharding, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weighted_fair_mix": mixing.op1_weighted_fair_mix,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_forced_boundary_bpe": bpe.op8_forced_boundary_bpe,
     "op9_feistel_sharding": sharding.op9_feistel_sharding,
     "op10_line_template_dedup": line_dedup.op10_line_template_dedup,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
