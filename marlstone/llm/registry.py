@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, chat, hnsw, line_dedup, minhash, mixing, mjpeg, periodic, quality, sharding, topk, warc
+from marlstone.llm import bpe, chat, hnsw, importance, line_dedup, minhash, mixing, mjpeg, periodic, quality, sharding, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_weighted_fair_mix": mixing.op1_weighted_fair_mix,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_forced_boundary_bpe": bpe.op8_forced_boundary_bpe,
     "op9_feistel_sharding": sharding.op9_feistel_sharding,
     "op10_line_template_dedup": line_dedup.op10_line_template_dedup,
+    "op11_postings_resampling": importance.op11_postings_resampling,
     "op12_shard_graphs": hnsw.op12_shard_graphs,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
@@ -30,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op6_norm_bucket_topk": topk.OP6_SQL,
     "op9_feistel_sharding": sharding.OP9_SQL,
     "op10_line_template_dedup": line_dedup.OP10_SQL,
+    "op11_postings_resampling": importance.OP11_SQL,
 }
