@@ -222,7 +222,7 @@ def importance_weights(docs: DataFrame, target: DataFrame, buckets: int = 10_000
     s, t = (bucket_totals(d, c, buckets, most) for d, c in ((docs, text_col), (target, target_col)))
     every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     totals = every.join(s.select("bucket", F.col("n").alias("s")), "bucket", "left").join(t.select("bucket", F.col("n").alias("t")), "bucket", "left")
-    totals = stage_table(totals.select("bucket", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t")).coalesce(1), "totals")
+    totals = stage_table(totals.select("bucket", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t")), "totals")
     sums = totals.agg(F.sum("s").alias("s"), F.sum("t").alias("t")).first()
     slots = max(LEAST_SLOTS, docs.count() // SLOT_DOCS)
     blocks = source.mapInArrow(_post(buckets, most, slots), f"range int, slot int, ids array<{id_type}>, documents binary, postings binary")
