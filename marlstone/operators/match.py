@@ -1,70 +1,63 @@
-"""Joins that match records: validated, best-unique, fuzzy top-1, voting, containment."""
+"""Joins that match records: validated, best-unique, voting, by whole keys, by templates. Similar names are in ``similar``."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions import text as T
 
 
 def join_many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join; a key that the right side has twice raises while the join runs."""
-    counted = right.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    counted = right.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in right.columns if c not in keys])
     checked = counted.where(F.coalesce(F.assert_true(F.col("_n") == 1, "the right side repeats a key"), F.lit(True))).drop("_n")
     return left.join(checked, list(keys), "left")
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join in which both sides must have the same keys, each once; all else raises."""
-    a = left.withColumn("_a", F.count("*").over(Window.partitionBy(*keys)))
-    b = right.withColumn("_b", F.count("*").over(Window.partitionBy(*keys)))
+    a = left.groupBy(*keys).agg(F.count("*").alias("_a"), *[F.first(c).alias(c) for c in left.columns if c not in keys])
+    b = right.groupBy(*keys).agg(F.count("*").alias("_b"), *[F.first(c).alias(c) for c in right.columns if c not in keys])
     both = a.join(b, list(keys), "full")
     ok = (F.col("_a") == 1) & (F.col("_b") == 1)
     return both.where(F.coalesce(F.assert_true(F.coalesce(ok, F.lit(False)), "the sides do not match one to one"), F.lit(True))).drop("_a", "_b")
 
 
 def best_unique(rows: DataFrame, candidates: DataFrame, block: Sequence[str], fields: Sequence[str], ident: str, found: str, least: int = 2) -> DataFrame:
-    """For each row (``ident``) the candidate (``found``) of its block that agrees in most non-null fields, where that is ``least`` or more and only one has it."""
-    other = candidates.select(*block, found, *[F.col(f).alias(f"_c_{f}") for f in fields])
-    score = sum((F.coalesce((F.col(f) == F.col(f"_c_{f}")).cast("int"), F.lit(0)) for f in fields), F.lit(0))
-    scored = rows.join(other, list(block)).withColumn("_score", score).where(F.col("_score") >= least)
-    tops = scored.groupBy(ident, "_score").agg(F.min(found).alias("_lo"), F.max(found).alias("_hi"))
-    best = tops.groupBy(ident).agg(F.max(F.struct("_score", "_lo", "_hi")).alias("_b"))
-    return best.where("_b._lo = _b._hi").select(ident, F.col("_b._lo").alias(found), F.col("_b._score").alias("score"))
+    """For each row (``ident``) the candidate (``found``) of its block that agrees in most non-null fields, where that is ``least`` or more and only one has it.
 
+    Candidates of equal fields stand together: as one, if alone, else as several that rule each other out. A row meets those
+    that share some ``least`` of its fields, by an index of all choices of so many fields.
+    """
+    shapes = candidates.groupBy(*block, *fields).agg(F.min(found).alias("_lo"), F.max(found).alias("_hi")).withColumn("_other", F.struct(*fields)).drop(*fields)
+    asking = rows.select(*block, *fields).distinct().withColumn("_own", F.struct(*fields)).drop(*fields)
 
-def vote(scores: DataFrame, ident: str, option: str, score: str, least: float) -> DataFrame:
-    """Scores added up by option: the strict winner of each ident, if any single score reaches ``least``."""
-    sums = scores.groupBy(ident, option).agg(F.sum(score).alias("_sum"), F.max(score).alias("_best"))
-    ranked = sums.groupBy(ident).agg(F.max("_sum").alias("_top"), F.max("_best").alias("_one"), F.collect_list(F.struct("_sum", option)).alias("_all"))
-    winners = F.filter("_all", lambda x: x["_sum"] == F.col("_top"))
-    return ranked.where((F.col("_one") >= least) & (F.size(winners) == 1)).select(ident, F.get(winners, F.lit(0))[option].alias(option), F.col("_top").alias("score"))
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """1 for equal keys, the shorter over the longer (0.65 at least) for containment, else the tokens' Jaccard."""
-    short = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
-    inside = F.contains(a, b) | F.contains(b, a)
-    return F.when(a == b, F.lit(1.0)).when(inside & (F.length(a) > 0) & (F.length(b) > 0), F.greatest(F.lit(0.65), short)).otherwise(T.jaccard(T.tokens(a), T.tokens(b)))
+    def indexed(side: DataFrame, whole: str) -> DataFrame:
+        parts = [F.when(reduce(and_, [F.col(f"{whole}.{f}").isNotNull() for f in c]), F.struct(F.lit(k).alias("k"), F.to_json(F.struct(*[F.col(f"{whole}.{f}") for f in c])).alias("v"))) for k, c in enumerate(combinations(fields, least))]
+        return side.withColumn("_at", F.explode(F.array_compact(F.array(*parts))))
 
+    same = [(F.col(f"_own.{f}") == F.col(f"_other.{f}")) for f in fields]
+    met = indexed(asking, "_own").join(indexed(shapes, "_other"), [*block, "_at"])
+    # a pair meets at each choice that agrees: it counts at the first
+    first = F.coalesce(*[F.when(reduce(and_, [F.coalesce(same[fields.index(f)], F.lit(False)) for f in c]), F.lit(k)) for k, c in enumerate(combinations(fields, least))])
+    met = met.where(F.col("_at.k") == first).withColumn("_score", sum((F.coalesce(x.cast("int"), F.lit(0)) for x in same), F.lit(0)))
+    tops = met.groupBy(*block, "_own", "_score").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    best = tops.groupBy(*block, "_own").agg(F.max(F.struct("_score", "_lo", "_hi")).alias("_b")).where("_b._lo = _b._hi")
+    return rows.withColumn("_own", F.struct(*fields)).join(best, [*block, "_own"]).select(ident, F.col("_b._lo").alias(found), F.col("_b._score").alias("score"))
 
-def fuzzy_top1(rows: DataFrame, names: DataFrame, block: Sequence[str], ident: str, name: str, target: str, least: float = 0.30) -> DataFrame:
-    """For each row its best name of the same block from ``least`` on; the first by name on equal scores."""
-    both = rows.join(names, list(block)).withColumn("score", similarity(T.alnum_key(F.col(name)), T.alnum_key(F.col(target)))).where(F.col("score") >= least)
-    best = both.groupBy(ident).agg(F.min(F.struct((-F.col("score")).alias("_s"), F.col(target))).alias("_b"))
-    return best.select(ident, F.col(f"_b.{target}").alias(target), (-F.col("_b._s")).alias("score"))
 
-
-def token_overlap(rows: DataFrame, names: DataFrame, ident: str, name: str, target: str, least: int = 2) -> DataFrame:
-    """For each row the name that shares most tokens, ``least`` or more; joined on tokens, so only overlapping pairs meet."""
-    a = rows.select(ident, F.explode(T.tokens(F.col(name))).alias("_t"))
-    b = names.select(target, F.explode(T.tokens(F.col(target))).alias("_t")).distinct()
-    shared = a.join(b, "_t").groupBy(ident, target).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    best = shared.groupBy(ident).agg(F.min(F.struct((-F.col("_n")).alias("_s"), F.col(target))).alias("_b"))
-    return best.select(ident, F.col(f"_b.{target}").alias(target), (-F.col("_b._s")).alias("shared"))
+def vote(scores: DataFrame, ident: str, option: str, score: str, least: float) -> DataFrame:
+    """Scores added up by option: the strict winner of each ident, if any single score reaches ``least``."""
+    sums = scores.groupBy(ident, option).agg(F.sum(score).alias("_sum"), F.max(score).alias("_best"))
+    # the greatest sum by its least and by its greatest option: one option where they agree
+    ends = [F.max_by(F.struct(option), F.struct("_sum", option)).alias("_hi"), F.min_by(F.struct(option), F.struct((-F.col("_sum")).alias("_down"), option)).alias("_lo")]
+    ranked = sums.groupBy(ident).agg(F.max("_sum").alias("_top"), F.max("_best").alias("_one"), *ends)
+    return ranked.where((F.col("_one") >= least) & (F.col("_hi") == F.col("_lo"))).select(ident, F.col(f"_hi.{option}").alias(option), F.col("_top").alias("score"))
 
 
 def unique_by_key(rows: DataFrame, evidence: DataFrame, keys: Sequence[str], ident: str, found: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import match, records, resolve
+from marlstone.operators import match, records, resolve, similar
 from marlstone.plans import vocabulary as V
 from marlstone.plans.screening import classify_sample
 from marlstone.sources.tables import ADSORPTION_FIELDS, MATERIAL_FIELDS
@@ -46,6 +46,14 @@ def resolve_ids(rows: DataFrame) -> DataFrame:
     return out.withColumn("filename", F.coalesce("_name", "filename")).withColumn("sample_id", F.coalesce("canonical", "sample_id")).drop("_name", "canonical", "_sid")
 
 
+def alias_ids(adsorption: DataFrame, materials: DataFrame) -> DataFrame:
+    """Adsorption rows under the spelling that their paper's materials have for the sample, aliases included (``similar.alias``)."""
+    asked = adsorption.where("sample_id is not null").select("paper", "sample_id").distinct().withColumn("_i", F.struct("paper", "sample_id"))
+    known = materials.where("sample_id is not null").groupBy("paper", F.col("sample_id").alias("_known")).agg(F.min("ord").alias("_ord"))
+    found = similar.alias(asked, known, ["paper"], "_i", "sample_id", "_known", "_ord").select("_i.paper", "_i.sample_id", "_known")
+    return adsorption.join(found, ["paper", "sample_id"], "left").withColumn("sample_id", F.coalesce("_known", "sample_id")).select(adsorption.columns)
+
+
 def drop_false_samples(materials: DataFrame, adsorption: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Materials named like reagents, design runs or a pollutant of their paper go, and adsorption rows of reagents or of samples cited from other papers."""
     pollutants = adsorption.select("paper", T.alnum_key(F.col("pollutant_name")).alias("_s")).where("_s <> ''").distinct()
@@ -55,16 +63,33 @@ def drop_false_samples(materials: DataFrame, adsorption: DataFrame) -> tuple[Dat
 
 
 def keep_targets(materials: DataFrame, adsorption: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose sample is acid-treated or pristine: a sample has the highest class of its rows; unknown ones inherit from the id without its first letter."""
-    cls = classify_sample(F.col("sample_id"), F.col("acid_type"), F.col("modification_sequence"))
+    """Rows whose sample is acid-treated or pristine.
+
+    A sample has the highest class of its rows in the paper; one of another class that descends from such a sample
+    letter by letter counts as acid-treated. A material without an id has the class of its own fields. An adsorption row has the class of its sample in
+    the paper, else in all papers, else that which the paper's other samples give it (``similar.inferred_class``), else that of its own id.
+    """
+    kept = ["acid", "pristine"]
     key = T.alnum_key(F.col("sample_id"))
-    best = records.lattice_max(materials.withColumn("_k", key).withColumn("_class", cls), ["paper", "_k"], "_class", _RANKS)
-    parents = best.where("_class in ('acid', 'pristine')").select("paper", F.col("_k").alias("_parent"), F.col("_class").alias("_theirs"))
-    best = best.withColumn("_parent", F.when(F.col("_k").startswith("n"), F.expr("substring(_k, 2)"))).join(parents, ["paper", "_parent"], "left")
-    kept = best.withColumn("_class", F.when(F.col("_class") == "unknown", F.coalesce("_theirs", "_class")).otherwise(F.col("_class"))).where("_class in ('acid', 'pristine')").select("paper", "_k")
-    m = materials.withColumn("_k", key)
-    a = adsorption.withColumn("_k", key)
-    return m.where("_k = ''").unionByName(m.join(kept, ["paper", "_k"], "left_semi").select(m.columns)).drop("_k"), a.where("_k = ''").unionByName(a.join(kept, ["paper", "_k"], "left_semi").select(a.columns)).drop("_k")
+    own = classify_sample(F.col("sample_id"), F.col("acid_type"), F.col("modification_sequence"))
+    m = materials.withColumn("_k", key).withColumn("_own", own)
+    best = records.lattice_max(m.where("_k <> ''"), ["paper", "_k"], "_own", _RANKS)
+    family = similar.family_class(best, ["paper"], "_own", kept).withColumn("_born", F.lit(True))
+    cls = F.when(~F.col("_own").isin(kept) & F.col("_born"), "acid").otherwise(F.col("_own"))
+    known = stage_table(best.join(family, ["paper", "_k"], "left").select("paper", "_k", cls.alias("_class")), "classes")
+    sound = known.where(F.col("_class").isin(kept)).select("paper", "_k")
+    named = m.where("_k <> ''").join(sound, ["paper", "_k"], "left_semi")
+    materials = named.unionByName(m.where((F.col("_k") == "") & F.col("_own").isin(kept))).select(materials.columns)
+    # adsorption rows by distinct sample, so that every rule runs once for each
+    samples = stage_table(adsorption.select("paper", "sample_id", key.alias("_k")).distinct().withColumn("_i", F.struct("paper", "sample_id")), "samples")
+    everywhere = records.lattice_max(known, ["_k"], "_class", _RANKS).withColumnRenamed("_class", "_all")
+    inferred = similar.inferred_class(samples, known, ["paper"], "_i", "sample_id", "_class", kept, "pristine").select("_i", F.col("_class").alias("_inferred"))
+    blank = F.lit(None).cast("string")
+    fallen = F.coalesce("_inferred", classify_sample(F.col("sample_id"), blank, blank))
+    judged = samples.join(known, ["paper", "_k"], "left").join(everywhere.where("_k <> ''"), "_k", "left").join(inferred, "_i", "left")
+    judged = judged.where(F.coalesce("_class", "_all", fallen).isin(kept)).select("paper", F.col("sample_id").alias("_s"))
+    stay = adsorption.join(judged.withColumnRenamed("paper", "_p"), F.col("paper").eqNullSafe(F.col("_p")) & F.col("sample_id").eqNullSafe(F.col("_s")), "left_semi")
+    return materials, stay
 
 
 def merge_adsorption(rows: DataFrame) -> DataFrame:
@@ -93,7 +118,7 @@ def export_tables(raw_materials: DataFrame, raw_adsorption: DataFrame, targets_o
 
     values = [f for f in MATERIAL_FIELDS if f != "sample_id"]
     m, a = both(resolve_ids(normalise_materials(raw_materials)), resolve_ids(normalise_adsorption(raw_adsorption)), "named")
-    m, a = drop_false_samples(m, a)
+    m, a = drop_false_samples(m, alias_ids(a, m))
     m, a = both(resolve.propagate_templates(m, _TEMPLATE), a, "sound")
     if targets_only:
         m, a = both(*keep_targets(m, a), "targets")

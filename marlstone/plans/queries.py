@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.agents import seam
-from marlstone.operators import fill, match, measures, records, resample
+from marlstone.operators import fill, match, measures, records, resample, similar
 from marlstone.plans import screening
 from marlstone.plans import vocabulary as V
 from marlstone.sources import documents
@@ -253,7 +253,7 @@ def fuzzy_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every part the best of its brand's types and shortened names by equality, containment or token overlap of folded names."""
     part = table(spark, sf_dir, "part")
     names = part.select("p_brand", F.col("p_type").alias("target")).unionByName(part.select("p_brand", F.expr("substring(p_name, 1, length(p_name) - 2)").alias("target"))).distinct()
-    return match.fuzzy_top1(part.select("p_partkey", "p_brand", "p_name"), names, ["p_brand"], "p_partkey", "p_name", "target")
+    return similar.fuzzy_top1(part.select("p_partkey", "p_brand", "p_name"), names, ["p_brand"], "p_partkey", "p_name", "target")
 
 
 @query(f"""
@@ -264,7 +264,7 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every part the type and name, of any part, that shares most tokens with its name."""
     part = table(spark, sf_dir, "part")
     names = part.select(F.concat_ws(" ", "p_type", "p_name").alias("target")).distinct()
-    return match.token_overlap(part.select("p_partkey", "p_name"), names, "p_partkey", "p_name", "target")
+    return similar.token_overlap(part.select("p_partkey", "p_name"), names, "p_partkey", "p_name", "target")
 
 
 @query("""

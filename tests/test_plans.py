@@ -138,3 +138,23 @@ def test_mixed_model_finds_the_variances(spark):
     assert (fit.rows, fit.outer_groups, fit.inner_groups) == (240, 12, 48) and 0 < fit.marginal_r2 < 1
     statistic, chance = mixed.likelihood_ratio(mixed.mixed_model(df, {}, "y", "o", "i", rounds=1), fit, df)
     assert statistic > 20 and chance < 1e-4
+
+
+def test_targets_by_paper_by_all_papers_by_context_and_by_family(spark):
+    fields = "paper string, sample_id string, acid_type string, modification_sequence string"
+    m = [("p", "SC", "HNO3", None), ("p", "NSC", "KOH", None), ("p", "NNSC", "KOH", None), ("p", "HMB", "KOH", None), ("p", None, "HCl", None), ("p", None, None, None), ("q", "ZC", "HCl", None), ("r", "OB", "KOH", None)]
+    a = [("p", "SC"), ("p", "nsc"), ("p", "SC-2"), ("p", "MB"), ("p", "HMB"), ("p", None), ("q", None), ("r", "ZC"), ("r", "thing-KOH"), ("r", None), ("s", "BC-HNO3")]
+    from marlstone.plans import export
+
+    kept, stay = export.keep_targets(spark.createDataFrame(m, fields), spark.createDataFrame(a, "paper string, sample_id string"))
+    assert sorted((r.paper, r.sample_id or "") for r in kept.collect()) == [("p", ""), ("p", "NNSC"), ("p", "NSC"), ("p", "SC"), ("q", "ZC")]
+    # HMB is known as another class, so MB is its untreated material; a blank row stays where the paper has one class
+    assert sorted((r.paper, r.sample_id or "") for r in stay.collect()) == [("p", ""), ("p", "MB"), ("p", "SC"), ("p", "SC-2"), ("p", "nsc"), ("q", ""), ("r", "ZC"), ("s", "BC-HNO3")]
+
+
+def test_aliases_of_adsorption_rows(spark):
+    from marlstone.plans import export
+
+    m = spark.createDataFrame([("p", "BC-Mg", 1), ("p", "BC", 2)], "paper string, sample_id string, ord int")
+    a = spark.createDataFrame([("p", "bc modified with mg", 5), ("p", "b c", 6), ("p", None, 7), ("q", "bc modified with mg", 8)], "paper string, sample_id string, ord int")
+    assert {r.ord: r.sample_id for r in export.alias_ids(a, m).collect()} == {5: "BC-Mg", 6: "BC", 7: None, 8: "bc modified with mg"}
