@@ -1,9 +1,8 @@
-"""Names and formulas of materials, and records of one material brought together."""
+"""Names and formulas of materials. Records of one material are brought together by ``operators.collect``."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
 
 #: Symbols of the elements, by rows of the periodic table.
 ELEMENTS = frozenset(
@@ -47,40 +46,3 @@ def chemical_formula(text: str | None) -> tuple[str | None, bool | None]:
     if any(u in text for u in UNUSUAL) or "[" in bare or "]" in bare or not parts or any(e not in ELEMENTS for e, _ in parts):
         return text, False
     return " ".join(sorted(f"{e}{n or '1'}" for e, n in parts)), True
-
-
-def same_material(known: dict, other: dict) -> bool:
-    """Whether ``other`` is the known material: its name or symbol is the known one's name, or its symbol; different formulas from one kind of source speak against a name."""
-    if known.get("name") and known["name"] in (other.get("name"), other.get("symbol")):
-        return known.get("formula") == other.get("formula") or known.get("source") != other.get("source")
-    return bool(known.get("symbol")) and known["symbol"] in (other.get("symbol"), other.get("name"))
-
-
-def _join(known: dict, other: dict) -> None:
-    if known.get("name") and known["name"] == other.get("symbol"):
-        known["name"], known["symbol"] = other.get("name") or known["name"], other["symbol"]
-    if other.get("source") != "synthesis condition" and other.get("general"):
-        known["formula"], known["source"] = other.get("formula"), other.get("source")
-    if not known.get("formula"):
-        known["formula"], known["source"] = other.get("formula"), other.get("source")
-    for key in ("name", "symbol", "synonyms", "refcode"):
-        known[key] = known.get(key) or other.get(key)
-    for key, value in other["data"].items():
-        name, n = key, 0
-        while name in known["data"]:
-            n += 1
-            name = f"{key}_{n}"
-        known["data"][name] = value
-    known["elements"] += other["elements"]
-
-
-def collect(records: Iterable[dict]) -> list[dict]:
-    """Records (``name, symbol, formula, general, source, data, elements``) in order: each joins the first known material that it is, else it is a new one; data of one key are numbered."""
-    out: list[dict] = []
-    for record in records:
-        hit = next((k for k in out if same_material(k, record)), None)
-        if hit is None:
-            out.append({**record, "data": dict(record["data"]), "elements": list(record["elements"])})
-        else:
-            _join(hit, record)
-    return out

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marlstone.agents import replies, seam
 from marlstone.functions import text as T
+from marlstone.staging import stage_table
 
 #: Words that say what a text is about where a model names nothing.
 PREPARATION_WORDS = ["biochar", "pyrolysis", "acid", "hcl", "hno3", "h2so4", "h3po4"]
@@ -63,10 +64,11 @@ class Miner:
         if names is not None:
             prompt = F.replace(prompt, F.lit("{names}"), F.array_join(F.col(names), ", "))
         prompt = F.replace(prompt, F.lit("{text}"), F.coalesce(F.col(text), F.lit("")))
-        answers = seam.ask(rows.select("id", "idx", prompt.alias("_p")).withColumn("_key", F.struct("id", "idx")), "_key", "_p", backend or self.backend, self.kept)
+        # written at once: a later step that reads the replies several times would ask for them as often
+        answers = stage_table(seam.ask(rows.select("id", "idx", prompt.alias("_p")).withColumn("_key", F.struct("id", "idx")), "_key", "_p", backend or self.backend, self.kept), step)
         self.answers.append(answers.withColumn("step", F.lit(step)))
         found = answers.select(F.col("_key.id").alias("id"), F.col("_key.idx").alias("idx"), "reply", "value", "error")
-        return rows.join(found, ["id", "idx"], "left")
+        return stage_table(rows.join(found, ["id", "idx"], "left"), f"{step}-rows")
 
 
 def _read(rows: DataFrame, name: str, rule: Callable[[str | None], list[str]], source: str = "reply") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries of the similarity joins: names that only tokens, containment, suffixes or descent link."""
+"""Queries of the similarity joins and the collector: names that only tokens, containment, suffixes, descent or order link."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import similar
+from marlstone.operators import collect, similar
 from marlstone.plans.queries import query, table
 
 _KEY = "lower(regexp_replace({0}, '[^A-Za-z0-9]+', '', 'g'))"
@@ -94,3 +94,24 @@ def family_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     cls = F.element_at(F.array(*[F.lit(c) for c in ("acid", "other", "unknown", "other", "other")]), (F.min("p_size") % 5 + 1).cast("int"))
     known = part.groupBy("p_brand", key.alias("_k")).agg(cls.alias("cls"))
     return similar.family_class(known, ["p_brand"], "cls", ("acid", "pristine")).withColumnRenamed("_k", "name")
+
+
+def part_records(part: DataFrame) -> DataFrame:
+    """Parts as records of materials: of a brand, by part number, named by a word and a size or not at all."""
+    word, size = F.split("p_name", " "), F.col("p_size")
+    name = F.when(size % 4 > 0, F.concat(word[0], (size % 7).cast("string")))
+    symbol = F.when(size % 3 == 0, F.concat(word[0], ((size + 1) % 7).cast("string"))).when(size % 3 == 1, word[1])
+    source = F.element_at(F.array(F.lit("text"), F.lit("table"), F.lit(collect.SYNTHESIS)), (size % 3 + 1).cast("int"))
+    data = F.create_map(F.lit("size"), size.cast("string"), F.concat(F.lit("size_"), (size % 3).cast("string")), F.col("p_type"))
+    return part.select(
+        F.col("p_brand").alias("doc"), F.col("p_partkey").alias("ord"), name.alias("name"), symbol.alias("symbol"), F.when(size % 5 > 0, F.col("p_type")).alias("formula"), source.alias("source"), (size % 2 == 0).alias("general"),
+        F.when(size % 6 == 0, F.array("p_type")).alias("synonyms"), F.when(size % 8 == 0, F.col("p_name")).alias("refcode"), data.alias("data"), F.array(F.col("p_partkey").cast("string")).alias("elements"),
+    )
+
+
+@query()
+def collected_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts brought together as materials of their brand; order decides, so plain Python states it in the tests."""
+    found = collect.collect_records(part_records(table(spark, sf_dir, "part")))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("data")), lambda e: F.concat(e.key, F.lit("="), e.value)), ";")
+    return found.select("doc", "material", "records", "name", "symbol", "formula", "source", F.array_join("synonyms", ";").alias("synonyms"), "refcode", text.alias("data"), F.array_join("elements", ";").alias("elements"))

@@ -1,4 +1,4 @@
-"""Tables that cut a long plan: written where every executor can read them, read back by schema."""
+"""Tables that cut a long plan: written where every executor can read them, read back by schema, removed when no step reads them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +28,43 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder; nothing is reused between runs."""
+    _written.append(f"{shared_dir(spark)}/marlstone/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and return it read back; a lost executor then costs only tasks that read files."""
-    path = f"{shared_dir(df.sparkSession)}/marlstone/{label}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder as Parquet and return it read back.
+
+    The result's lineage starts at the files, so a lost executor costs only the
+    tasks that read them. The schema is given on reading: empty tables work.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete paths that no later step reads."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def staged_since(begun: int) -> list[str]:
+    """Paths written after the first ``begun`` ones."""
+    return _written[begun:]
+
+
+def mark() -> int:
+    """How many paths are in use."""
+    return len(_written)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table staged by this process. Results that still read one must be written first."""
+    remove(spark, list(_written))

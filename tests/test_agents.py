@@ -66,14 +66,3 @@ def test_chemical_names():
     assert chemistry.chemical_name("Cu<sub>2</sub>L · 3H2O") == "Cu2L" and chemistry.chemical_name("{ZnL}⋅2H2O") == "{ZnL}"
     assert chemistry.chemical_formula("H₂SO4") == ("H2 O4 S1", True) and chemistry.chemical_formula("(NH4)2") == ("H42 N1", True)
     assert chemistry.chemical_formula("Qx2") == ("Qx2", False) and chemistry.chemical_formula("[Cu]") == ("[Cu]", False) and chemistry.chemical_formula("Unknown") == ("", False) and chemistry.chemical_formula("") == (None, None)
-
-
-def test_materials_are_collected():
-    def record(name, symbol, formula, source, **data):
-        return {"name": name, "symbol": symbol, "formula": formula, "general": bool(formula), "source": source, "data": data, "elements": [source]}
-
-    rows = [record("MB", None, "C1", "text", a=1), record("other", "MB", None, "table", a=2, b=3), record("MB", None, "C2", "text", a=4), record(None, "MB", None, "table", a=5)]
-    out = chemistry.collect(rows)
-    assert [(r["name"], r["symbol"], r["data"]) for r in out] == [("other", "MB", {"a": 1, "a_1": 2, "b": 3, "a_2": 4, "a_3": 5})]
-    veto = chemistry.collect([record("A", None, "C1", "text"), record("A", None, "C2", "text"), record("A", None, "C2", "table")])
-    assert len(veto) == 2 and veto[0]["formula"] == "C2"
