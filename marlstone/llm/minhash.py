@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.components import connected_components
 from marlstone.llm.heavy import join_by_key
 from marlstone.llm.shingles import mix64, raw_bytes, shingle_sets, text_slices
 from marlstone.llm.storage import small_batches, stage_table
+from marlstone.operators.graph import connected_components
 
 #: Bins of a signature (a power of two), rows of a band. 25 bands of 5 rows miss a pair of similarity 0.85
 #: once in about two million, of 0.8 once in about twenty thousand.
@@ -219,15 +219,28 @@ def _found(docs: DataFrame, threshold: int, id_col: str, text_col: str, rows: in
     key = ["n_shingles", "f1", "f2"]
     classes = prints.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("node"), F.any_value("bands").alias("bands"))
     classes = stage_table(classes, "classes")
-    linked = _links(source.select("node", "text"), classes, threshold)
+    linked = _links(source.select("node", "text"), classes, _shared_ids(prints, classes), threshold)
     named = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select(*key, "root", "component_id")
     return prints.drop("node", "bands").join(named, key, "left").select("doc_id", "h1", "h2", "n_shingles", "root", "component_id")
 
 
-def _links(source: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Components (``node, root``) of the classes' representatives under confirmed links."""
+def _shared_ids(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the representatives of classes that hold different texts of one id."""
+    spark, key = prints.sparkSession, ["n_shingles", "f1", "f2"]
+    rows = prints.where("n_shingles > 0")
+    several = rows.groupBy("node").agg(F.min(F.struct(*key)).alias("_lo"), F.max(F.struct(*key)).alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("node", "_lo", "_n")
+    several = stage_table(several, "shared-ids")
+    if several.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    met = join_by_key(rows.select("node", *key), several, ["node"], "_n", rows.count()).select(*key, "_lo").distinct().where(F.struct(*key) != F.col("_lo"))
+    met = met.join(classes.select(*key, F.col("node").alias("a")), key).select("a", "_lo.*")
+    return stage_table(met.join(classes.select(*key, F.col("node").alias("b")), key).select("a", "b").where("a <> b"), "shared-ids")
+
+
+def _links(source: DataFrame, classes: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
+    """Components (``node, root``) of the classes' representatives under confirmed and ``known`` links."""
     banded = classes.select("node", "n_shingles", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count("*").alias("n")).where("hub <> far").drop("far")
     rows = classes.select(F.sum(F.size("bands"))).first()[0] or 0
@@ -242,7 +255,7 @@ def _links(source: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     hubs = candidates.select("node", "text").join(chunks.select(F.col("hub").alias("node"), "chunks").hint("merge"), "node")
     hubs = hubs.select(F.col("node").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("leaf"), "node", "text")
     jobs = hubs.unionByName(own).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "leaf", "node")
-    links = stage_table(jobs.mapInArrow(_verify_stars(threshold), "a long, b long"), "links")
+    links = stage_table(jobs.mapInArrow(_verify_stars(threshold), "a long, b long").unionByName(known), "links")
     first = connected_components(links, "a", "b")
     rest = _rest(placed, stars, first, candidates, threshold)
     return connected_components(links.unionByName(rest), "a", "b")
@@ -315,8 +328,9 @@ def keep_one(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
     speaking = docs.where(~silent).select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(texts).alias("_h1"), F.xxhash64(F.lit(1), texts).alias("_h2"))
     same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2"))
     stay = speaking.join(first.hint("merge"), same, "left_semi")
-    # equal rows: one of each key, by partial aggregates
-    stay = stay.groupBy("_id", "_h1", "_h2").agg(F.first("_row").alias("_row")).select("_row.*")
+    # of rows with one id and text the one whose other columns have the least hash, by partial aggregates
+    others = [F.col("_row")[c] for c, kind in docs.dtypes if "map<" not in kind]
+    stay = stay.groupBy("_id", "_h1", "_h2").agg(F.min_by("_row", F.struct(F.xxhash64(*others).alias("a"), F.xxhash64(F.lit(1), *others).alias("b"))).alias("_row")).select("_row.*")
     return stay.unionByName(docs.where(silent))
 
 

@@ -19,7 +19,7 @@ from marlstone.llm.storage import stage_table
 #: Rows aimed at in one bucket of a source's order, and words' worth of rows in one range of finish times.
 BUCKET_ROWS = 20_000
 RANGE_ROWS = 2_000
-_ORDER = ["_key", "_id", "_size"]
+_ORDER = ["_key", "_id", "_size", "_tie"]
 _PLACE = ["_src", *_ORDER]
 
 
@@ -34,6 +34,11 @@ def _shuffle_key(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))), 1, 15), 16, 10).cast("long")
 
 
+def _text_tie(text: Column) -> Column:
+    """60 bits of the text's MD5, which order texts of one id and size."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int], budget: float, repeats: int) -> DataFrame:
     """Target words of every source: ``_src, source_size, target`` from ``_src, source_size``.
 
@@ -70,13 +75,13 @@ def schedule(
     so the mix holds exactly the budget (rounded down).
 
     Null and wordless texts have size 0 and nothing is taken of them. A null source is
-    a source of its own, the last. Ids are numbers or strings; documents of one id are ordered by size, those
-    without an id by their text's hash; equal rows are interchangeable. An empty table has an empty result.
+    a source of its own, the last. Ids are numbers or strings; documents of one id are ordered by size and their text's hash, those
+    without an id by that hash; equal rows are interchangeable. An empty table has an empty result.
     """
     spark = docs.sparkSession
     src = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
-    keyed = docs.select(*([F.struct("*").alias("_row")] if carry else []), F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("_size"), src.alias("_src"), _shuffle_key(F.col(id_col), F.col(text_col).cast("string")).alias("_key"))
-    narrow = stage_table(keyed.select("_id", "_size", "_src", "_key"), "sizes")
+    keyed = docs.select(*([F.struct("*").alias("_row")] if carry else []), F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("_size"), src.alias("_src"), _shuffle_key(F.col(id_col), F.col(text_col).cast("string")).alias("_key"), _text_tie(F.col(text_col).cast("string")).alias("_tie"))
+    narrow = stage_table(keyed.select("_id", "_size", "_src", "_key", "_tie"), "sizes")
     rows = narrow.count()
     bits = max(5, (rows // BUCKET_ROWS).bit_length() + 2)
     bucket = F.shiftright("_key", 60 - bits).alias("_bucket")
@@ -94,12 +99,12 @@ def schedule(
         return table.withColumn("_finish", F.array(*[F.when(F.col("_size") > 0, f) for f in finish]))
 
     # the global order is sorted by ranges of finish time; only the range in which the budget ends is sorted within
-    copies = timed(narrow).where("_size > 0").select("_id", "_size", "_src", "_key", F.posexplode("_finish").alias("_pass", "_time"))
+    copies = timed(narrow).where("_size > 0").select("_id", "_size", "_src", "_key", "_tie", F.posexplode("_finish").alias("_pass", "_time"))
     ranges = max(16, rows // RANGE_ROWS)
     copies = copies.withColumn("_range", F.floor(F.col("_time") * ranges))
     total = narrow.agg(F.sum("_size")).first()[0] or 0
     left = int(total * budget)
-    order = ["_time", "_src", "_key", "_id", "_size", "_pass"]
+    order = ["_time", "_src", "_key", "_id", "_size", "_tie", "_pass"]
     until = F.sum("_words").over(Window.orderBy("_range"))
     edge = copies.groupBy("_range").agg(F.sum("_size").alias("_words")).withColumn("_until", until).where(F.col("_until") > left).orderBy("_range").first()
     cut = None
@@ -113,8 +118,8 @@ def schedule(
         if cut is None:
             takes.append(F.col("_size"))
             continue
-        row = F.struct(F.col("_finish")[p].alias("a"), F.col("_src").alias("b"), F.col("_key").alias("c"), F.col("_id").alias("d"), F.col("_size").alias("e"), F.lit(p).alias("f"))
-        at = F.struct(F.lit(cut["_time"]).alias("a"), F.lit(cut["_src"]).alias("b"), F.lit(cut["_key"]).alias("c"), F.lit(cut["_id"]).cast(copies.schema["_id"].dataType).alias("d"), F.lit(cut["_size"]).cast("long").alias("e"), F.lit(cut["_pass"]).alias("f"))
+        row = F.struct(F.col("_finish")[p].alias("a"), F.col("_src").alias("b"), F.col("_key").alias("c"), F.col("_id").alias("d"), F.col("_size").alias("e"), F.col("_tie").alias("f"), F.lit(p).alias("g"))
+        at = F.struct(F.lit(cut["_time"]).alias("a"), F.lit(cut["_src"]).alias("b"), F.lit(cut["_key"]).alias("c"), F.lit(cut["_id"]).cast(copies.schema["_id"].dataType).alias("d"), F.lit(cut["_size"]).cast("long").alias("e"), F.lit(cut["_tie"]).cast("long").alias("f"), F.lit(cut["_pass"]).alias("g"))
         part = left - (cut["_until"] - cut["_size"])
         takes.append(F.when(F.col("_finish")[p].isNull() | (row > at), 0).when(row < at, F.col("_size")).otherwise(F.lit(part)).cast("long"))
     return out.withColumn("_takes", F.array(*takes)).drop("_bucket", "_so_far", "_ahead")
@@ -145,7 +150,8 @@ OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
     CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS key
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS key,
+    CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS tie
   FROM documents
 ), s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src),
 w AS (SELECT *, CAST([5.0, 2.0, 1.0][(row_number() OVER (ORDER BY src) - 1) % 3 + 1] AS DOUBLE) AS w, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
@@ -155,9 +161,9 @@ f AS (SELECT *, sum(w) OVER () AS weights,
 l AS (SELECT *, (total * 1.5::DOUBLE - before) / (weights - gone) AS level FROM f),
 m AS (SELECT min(level) AS final FROM (SELECT level FROM l WHERE level * w < source_size * 2.0::DOUBLE ORDER BY source_size * 2.0::DOUBLE / w, src LIMIT 1)),
 t AS (SELECT src, source_size, CASE WHEN final IS NULL THEN source_size * 2.0::DOUBLE ELSE least(source_size * 2.0::DOUBLE, final * w) END AS target, CAST(floor(total * 1.5::DOUBLE) AS BIGINT) AS budget FROM l, m),
-c AS (SELECT d.*, source_size, target, budget, sum(size) OVER (PARTITION BY src ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS so_far FROM d JOIN t USING (src)),
+c AS (SELECT d.*, source_size, target, budget, sum(size) OVER (PARTITION BY src ORDER BY key, doc_id NULLS FIRST, size, tie ROWS UNBOUNDED PRECEDING) AS so_far FROM d JOIN t USING (src)),
 p AS (SELECT *, unnest([0, 1]) AS pass FROM c WHERE size > 0),
-o AS (SELECT *, sum(size) OVER (ORDER BY (pass::DOUBLE * source_size + so_far) / target, src, key, doc_id NULLS FIRST, size, pass ROWS UNBOUNDED PRECEDING) AS until FROM p),
+o AS (SELECT *, sum(size) OVER (ORDER BY (pass::DOUBLE * source_size + so_far) / target, src, key, doc_id NULLS FIRST, size, tie, pass ROWS UNBOUNDED PRECEDING) AS until FROM p),
 k AS (SELECT src, key, doc_id, size, so_far, sum(greatest(0, least(size, budget - (until - size)))) AS taken FROM o GROUP BY ALL)
 SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
 FROM c LEFT JOIN k ON c.src = k.src AND c.key = k.key AND c.doc_id IS NOT DISTINCT FROM k.doc_id AND c.size = k.size AND c.so_far = k.so_far

@@ -362,3 +362,26 @@ def test_shots_are_cut_where_content_changes():
     noise = np.random.default_rng(0).integers(0, 3, (21, mjpeg.FRAME)).astype(np.uint8)
     starts = mjpeg.shot_starts(np.concatenate([dark, light]) + noise, np.array([21]))
     assert [s.tolist() for s in starts] == [[0, 12]]
+
+
+def test_texts_of_a_shared_id_link_their_copies(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue black white grey")
+    rows = [(5, a), (10, a), (10, b), (6, b), (20, c), (21, c), (30, a + " x")]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # 10 has the texts of 5 and of 6, and is the least id of neither class
+    assert got == {(5, 5), (10, 5), (6, 5), (20, 20), (21, 20), (30, 30)}
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [5, 20, 30]
+
+
+def test_rows_of_one_id_and_text_are_kept_alike_by_every_run(spark):
+    rows = [(1, "some words of a text here", k) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source int")
+    picks = {minhash.keep_one(docs.repartition(n)).collect()[0].source for n in (1, 3, 7)}
+    assert len(picks) == 1
+
+
+def test_mix_orders_texts_of_one_id_and_size(spark):
+    docs = spark.createDataFrame([(1, w * 3, "s") for w in ("a ", "b ", "c ", "d ", "e ")], "doc_id long, text string, source string")
+    runs = {tuple(r.text for r in mixing.mix(docs.repartition(n)).collect()) for n in (1, 2, 5)}
+    assert len(runs) == 1
