@@ -10,17 +10,85 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.staging import stage_table
+
+
+#: Values of a group that may be sorted together; intervals of one pass over larger groups.
+TOGETHER, INTERVALS = 10_000, 1024
+_MOST = 1.7976931348623157e308
+
+
+def _finite(c: Column) -> Column:
+    """Half of a value within the doubles, so that differences stay there too."""
+    return F.least(F.greatest(c, F.lit(-_MOST)), F.lit(_MOST)) / 2
+
+
+def _narrowed(data: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Targets ``keys, _rank, _lo, _hi, _n`` (the rank counted among the ``_n`` values from ``_lo`` to ``_hi``) with the one interval of ``INTERVALS`` in which each rank lies."""
+    at = F.floor((_finite(F.col("_v")) - _finite(F.col("_lo"))) / (_finite(F.col("_hi")) - _finite(F.col("_lo"))) * INTERVALS)
+    met = data.join(F.broadcast(targets), list(keys)).where("_v between _lo and _hi")
+    counts = met.groupBy(*keys, "_point", "_rank", F.least(at, F.lit(INTERVALS - 1)).alias("_i")).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # a target has no more than INTERVALS rows here
+    ahead = F.sum("_n").over(Window.partitionBy(*keys, "_point").orderBy("_i")) - F.col("_n")
+    return counts.withColumn("_ahead", ahead).where("_rank >= _ahead and _rank < _ahead + _n").select(*keys, "_point", (F.col("_rank") - F.col("_ahead")).alias("_rank"), "_lo", "_hi", "_n")
+
+
+def _ranked(df: DataFrame, keys: Sequence[str], column: str, points: Sequence[float]) -> DataFrame:
+    """``keys, n, values``: number of values of each group and its quantiles, exact and linear between ranks; nulls and NaN are left out, groups without a value have null.
+
+    Values of a small group are sorted together. In a group of more than ``TOGETHER`` values the wanted ranks are narrowed to intervals by counts, pass
+    by pass, until few or equal values are left; the counts are pre-aggregated, so no task holds a share of a group. Such
+    groups are at most one for ``TOGETHER`` rows.
+    """
+    if not keys:
+        return _ranked(df.withColumn("_one", F.lit(0)), ["_one"], column, points).drop("_one")
+    data = df.select(*keys, F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")).alias("_v"))
+    # rows without a value stand for their group
+    sizes = stage_table(data.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "sizes")
+    sound = data.where("_v is not null")
+    spots = F.array(*[F.struct(F.lit(k).alias("_point"), F.lit(float(q)).alias("_q")) for k, q in enumerate(points)])
+    large = sizes.where(F.col("n") > TOGETHER)
+    place = F.col("_q") * (F.col("n") - 1)
+    ends = F.array(F.floor(place), F.ceil(place))
+    wanted = large.select(*keys, "n", "_lo", "_hi", F.inline(spots)).select(*keys, "_lo", "_hi", F.col("n").alias("_n"), F.posexplode(ends).alias("_end", "_rank"), (F.col("_point") * 2).alias("_point"))
+    targets = stage_table(wanted.select(*keys, (F.col("_point") + F.col("_end")).alias("_point"), "_rank", "_lo", "_hi", "_n"), "targets")
+    done = targets.where(F.lit(False))
+    while not targets.isEmpty():
+        open_ones = (F.col("_n") > TOGETHER) & (F.col("_lo") < F.col("_hi"))
+        done = done.unionByName(targets.where(~open_ones))
+        targets = stage_table(_narrowed(sound, targets.where(open_ones), keys), "targets")
+    few = sound.join(F.broadcast(done.where("_lo < _hi")), list(keys)).where("_v between _lo and _hi").groupBy(*keys, "_point", "_rank").agg(F.sort_array(F.collect_list("_v")).alias("_all"))
+    found = few.select(*keys, "_point", F.get("_all", F.col("_rank").cast("int")).alias("_v")).unionByName(done.where("_lo = _hi").select(*keys, "_point", F.col("_lo").alias("_v")))
+    picked = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_point") == k, F.col("_v"))).alias(f"_e{k}") for k in range(2 * len(points))])
+
+    def between(n: Column, low: Callable[[int], Column], high: Callable[[int], Column]) -> Column:
+        each = []
+        for k, q in enumerate(points):
+            at = F.lit(float(q)) * (n - 1)
+            each.append(F.when(F.floor(at) == F.ceil(at), low(k)).otherwise((F.ceil(at) - at) * low(k) + (at - F.floor(at)) * high(k)))
+        return F.array(*each)
+
+    of_large = large.join(picked, list(keys)).select(*keys, "n", between(F.col("n"), lambda k: F.col(f"_e{2 * k}"), lambda k: F.col(f"_e{2 * k + 1}")).alias("values"))
+    small = sound.join(F.broadcast(large.select(*keys)), list(keys), "left_anti").groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_all"))
+    small = small.withColumn("n", F.size("_all").cast("long"))
+
+    def at(which: Callable[[Column], Column]) -> Callable[[int], Column]:
+        return lambda k: F.get("_all", which(F.lit(float(points[k])) * (F.col("n") - 1)).cast("int"))
+
+    of_small = small.select(*keys, "n", between(F.col("n"), at(F.floor), at(F.ceil)).alias("values"))
+    none = sizes.where("n = 0").select(*keys, "n", F.lit(None).cast("array<double>").alias("values"))
+    return of_large.unionByName(of_small).unionByName(none)
+
 
 def group_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Long form: ``keys, metric, median, n`` with the number of non-null values."""
-    wide = df.groupBy(*keys).agg(*[f(c).alias(f"{p}_{c}") for c in columns for p, f in (("m", F.median), ("n", F.count))])
-    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"m_{c}").alias("median"), F.col(f"n_{c}").alias("n")) for c in columns])
-    return wide.select(*keys, F.inline(rows))
+    """Long form: ``keys, metric, median, n`` with the number of values that are neither null nor NaN."""
+    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("_value")) for c in columns])
+    return _ranked(df.select(*keys, F.inline(cells)), [*keys, "metric"], "_value", [0.5]).select(*keys, "metric", F.get("values", F.lit(0)).alias("median"), "n")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], column: str, points: Sequence[float]) -> DataFrame:
     """Exact quantiles, linear between ranks: ``keys, quantiles``."""
-    return df.groupBy(*keys).agg(F.percentile(column, list(points)).alias("quantiles"))
+    return _ranked(df, keys, column, points).select(*keys, F.col("values").alias("quantiles"))
 
 
 def min_max(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

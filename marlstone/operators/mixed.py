@@ -1,21 +1,36 @@
-"""Linear mixed model with nested random intercepts, by maximum likelihood over aggregated sums.
+"""Linear mixed models with nested random intercepts, by maximum likelihood over aggregated sums.
 
-For a pair of variance ratios the likelihood needs only sums of products over all rows and,
-for each inner group, its row count and sums. A grid of ratios is evaluated in one Spark job:
-inner groups are folded into outer groups and these into one row for each grid point. The
-grid is then narrowed around the best point. The driver sees a row for each point.
+The likelihood of a pair of variance ratios needs, for each inner group, its row count and the sums and
+products of its columns; residual variance and coefficients follow from these (profile
+likelihood). Many fits go side by side: the whole data, cluster resamples, in which an outer group
+counts as often as it is drawn, and responses drawn from a fitted model, whose group sums are
+drawn themselves, so that no replica reads a row of data. Each step of the optimiser is one Spark job over the
+groups: tasks stream them in order, hold one outer group's sums for all fits, and yield partial sums
+that are reduced fit by fit. A step is Newton's, with derivatives by
+differences around the present point, kept inside a radius that shrinks where the likelihood falls.
+The driver sees the likelihoods of the points and at last the coefficients of each fit.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import chi2_survival
+from marlstone.staging import stage_table
+
+#: Powers of ten of the variance ratios: the least stands for none; distance of the points of differences; the end of the steps.
+LOWEST, HIGHEST, APART, NEAR, STEPS = -5.0, 3.0, 0.02, 1e-3, 40
+#: Numbers held at once for a slice of groups.
+CELLS = 2_000_000
+_STENCIL = np.array([(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1)]) * APART
 
 
 @dataclass
@@ -32,75 +47,274 @@ class MixedFit:
     outer_groups: int
     inner_groups: int
 
+    @property
+    def aic(self) -> float:
+        """Akaike's criterion; the three variances count as parameters."""
+        return 2 * (len(self.names) + 3) - 2 * self.log_likelihood
+
+
+@dataclass
+class _Data:
+    groups: DataFrame
+    names: list[str]
+
+    @property
+    def p(self) -> int:
+        return len(self.names)
 
-def _sums(data: DataFrame, p: int) -> tuple[DataFrame, np.ndarray, int]:
-    """Sums for each inner group, and X'X with y as the last column, over all rows."""
-    cells = [F.sum(F.col("_x")[i] * F.col("_x")[j]) for i in range(p + 1) for j in range(i, p + 1)]
-    row = data.agg(*[c.alias(f"c{k}") for k, c in enumerate(cells)], F.count("*").alias("n")).first()
-    whole = np.zeros((p + 1, p + 1))
-    whole[np.triu_indices(p + 1)] = [float(v or 0) for v in row[:-1]]
-    whole = whole + whole.T - np.diag(np.diag(whole))
-    inner = data.groupBy("_outer", "_inner").agg(F.count("*").cast("double").alias("_n"), *[F.sum(F.col("_x")[i]).alias(f"_s{i}") for i in range(p + 1)])
-    return inner, whole, int(row[-1])
-
-
-def _evaluate(inner: DataFrame, whole: np.ndarray, n: int, points: list[tuple[float, float]]) -> list[tuple[float, float, float, np.ndarray, np.ndarray, float]]:
-    """(log-likelihood, outer ratio, inner ratio, beta, inverse, residual variance) of every point."""
-    p = len(whole) - 1
-    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(points)])
-    each = inner.withColumn("_g", F.explode(grid)).withColumn("_d", 1 + F.col("_n") * F.col("_g.b"))
-    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
-    outer = each.groupBy("_outer", F.col("_g.k").alias("k"), F.col("_g.a").alias("a")).agg(
-        F.sum(F.log("_d")).alias("_log"), F.sum(F.col("_n") / F.col("_d")).alias("_w"),
-        *[F.sum(F.col(f"_s{i}") / F.col("_d")).alias(f"_t{i}") for i in range(p + 1)],
-        *[F.sum(F.col("_g.b") / F.col("_d") * F.col(f"_s{i}") * F.col(f"_s{j}")).alias(f"_q{i}_{j}") for i, j in pairs],
-    )
-    share = F.col("a") / (1 + F.col("a") * F.col("_w"))
-    rows = outer.groupBy("k").agg(
-        F.sum(F.col("_log") + F.log(1 + F.col("a") * F.col("_w"))).alias("log"),
-        *[F.sum(F.col(f"_q{i}_{j}") + share * F.col(f"_t{i}") * F.col(f"_t{j}")).alias(f"m{i}_{j}") for i, j in pairs],
-    )
-    out = []
-    for row in rows.collect():  # one row for each grid point
-        less = np.zeros_like(whole)
-        less[np.triu_indices(p + 1)] = [row[f"m{i}_{j}"] for i, j in pairs]
-        less = less + less.T - np.diag(np.diag(less))
-        left = whole - less
-        inverse = np.linalg.pinv(left[:p, :p])
-        beta = inverse @ left[:p, p]
-        variance = max(float(left[p, p] - beta @ left[:p, p]) / n, 1e-300)
-        likelihood = -0.5 * (n * math.log(2 * math.pi * variance) + row["log"] + n)
-        out.append((likelihood, *points[row["k"]], beta, inverse, variance))
-    return out
 
+#: What stands for the response of a fit: its own sums, or draws from coefficients and variances.
+_Draw = tuple[np.ndarray, tuple[float, float, float]]
 
-def mixed_model(df: DataFrame, terms: dict[str, Column], y: str, outer: str, inner: str, rounds: int = 6) -> MixedFit:
-    """``y`` on an intercept and terms, with random intercepts for ``outer`` and for ``inner`` within it; complete rows count."""
+
+def _upper(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n)
+
+
+def group_sums(df: DataFrame, terms: dict[str, Column], y: str, outer: str, inner: str) -> _Data:
+    """Sums and products of an intercept, the terms and ``y`` for each inner group, over complete rows; written."""
     names = ["intercept", *terms]
     columns = [F.lit(1.0), *[c.cast("double") for c in terms.values()], F.col(y).cast("double")]
-    data = df.select(F.col(outer).alias("_outer"), F.col(inner).alias("_inner"), F.array(*columns).alias("_x"))
-    data = data.where("_outer is not null and _inner is not null").where(F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v)))
-    p = len(names)
-    groups, whole, n = _sums(data, p)
-    groups = groups.cache()
-    lows, highs = np.array([-4.0, -4.0]), np.array([2.0, 2.0])  # powers of ten of the ratios; the lowest stands for none
-    best = None
-    for _ in range(rounds):
-        axes = [np.linspace(lo, hi, 7) for lo, hi in zip(lows, highs, strict=True)]
-        points = [(0.0 if a <= -4 else 10**a, 0.0 if b <= -4 else 10**b) for a in axes[0] for b in axes[1]]
-        found = max(_evaluate(groups, whole, n, points), key=lambda r: r[0])
-        if best is None or found[0] > best[0]:
-            best = found
-        at = np.array([-4.0 if v == 0 else math.log10(v) for v in best[1:3]])
-        step = (highs - lows) / 6
-        lows, highs = np.maximum(at - 1.5 * step, -4), at + 1.5 * step
-    counts = groups.agg(F.countDistinct("_outer"), F.count("*")).first()
-    groups.unpersist()
-    likelihood, a, b, beta, inverse, variance = best
-    mean = whole[:p, :p] / n
-    fixed = float(beta @ mean @ beta - (beta @ mean[0]) ** 2)
-    total = fixed + variance * (1 + a + b)
-    return MixedFit(names, beta, np.sqrt(np.maximum(0, np.diag(inverse) * variance)), (a * variance, b * variance, variance), likelihood, fixed / total if total > 0 else float("nan"), n, counts[0], counts[1])
+    data = df.select(F.col(outer).cast("string").alias("outer"), F.col(inner).cast("string").alias("inner"), F.array(*columns).alias("_x"))
+    data = data.where("outer is not null and inner is not null").where(F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    n = len(columns)
+    cells = [F.sum(F.col("_x")[i]).alias(f"s{i}") for i in range(n)] + [F.sum(F.col("_x")[i] * F.col("_x")[j]).alias(f"c{i}_{j}") for i, j in zip(*_upper(n), strict=True)]
+    sums = data.groupBy("outer", "inner").agg(*cells)
+    packed = sums.select("outer", "inner", F.array(*[f"s{i}" for i in range(n)]).alias("sums"), F.array(*[f"c{i}_{j}" for i, j in zip(*_upper(n), strict=True)]).alias("cross"))
+    return _Data(stage_table(packed, "groups"), names)
+
+
+class _Cluster:
+    """Sums of one outer group for all points of all fits."""
+
+    def __init__(self, name: str, p: int, ratios: np.ndarray, fits: np.ndarray, seed: int | None, draw: _Draw | None) -> None:
+        self.name, self.p, self.seed, self.draw, self.fits = name, p, seed, draw, fits
+        self.a, self.b = ratios[..., 0].ravel(), ratios[..., 1].ravel()
+        self.each = ratios.shape[1]
+        many, pairs = len(self.a), (p + 1) * (p + 2) // 2
+        self.log, self.weight = np.zeros(many), np.zeros(many)
+        self.t, self.q = np.zeros((many, p + 1)), np.zeros((many, pairs))
+        self.rows, self.cross = 0.0, np.zeros((len(fits), pairs))
+        self.rng = self._generator()
+        self.effect = self.rng.normal(size=int(fits.max()) + 1)[fits] * math.sqrt(draw[1][0]) if draw else None
+
+    def _generator(self, *more: str) -> np.random.Generator:
+        return np.random.default_rng([self.seed or 0, *(zlib.crc32(x.encode()) for x in (self.name, *more))])
+
+    def add(self, inner: list[str], sums: np.ndarray, cross: np.ndarray) -> None:
+        p, (i, j) = self.p, _upper(self.p + 1)
+        n = sums[:, 0]
+        d = 1 / (1 + n[:, None] * self.b)
+        self.log -= np.log(d).sum(axis=0)
+        self.weight += n @ d
+        self.rows += n.sum()
+        if self.draw is None:
+            self.t += d.T @ sums
+            self.q += (self.b * d).T @ (sums[:, i] * sums[:, j])
+            self.cross += cross.sum(axis=0)
+            return
+        response, mixed, squares = self._drawn(inner, sums, cross)
+        y, bd, x = np.repeat(response, self.each, axis=1), self.b * d, sums[:, :p]
+        self.t[:, :p] += d.T @ x
+        self.t[:, p] += (d * y).sum(axis=0)
+        of_x = j < p
+        self.q[:, of_x] += bd.T @ (x[:, i[of_x]] * x[:, j[of_x]])
+        self.q[:, (j == p) & (i < p)] += (bd * y).T @ x
+        self.q[:, (j == p) & (i == p)] += (bd * y * y).sum(axis=0)[:, None]
+        self.cross[:, of_x] += cross[:, of_x].sum(axis=0)
+        self.cross[:, (j == p) & (i < p)] += mixed
+        self.cross[:, (j == p) & (i == p)] += squares[:, None]
+
+    def _drawn(self, inner: list[str], sums: np.ndarray, cross: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sum of the drawn response for each group and fit; its products with the terms and with itself over the groups."""
+        p, fits, (i, j) = self.p, self.fits, _upper(self.p + 1)
+        beta, (_, of_inner, of_row) = self.draw
+        many = int(fits.max()) + 1
+        response, mixed, squares = np.zeros((len(inner), len(fits))), np.zeros((len(fits), p)), np.zeros(len(fits))
+        for k, name in enumerate(inner):
+            rng, n, x = self._generator(name), sums[k, 0], sums[k, :p]
+            xx = np.zeros((p + 1, p + 1))
+            xx[i, j] = cross[k]
+            xx = (xx + np.triu(xx, 1).T)[:p, :p]
+            values, vectors = np.linalg.eigh(xx)
+            rank = int((values > 1e-10 * max(values.max(), 1e-300)).sum())
+            shift = self.effect + math.sqrt(of_inner) * rng.normal(size=many)[fits]
+            z = rng.normal(size=(many, rank))[fits]
+            # products of the terms with the noise of the rows, and the square of that noise
+            noise = math.sqrt(of_row) * z @ (vectors[:, p - rank :] * np.sqrt(values[p - rank :])).T
+            rest = of_row * ((z * z).sum(axis=1) + rng.chisquare(max(n - rank, 1e-9), size=many)[fits] * (n > rank))
+            mean = x @ beta
+            response[k] = mean + n * shift + noise[:, 0]
+            mixed += xx @ beta + shift[:, None] * x + noise
+            squares += beta @ xx @ beta + 2 * shift * mean + n * shift**2 + 2 * (noise @ beta + shift * noise[:, 0]) + rest
+        return response, mixed, squares
+
+    def drawn_times(self) -> np.ndarray:
+        """How often each fit takes this outer group: once, or a Poisson number; the fit 0 is the whole."""
+        if self.seed is None or self.draw is not None:
+            return np.ones(len(self.fits))
+        times = self.rng.poisson(1.0, size=int(self.fits.max()) + 1).astype(float)
+        times[0] = 1
+        return times[self.fits]
+
+    def close(self, total: np.ndarray, whole: np.ndarray) -> None:
+        i, j = _upper(self.p + 1)
+        times = self.drawn_times()
+        share = self.a / (1 + self.a * self.weight)
+        often = np.repeat(times, self.each)[:, None]
+        total += often * np.column_stack([self.log + np.log1p(self.a * self.weight), self.q + share[:, None] * self.t[:, i] * self.t[:, j]])
+        whole += times[:, None] * np.column_stack([np.full(len(times), self.rows), self.cross])
+
+
+def _ratios(theta: np.ndarray) -> np.ndarray:
+    return np.where(theta <= LOWEST, 0.0, 10.0**theta)
+
+
+def _partials(p: int, theta: np.ndarray, fits: np.ndarray, seed: int | None, draw: _Draw | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios, pairs = _ratios(theta), (p + 1) * (p + 2) // 2
+        total, whole, now = np.zeros((ratios.shape[0] * ratios.shape[1], 1 + pairs)), np.zeros((len(fits), 1 + pairs)), None
+        for batch in batches:
+            outer, inner = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            sums, cross = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(len(outer), -1) for k in (2, 3))
+            begin = 0
+            while begin < len(outer):
+                stop, most = begin, begin + max(1, CELLS // len(total))
+                while stop < len(outer) and stop < most and outer[stop] == outer[begin]:
+                    stop += 1
+                if now is None or now.name != outer[begin]:
+                    if now is not None:
+                        now.close(total, whole)
+                    now = _Cluster(outer[begin], p, ratios, fits, seed, draw)
+                now.add(inner[begin:stop], sums[begin:stop], cross[begin:stop])
+                begin = stop
+        if now is None:
+            return
+        now.close(total, whole)
+        parts = np.concatenate([whole.reshape(len(fits), -1), total.reshape(len(fits), -1)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(fits.astype(np.int32)), pa.array([row.tobytes() for row in parts], pa.binary())], ["fit", "part"])
+
+    return run
+
+
+def _matrix(cells: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, n))
+    out[_upper(n)] = cells
+    return out + np.triu(out, 1).T
+
+
+def _solved(whole: np.ndarray, point: np.ndarray, p: int) -> tuple[float, np.ndarray, np.ndarray, float, int]:
+    """Log-likelihood, coefficients, inverse, residual variance and rank at one point."""
+    n = whole[0]
+    left = _matrix(whole[1:] - point[1:], p + 1)
+    inverse = np.linalg.pinv(left[:p, :p], hermitian=True)
+    beta = inverse @ left[:p, p]
+    variance = max(float(left[p, p] - beta @ left[:p, p]) / max(n, 1), 1e-300)
+    return -0.5 * (n * math.log(2 * math.pi * variance) + point[0] + n), beta, inverse, variance, int(np.linalg.matrix_rank(left[:p, :p], hermitian=True))
+
+
+def _reduce(p: int, each: int, theta: np.ndarray | None, fits: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """Partial sums of one fit to the likelihood of its points, or, given the one point, to all that is known of the fit there."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        fit = rows["fit"][0].as_py()
+        summed = sum(np.frombuffer(b) for b in rows["part"].to_pylist())
+        pairs = (p + 1) * (p + 2) // 2
+        whole, points = summed[: 1 + pairs], summed[1 + pairs :].reshape(each, 1 + pairs)
+        solved = [_solved(whole, x, p) for x in points]
+        if theta is None:
+            values = [s[0] for s in solved]
+        else:
+            likelihood, beta, inverse, variance, rank = solved[0]
+            a, b = _ratios(theta[list(fits).index(fit), 0])
+            n, products = whole[0], _matrix(whole[1:], p + 1)[:p, :p]
+            # with the sample's degrees of freedom, as of a computed column of predictions
+            fixed = float(beta @ products @ beta - (beta @ products[0]) ** 2 / n) / max(n - 1, 1)
+            every = fixed + variance * (1 + a + b)
+            values = [likelihood, n, rank, a * variance, b * variance, variance, fixed / every if every > 0 else math.nan, *beta, *np.sqrt(np.maximum(0, np.diag(inverse) * variance))]
+        return pa.table([pa.array([fit], pa.int32()), pa.array([values], pa.list_(pa.float64()))], ["fit", "found"])
+
+    return run
+
+
+def _evaluate(data: _Data, theta: np.ndarray, fits: np.ndarray, seed: int | None, draw: _Draw | None, last: bool = False) -> np.ndarray:
+    """For each fit the likelihoods at its points ``theta`` (fits, points, 2); with ``last`` what ``_reduce`` says of its one point. Fits without data have NaN."""
+    # an outer group is whole and in order in one task, which streams it
+    ordered = data.groups.repartition("outer").sortWithinPartitions("outer", "inner")
+    parts = ordered.mapInArrow(_partials(data.p, theta, fits, seed, draw), "fit int, part binary")
+    found = parts.groupBy("fit").applyInArrow(_reduce(data.p, theta.shape[1], theta if last else None, fits), "fit int, found array<double>").collect()  # a row for each fit
+    out = np.full((len(fits), 7 + 2 * data.p if last else theta.shape[1]), np.nan)
+    place = {int(f): k for k, f in enumerate(fits)}
+    for row in found:
+        out[place[row.fit]] = row.found
+    return out
+
+
+def _optimise(data: _Data, start: np.ndarray, seed: int | None = None, draw: _Draw | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The best point found for each fit, and whether its steps came to an end."""
+    best, radius = start.copy(), np.ones(len(start))
+    value, step = np.full(len(start), -np.inf), np.zeros_like(start)
+    slopes, bends = np.zeros_like(start), np.zeros((len(start), 2, 2))
+    active = np.arange(len(start))
+    for _ in range(STEPS):
+        trial = np.clip(best[active] + step[active], LOWEST, HIGHEST)
+        found = _evaluate(data, trial[:, None, :] + _STENCIL, active, seed, draw)
+        better = found[:, 0] >= value[active] - 1e-10
+        for row, k in enumerate(active):
+            if not better[row]:
+                radius[k] = 0.25 * min(radius[k], float(np.abs(step[k]).max()))
+                continue
+            f = found[row]
+            best[k], value[k], radius[k] = trial[row], f[0], min(2.0, 1.5 * radius[k])
+            slopes[k] = (f[1] - f[2]) / (2 * APART), (f[3] - f[4]) / (2 * APART)
+            cross = (f[5] - f[1] - f[3] + f[0]) / APART**2
+            bends[k] = [[(f[1] - 2 * f[0] + f[2]) / APART**2, cross], [cross, (f[3] - 2 * f[0] + f[4]) / APART**2]]
+        for k in active:
+            step[k] = _newton(best[k], slopes[k], bends[k], radius[k])
+        done = ~np.isfinite(value[active]) | (np.abs(step[active]).max(axis=1) < NEAR)
+        active = active[~done]
+        if not len(active):
+            break
+    ended = np.ones(len(start), bool)
+    ended[active] = False
+    return best, ended & np.isfinite(value)
+
+
+def _newton(at: np.ndarray, slope: np.ndarray, bend: np.ndarray, radius: float) -> np.ndarray:
+    """A step uphill within a radius. A ratio at an end that it would leave stands still."""
+    free = ~((at <= LOWEST) & (slope <= 1e-9) | (at >= HIGHEST) & (slope >= -1e-9))
+    step = np.zeros(2)
+    if not free.any() or not np.isfinite(slope).all():
+        return step
+    values, vectors = np.linalg.eigh(bend[np.ix_(free, free)])
+    along = vectors.T @ slope[free]
+    # against a bend that is not downhill, as far as the radius goes
+    moved = np.where(values < -1e-6, -along / np.minimum(values, -1e-6), np.sign(along) * radius * (np.abs(along) > 1e-5))
+    step[free] = vectors @ moved
+    size = float(np.abs(step).max())
+    return step * min(1.0, radius / size) if size > 0 else step
+
+
+def _start(data: _Data) -> np.ndarray:
+    """The best of a few points for the whole data."""
+    points = np.array([(x, y) for x in (-3.0, -1.0, 0.0, 1.0) for y in (-3.0, -1.0, 0.0, 1.0)])
+    found = _evaluate(data, points[None], np.arange(1), None, None)[0]
+    if np.isnan(found).any():
+        raise ValueError("no complete rows to fit")
+    return points[[int(np.argmax(found))]]
+
+
+def _fit(data: _Data) -> tuple[MixedFit, np.ndarray]:
+    at, _ = _optimise(data, _start(data))
+    values = _evaluate(data, at[:, None, :], np.arange(1), None, None, last=True)[0]
+    counts = data.groups.agg(F.countDistinct("outer"), F.count("*")).first()
+    p = data.p
+    return MixedFit(data.names, values[7 : 7 + p], values[7 + p :], tuple(values[3:6]), values[0], values[6], int(values[1]), counts[0], counts[1]), at
+
+
+def mixed_model(df: DataFrame, terms: dict[str, Column], y: str, outer: str, inner: str) -> MixedFit:
+    """``y`` on an intercept and terms, with random intercepts for ``outer`` and for ``inner`` within it; complete rows count, none are an error."""
+    return _fit(group_sums(df, terms, y, outer, inner))[0]
 
 
 def likelihood_ratio(small: MixedFit, large: MixedFit, df: DataFrame) -> tuple[float, float]:
@@ -108,3 +322,49 @@ def likelihood_ratio(small: MixedFit, large: MixedFit, df: DataFrame) -> tuple[f
     degrees = len(large.names) - len(small.names)
     statistic = max(0.0, 2 * (large.log_likelihood - small.log_likelihood))
     return statistic, float(df.sparkSession.range(1).select(chi2_survival(F.lit(statistic), degrees)).first()[0])
+
+
+def _refits(data: _Data, at: np.ndarray, replicas: int, seed: int, draw: _Draw | None = None) -> np.ndarray:
+    """What ``_reduce`` says of each replica, NaN where its steps did not end or its terms depend on one another. Fit 0, the whole, is left out."""
+    starts = np.repeat(at, replicas + 1, axis=0)
+    best, ended = _optimise(data, starts, seed, draw)
+    values = _evaluate(data, best[:, None, :], np.arange(replicas + 1), seed, draw, last=True)
+    values[~ended | (values[:, 2] < data.p)] = np.nan
+    return values[1:]
+
+
+def _interval(draws: np.ndarray, replicas: int, points: tuple[float, float], least: float) -> tuple[float, float, int]:
+    sound = draws[np.isfinite(draws)]
+    if len(sound) < max(10, math.ceil(least * replicas)):
+        return math.nan, math.nan, len(sound)
+    return *(float(v) for v in np.quantile(sound, points)), len(sound)
+
+
+def added_fit(df: DataFrame, base: dict[str, Column], more: dict[str, Column], y: str, outer: str, inner: str, replicas: int = 1000, seed: int = 1009, points: tuple[float, float] = (0.025, 0.975), least: float = 0.7) -> dict[str, float]:
+    """What terms add to a model: gain of marginal R squared with an interval over refits of both models to cluster resamples, likelihood ratio and P.
+
+    Rows complete in all terms count for both. Outer groups are drawn a Poisson(1) number of times. A resample fails where a
+    fit does not end or its terms depend on one another; with successes under the share ``least`` (ten at least) there is no interval.
+    """
+    whole = df.where(F.col(y).isNotNull())
+    for c in (*base.values(), *more.values()):
+        whole = whole.where(c.isNotNull())
+    sides = [group_sums(whole, t, y, outer, inner) for t in (base, {**base, **more})]
+    (small, at_small), (large, at_large) = (_fit(d) for d in sides)
+    drawn = [_refits(d, at, replicas, seed)[:, 6] for d, at in zip(sides, (at_small, at_large), strict=True)]
+    low, high, success = _interval(drawn[1] - drawn[0], replicas, points, least)
+    statistic, p = likelihood_ratio(small, large, df)
+    gain = large.marginal_r2 - small.marginal_r2
+    return {
+        "rows": large.rows, "outer_groups": large.outer_groups, "inner_groups": large.inner_groups, "base_r2": small.marginal_r2, "extended_r2": large.marginal_r2,
+        "delta_r2": gain, "partial_r2": gain / (1 - small.marginal_r2) if small.marginal_r2 < 1 else math.nan, "statistic": statistic, "p": p,
+        "base_aic": small.aic, "extended_aic": large.aic, "low": low, "high": high, "attempts": replicas, "success": success,
+    }
+
+
+def drawn_coefficients(df: DataFrame, terms: dict[str, Column], y: str, outer: str, inner: str, replicas: int = 1000, seed: int = 1009) -> tuple[MixedFit, np.ndarray]:
+    """The fit, and the coefficients of refits to responses drawn from it, random intercepts and rows: a line for each replica, NaN where it failed."""
+    data = group_sums(df, terms, y, outer, inner)
+    fit, at = _fit(data)
+    values = _refits(data, at, replicas, seed, (fit.beta, fit.variances))
+    return fit, values[:, 7 : 7 + data.p]

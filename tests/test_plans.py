@@ -102,44 +102,6 @@ def test_stream_goes_on_where_it_stood(spark, tmp_path):
     assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
 
 
-def test_mixed_likelihood_against_dense_algebra(spark):
-    import numpy as np
-
-    from marlstone.operators import mixed
-
-    rng = np.random.default_rng(6)
-    outer, inner, x = np.repeat(np.arange(4), 10), np.repeat(np.arange(8), 5), rng.normal(size=40)
-    y = 1 + 0.5 * x + rng.normal(size=4)[outer] + rng.normal(size=40)
-    df = spark.createDataFrame([(int(a), int(b), [1.0, float(c), float(d)]) for a, b, c, d in zip(outer, inner, x, y, strict=True)], "_outer int, _inner int, _x array<double>")
-    sums, whole, n = mixed._sums(df, 2)
-    d = np.column_stack([np.ones(40), x])
-    for likelihood, a, b, beta, _, variance in mixed._evaluate(sums, whole, n, [(0.0, 0.0), (0.7, 0.3)]):
-        v = np.eye(40) + a * (outer[:, None] == outer) + b * (inner[:, None] == inner)
-        w = np.linalg.inv(v)
-        want = np.linalg.solve(d.T @ w @ d, d.T @ w @ y)
-        e = y - d @ want
-        s = e @ w @ e / 40
-        assert np.allclose(beta, want) and np.isclose(variance, s)
-        assert np.isclose(likelihood, -0.5 * (40 * np.log(2 * np.pi * s) + np.linalg.slogdet(v)[1] + 40))
-
-
-def test_mixed_model_finds_the_variances(spark):
-    import numpy as np
-
-    from marlstone.operators import mixed
-
-    rng = np.random.default_rng(6)
-    outer, x = np.repeat(np.arange(12), 20), rng.normal(size=240)
-    inner = outer * 10 + np.tile(np.repeat(np.arange(4), 5), 12)
-    y = 1 + 0.5 * x + rng.normal(size=12)[outer] * 0.8 + rng.normal(size=240) * 0.6
-    df = spark.createDataFrame([(int(a), int(b), float(c), float(d)) for a, b, c, d in zip(outer, inner, x, y, strict=True)], "o int, i int, x double, y double")
-    fit = mixed.mixed_model(df, {"x": F.col("x")}, "y", "o", "i", rounds=2)
-    assert abs(fit.beta[1] - 0.5) < 0.1 and fit.variances[0] > 0.3 > fit.variances[1] and abs(fit.variances[2] - 0.36) < 0.1
-    assert (fit.rows, fit.outer_groups, fit.inner_groups) == (240, 12, 48) and 0 < fit.marginal_r2 < 1
-    statistic, chance = mixed.likelihood_ratio(mixed.mixed_model(df, {}, "y", "o", "i", rounds=1), fit, df)
-    assert statistic > 20 and chance < 1e-4
-
-
 def test_targets_by_paper_by_all_papers_by_context_and_by_family(spark):
     fields = "paper string, sample_id string, acid_type string, modification_sequence string"
     m = [("p", "SC", "HNO3", None), ("p", "NSC", "KOH", None), ("p", "NNSC", "KOH", None), ("p", "HMB", "KOH", None), ("p", None, "HCl", None), ("p", None, None, None), ("q", "ZC", "HCl", None), ("r", "OB", "KOH", None)]
