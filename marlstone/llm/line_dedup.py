@@ -1,58 +1,34 @@
 """Line dedup by a log-template tree, in expressions only.
 
-Every line goes down a tree of fixed depth: its token count, then its leading tokens.
-At the leaf, fields that vary are generalised: tokens with a digit always, and of the
-tokens after the leading ones, cut into sixths, any two. What stays fixed, with the
-leaf, is a template. A template met in several documents is recurring; its lines stay in the
-first document and are dropped from all others.
-
-A line with too few fixed tokens for a template is its own key, digits and all. One
-word alone says little, so such a line recurs only from ``WORD_DOCS`` documents on.
-
-Two varying sixths leave one third as it is. So lines are first grouped by their
-thirds at the leaf, and a template's key is made only of a line whose third there
-is met in another document: most lines of a corpus cost three keys, not fifteen.
+Every line goes down a tree of fixed depth: its token count, then its leading tokens, a
+token with a digit counting as a variable. At the leaf, fields are generalised by one rule,
+whatever the length of the line. The support of a line is the number of documents in which more than half of
+its tokens are met at their places at the leaf; a token met there in fewer than half as many
+documents is a variable. What stays fixed, with the leaf, is a template. A template met
+in several documents is recurring; its lines stay in the first document and are dropped
+from all others. A line of which not more than half are tokens without a digit says too little as a
+template and is its own key, digits and all.
+
+Most leaves have the lines of one template, or of one document, and need no counts. So leaves with several
+different lines in several documents are told first, and only the distinct lines of
+these fall into tokens.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.heavy import join_by_key
 from marlstone.llm.storage import stage_table
 
-#: Leading tokens of the tree, and thirds of the rest, of whose halves two may vary.
-DEPTH, PARTS = 3, 3
-#: Fixed tokens that a template needs, and tokens of a line from which a part may vary.
-MIN_FIXED, MIN_VARIED = 5, 8
-#: Documents that must share a line of a single token.
-WORD_DOCS = 6
+#: Leading tokens of the tree.
+DEPTH = 3
+#: Rows of 64 bits of the filter of leaves: a table of no more rows than this, whatever the corpus.
+FILTER_ROWS = 1 << 17
 _SPACE = " \\t\\x0B\\f\\r"
 _FIELD = "\u0001"
 _DOC = ["_id", "_anon"]
-#: Of the four sixths outside a third, the two that may vary and the two that stay.
-_COMBOS = [(p, tuple(x for x in range(4) if x not in p)) for p in combinations(range(4), 2)]
-
-
-def _others(third: int) -> list[int]:
-    return [k for k in range(2 * PARTS) if k // 2 != third]
-
-
-def _pairs() -> dict[int, tuple[int, int]]:
-    """Every pair of sixths that may vary, once: under the first third without either, at bit ``6 * third + combination``."""
-    found: dict[int, tuple[int, int]] = {}
-    for third in range(PARTS):
-        for at, (varying, _) in enumerate(_COMBOS):
-            pair = tuple(_others(third)[x] for x in varying)
-            if pair not in found.values():
-                found[6 * third + at] = pair
-    return found
-
-
-PAIRS = _pairs()
 
 
 def _two_hashes(name: str, *columns: Column | str) -> list[Column]:
@@ -63,11 +39,8 @@ def _two_hashes(name: str, *columns: Column | str) -> list[Column]:
 def line_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each line that is not blank.
 
-    ``_id, _anon`` (its document), ``_pos``, ``_word`` (a single token), ``_ok`` (a bit
-    for each of ``PAIRS`` whose template has enough fixed tokens), ``_onea, _oneb`` (the key of a
-    line of which nothing varies, else null), ``_lead`` (hash of the leaf) and ``_h`` (hashes
-    of the sixths). The loops over sixths stay loops: written out, the generated code is
-    so long that compiling it takes gigabytes.
+    ``_id, _anon`` (its document), ``_pos``, ``_ka, _kb`` (its key before fields are generalised), ``_lead`` (hash of the leaf, null for a line
+    that is its own key) and ``_m`` (the tokens, joined by spaces, variables as one mark).
     """
     text = F.col(text_col).cast("string")
     # the hash of a text is taken before the text falls into lines, not once for each of them
@@ -79,31 +52,58 @@ def line_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = lines.select(*_DOC, "_pos", "_text", digits.alias("_d"), F.btrim(masked, F.lit(" \t\x0b\f\r")).alias("_m")).where("_m <> ''")
     lines = lines.select(*_DOC, "_pos", "_text", "_d", F.split("_m", f"[{_SPACE}]+").alias("_t"))
     n = F.size("_t")
-    rest = F.greatest(n - DEPTH, F.lit(0))
-    edges = []
-    for part in range(PARTS):
-        begin, end = F.floor(rest * part / PARTS).cast("int"), F.floor(rest * (part + 1) / PARTS).cast("int")
-        edges += [begin, begin + F.floor((end - begin) / 2).cast("int")]
-    lines = lines.select(*_DOC, "_pos", "_text", "_d", "_t", n.alias("_n"), F.array(*edges, rest).alias("_e"))
-
-    def half(k: Column) -> Column:
-        begin = F.get("_e", k)
-        return F.slice(F.col("_t"), begin + (DEPTH + 1), F.get("_e", k + 1) - begin)
-
-    sixths = F.sequence(F.lit(0), F.lit(2 * PARTS - 1))
-    fixed = F.transform(sixths, lambda k: F.size(F.array_remove(half(k), _FIELD)))
-    lines = lines.select(
-        *_DOC, "_pos", "_text", "_t", "_n", F.xxhash64("_n", F.slice("_t", 1, DEPTH)).alias("_lead"), F.when(F.col("_n") >= MIN_VARIED, F.transform(sixths, lambda k: F.xxhash64(half(k)))).alias("_h"),
-        F.when(F.col("_d"), F.size(F.array_remove("_t", _FIELD))).otherwise(F.col("_n")).alias("_f"), F.when(F.col("_d") & (F.col("_n") >= MIN_VARIED), fixed).alias("_c"),
-    )
-    pairs = F.array(*[F.struct(F.lit(1 << bit).alias("bit"), F.lit(i).alias("i"), F.lit(j).alias("j")) for bit, (i, j) in PAIRS.items()])
-    enough = F.aggregate(pairs, F.lit(0), lambda a, p: a + F.when(F.col("_f") - F.get("_c", p.i) - F.get("_c", p.j) >= MIN_FIXED, p.bit).otherwise(0))
-    # without digits all tokens are fixed, and eight or more leave five whichever pair varies
-    ok = F.when(F.col("_n") < MIN_VARIED, 0).when(F.col("_c").isNull(), sum(1 << bit for bit in PAIRS)).otherwise(enough)
-    lines = lines.select(*_DOC, "_pos", "_text", "_t", "_n", "_f", "_lead", "_h", ok.alias("_ok"))
-    whole = (F.col("_f") >= MIN_FIXED) & (F.col("_n") < MIN_VARIED)
-    one = [F.when(F.col("_ok") == 0, F.when(whole, w).otherwise(x)).alias(c) for w, x, c in zip(_two_hashes("_w", F.lit(-1), "_n", "_t"), _two_hashes("_x", F.lit(-2), "_text"), ("_onea", "_oneb"), strict=True)]
-    return lines.select(*_DOC, "_pos", (F.col("_n") == 1).alias("_word"), "_ok", *one, "_lead", "_h")
+    words = F.when(F.col("_d"), F.size(F.array_remove("_t", _FIELD))).otherwise(n)
+    lines = lines.select(*_DOC, "_pos", "_text", "_t", n.alias("_n"), (words * 2 > n).alias("_ok"))
+    key = [F.when(F.col("_ok"), m).otherwise(x).alias(c) for m, x, c in zip(_two_hashes("_m", F.lit(-1), "_t"), _two_hashes("_x", F.lit(-2), "_text"), ("_ka", "_kb"), strict=True)]
+    lead = F.when(F.col("_ok"), F.xxhash64("_n", F.slice("_t", 1, DEPTH)))
+    return lines.select(*_DOC, "_pos", *key, lead.alias("_lead"), F.when(F.col("_ok"), F.array_join("_t", " ")).alias("_m"))
+
+
+def _one_document() -> Column:
+    """A hash of the document: enough to see that there are several; a false meeting costs work, no line."""
+    return F.when(F.col("_id").isNull(), F.col("_anon")).otherwise(F.xxhash64("_id"))
+
+
+def _of_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The lines that may be at one of the leaves, by a filter of ``64 * FILTER_ROWS`` bits; others may be among them."""
+    slot, bit = F.pmod("_lead", F.lit(FILTER_ROWS)).alias("_slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("_lead", 40), F.lit(64)).cast("int"))
+    bits = leaves.select(slot, bit.alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    # FILTER_ROWS rows of two numbers at most
+    met = lines.withColumn("_slot", F.pmod("_lead", F.lit(FILTER_ROWS))).join(F.broadcast(bits), "_slot").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return met.drop("_slot", "_bits")
+
+
+def generalised(parts: DataFrame) -> DataFrame:
+    """``_ka, _kb, _ta, _tb, _count``: for the keys of lines at leaves with several lines the key of their template, and the number of such lines."""
+    lines = parts.where("_lead is not null")
+    leaves = lines.groupBy("_lead").agg(F.min("_ka").alias("_lo"), F.max("_ka").alias("_hi"), F.min(_one_document()).alias("_a"), F.max(_one_document()).alias("_b"), F.count("*").alias("_count"))
+    leaves = stage_table(leaves.where("_lo < _hi and _a < _b").select("_lead", "_count"), "leaves")
+    near = join_by_key(_of_leaves(lines, leaves), leaves, ["_lead"], "_count", lines.count())
+    each = near.groupBy("_lead", "_ka", "_kb", *_DOC).agg(F.count("*").alias("_times"), F.any_value("_m").alias("_m"))
+    shapes = each.groupBy("_lead", "_ka", "_kb").agg(F.count("*").alias("_docs"), F.sum("_times").alias("_count"), F.any_value("_m").alias("_m"))
+    shapes = stage_table(shapes, "shapes")
+    tokens = shapes.select("_lead", "_ka", "_kb", "_docs", F.posexplode(F.split("_m", " ")).alias("_at", "_w"))
+    words = tokens.where(F.col("_w") != _FIELD)
+    met = stage_table(words.groupBy("_lead", "_at", "_w").agg(F.sum("_docs").alias("_in"), F.count("*").alias("_rows")), "tokens")
+    total = met.agg(F.sum("_rows")).first()[0] or 0
+    counted = join_by_key(words.drop("_docs"), met, ["_lead", "_at", "_w"], "_rows", total)
+    # an array as long as the line
+    lists = counted.groupBy("_lead", "_ka", "_kb").agg(F.collect_list(F.struct("_at", "_w", "_in")).alias("_l"))
+    number = shapes.select("_ka", "_kb", F.size(F.split("_m", " ")).alias("_n"), "_count")
+    lists = lists.join(number, ["_ka", "_kb"])
+    # what more than half of all tokens reach
+    support = F.get(F.sort_array(F.transform("_l", lambda x: x["_in"]), asc=False), F.floor(F.col("_n") / 2).cast("int"))
+    lists = lists.withColumn("_s", support)
+    fixed = F.array_sort(F.transform(F.filter("_l", lambda x: x["_in"] * 2 >= F.col("_s")), lambda x: F.struct(x["_at"].alias("at"), x["_w"].alias("w"))))
+    lists = lists.select("_ka", "_kb", "_lead", "_n", "_count", fixed.alias("_f"))
+    return lists.select("_ka", "_kb", *_two_hashes("_t", F.lit(-3), "_lead", "_n", "_f"), "_count")
+
+
+def line_templates(parts: DataFrame) -> DataFrame:
+    """``_id, _anon, _pos, _ka, _kb``: the key of the template of every line of ``line_parts``."""
+    keys = stage_table(generalised(parts), "generalised")
+    met = join_by_key(parts.select(*_DOC, "_pos", "_ka", "_kb"), keys, ["_ka", "_kb"], "_count", parts.count(), "left")
+    return met.select(*_DOC, "_pos", F.coalesce("_ta", "_ka").alias("_ka"), F.coalesce("_tb", "_kb").alias("_kb"))
 
 
 def _met() -> list[Column]:
@@ -115,41 +115,9 @@ def _met() -> list[Column]:
 _SEVERAL = "_owner < _last or (_owner is not null and _first_anon is not null) or _first_anon < _last_anon"
 
 
-def line_templates(parts: DataFrame) -> DataFrame:
-    """``_id, _anon, _pos, _word, _ka, _kb``: every key of the lines of ``line_parts`` that another document may have."""
-    varied = parts.where("_ok <> 0")
-    rows = []
-    for third in range(PARTS):
-        key = [F.xxhash64(F.lit(third), "_lead", *[F.get("_h", F.lit(k)) for k in (2 * third, 2 * third + 1)]).alias("_t")]
-        rest = [F.get("_h", F.lit(k)).alias(f"_o{x}") for x, k in enumerate(_others(third))]
-        bits = F.shiftright("_ok", 6 * third).bitwiseAND(63).cast("byte")
-        rows.append(F.struct(F.lit(third).cast("byte").alias("_third"), bits.alias("_bits"), *key, "_lead", *rest))
-    thirds = varied.select(*_DOC, "_pos", F.inline(F.array(*rows))).where("_bits <> 0")
-    # a hash of the document is enough to see that there are several; a false meeting costs keys, no line
-    doc = F.when(F.col("_id").isNull(), F.col("_anon")).otherwise(F.xxhash64("_id"))
-    shared = stage_table(thirds.groupBy("_t").agg(F.min(doc).alias("_a"), F.max(doc).alias("_b"), F.count("*").alias("_count")).where("_a < _b").select("_t", "_count"), "thirds")
-    near = join_by_key(thirds, shared, ["_t"], "_count", PARTS * varied.count())
-    combos = F.array(*[F.struct(F.lit(1 << at).alias("bit"), F.lit(u).alias("u"), F.lit(v).alias("v")) for at, (_, (u, v)) in enumerate(_COMBOS)])
-    rest = F.array(*[f"_o{x}" for x in range(4)])
-
-    def key(c: Column) -> Column:
-        fixed = ["_third", c.bit, "_lead", "_t", F.get("_r", c.u), F.get("_r", c.v)]
-        return F.struct(F.xxhash64(*fixed).alias("_ka"), F.xxhash64(F.lit(1), *fixed).alias("_kb"))
-
-    keys = F.transform(F.filter(combos, lambda c: F.col("_bits").cast("int").bitwiseAND(c.bit) != 0), key)
-    many = near.withColumn("_r", rest).select(*_DOC, "_pos", F.lit(False).alias("_word"), F.inline(keys))
-    return parts.where("_ok = 0").select(*_DOC, "_pos", "_word", F.col("_onea").alias("_ka"), F.col("_oneb").alias("_kb")).unionByName(many)
-
-
 def recurring(keys: DataFrame) -> DataFrame:
-    """``_ka, _kb, _owner, _first_anon, _count`` of the keys that several documents have, ``WORD_DOCS`` of them for a single token."""
-    lines = keys.where("not _word").groupBy("_ka", "_kb").agg(*_met()).where(_SEVERAL)
-    doc = F.struct("_id", F.when(F.col("_id").isNull(), F.col("_anon")).alias("_anon"))
-    words = keys.where("_word").groupBy("_ka", "_kb", doc.alias("_doc")).agg(F.count("*").alias("_count")).select("_ka", "_kb", "_doc.*", "_count")
-    without = F.when(F.col("_id").isNull(), F.col("_anon"))
-    words = words.groupBy("_ka", "_kb").agg(F.min("_id").alias("_owner"), F.min(without).alias("_first_anon"), F.sum("_count").alias("_count"), F.count("*").alias("_docs")).where(F.col("_docs") >= WORD_DOCS)
-    columns = ["_ka", "_kb", "_owner", "_first_anon", "_count"]
-    return lines.select(*columns).unionByName(words.select(*columns))
+    """``_ka, _kb, _owner, _first_anon, _count`` of the keys that several documents have."""
+    return keys.groupBy("_ka", "_kb").agg(*_met()).where(_SEVERAL).select("_ka", "_kb", "_owner", "_first_anon", "_count")
 
 
 def count_names(columns: list[str]) -> tuple[str, str]:
@@ -199,19 +167,19 @@ def op10_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(docs)
 
 
-#: The rules over plain token lists, without hashes or thirds.
+#: The rules over plain token lists, at all leaves and without hashes.
 OP10_SQL = r"""
 WITH l AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
 t AS (SELECT DISTINCT doc_id, line, list_filter(string_split_regex(regexp_replace(line, '[^ \t\x0B\f\r0-9]*[0-9][^ \t\x0B\f\r]*', chr(1), 'g'), '[ \t\x0B\f\r]+'), lambda x: x <> '') AS t FROM l),
-n AS (SELECT *, len(t) AS n, greatest(len(t) - 3, 0) AS rest FROM t WHERE len(t) > 0),
-e AS (SELECT *, [0, (rest // 3) // 2, rest // 3, rest // 3 + (rest * 2 // 3 - rest // 3) // 2, rest * 2 // 3, rest * 2 // 3 + (rest - rest * 2 // 3) // 2, rest] AS e FROM n),
-v AS (
-  SELECT doc_id, line, n, a, b, t[1:3] || flatten(list_transform(list_filter(range(1, 7), lambda k: k <> a AND k <> b), lambda k: t[4 + e[k]:3 + e[k + 1]])) AS f
-  FROM e, (SELECT unnest(range(1, 7)) AS a) JOIN (SELECT unnest(range(1, 7)) AS b) ON a < b WHERE n >= 8
-  UNION ALL SELECT doc_id, line, n, 0, 0, t FROM e WHERE n < 8
-), k AS (SELECT doc_id, line, n, n || '|' || a || '|' || b || '|' || array_to_string(f, ' ') AS key FROM v WHERE len(list_filter(f, lambda x: x <> chr(1))) >= 5),
-x AS (SELECT * FROM k UNION ALL SELECT doc_id, line, n, 'line|' || line FROM e ANTI JOIN k ON e.doc_id = k.doc_id AND e.line = k.line),
-o AS (SELECT key, min(doc_id) AS owner FROM x GROUP BY key HAVING min(doc_id) < max(doc_id) AND (max(n) > 1 OR count(DISTINCT doc_id) >= 6)),
+n AS (SELECT *, len(t) AS n, 2 * len(list_filter(t, lambda x: x <> chr(1))) > len(t) AS ok FROM t WHERE len(t) > 0),
+m AS (SELECT DISTINCT doc_id, t, n, n || '|' || array_to_string(t[1:3], ' ') AS leaf FROM n WHERE ok),
+w AS (SELECT leaf, t, n, k, t[k] AS w FROM (SELECT leaf, t, n, unnest(range(1, n + 1)) AS k FROM m) WHERE t[k] <> chr(1)),
+c AS (SELECT leaf, k, w, count(*) AS c FROM w GROUP BY ALL),
+g AS (SELECT leaf, t, any_value(n) AS n, list({'k': k, 'w': w, 'c': c} ORDER BY k) AS f FROM (SELECT DISTINCT leaf, t, n, k, w FROM w) JOIN c USING (leaf, k, w) GROUP BY leaf, t),
+h AS (SELECT t, leaf, f, list_reverse_sort(list_transform(f, lambda x: x.c))[n // 2 + 1] AS s FROM g),
+k AS (SELECT t, 'template|' || leaf || '|' || array_to_string(list_transform(list_filter(f, lambda x: 2 * x.c >= s), lambda x: x.k || ' ' || x.w), ' ') AS key FROM h),
+x AS (SELECT doc_id, line, CASE WHEN ok THEN key ELSE 'line|' || line END AS key FROM n LEFT JOIN k USING (t)),
+o AS (SELECT key, min(doc_id) AS owner FROM x GROUP BY key HAVING min(doc_id) < max(doc_id)),
 d AS (SELECT DISTINCT doc_id, line FROM x JOIN o USING (key) WHERE doc_id > owner),
 r AS (SELECT l.doc_id, count(*) AS lines, count(d.line) AS dropped_lines, string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE d.line IS NULL) AS text
   FROM l LEFT JOIN d ON l.doc_id = d.doc_id AND l.line = d.line GROUP BY l.doc_id)

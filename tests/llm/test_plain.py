@@ -2,9 +2,9 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -160,51 +160,43 @@ def test_index_with_places_from_the_file_start():
     assert again[0].tolist() == starts.tolist() and again[1].tolist() == stops.tolist()
 
 
-# ------------------------------------------------------------------ lines
-def plain_keys(line):
-    tokens = ["\x01" if any(c.isdigit() and c.isascii() for c in t) else t for t in line.replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\r", " ").split(" ") if t]
-    if not tokens:
-        return []
-
-    def fixed(t):
-        return sum(x != "\x01" for x in t)
-
-    out = []
-    if len(tokens) >= 8:
-        rest, lead = tokens[3:], tokens[:3]
-        edges = []
-        for p in range(3):
-            begin, end = len(rest) * p // 3, len(rest) * (p + 1) // 3
-            edges += [begin, begin + (end - begin) // 2]
-        edges.append(len(rest))
-        sixths = [rest[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        for pair in combinations(range(6), 2):
-            kept = lead + [t for k, s in enumerate(sixths) if k not in pair for t in s]
-            if fixed(kept) >= 5:
-                out.append((len(tokens), pair, tuple(kept)))
-    elif fixed(tokens) >= 5:
-        out.append((len(tokens), None, tuple(tokens)))
-    return out or [("line", line, len(tokens))]
+def masked(line):
+    """Tokens of a line, those with a digit as None."""
+    return tuple(None if re.search("[0-9]", t) else t for t in re.split(r"[ \t\x0B\f\r]+", line.strip(" \t\x0b\f\r")) if t)
 
 
 def plain_line_dedup(rows):
     """rows (id, text) with unique ids -> text by id."""
+    leaves = defaultdict(lambda: defaultdict(set))
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            tokens = masked(line)
+            if 2 * sum(t is not None for t in tokens) > len(tokens):
+                leaves[len(tokens), tokens[:3]][tokens].add(i)
+
+    def key(line):
+        tokens = masked(line)
+        n = len(tokens)
+        if 2 * sum(t is not None for t in tokens) <= n:
+            return line
+        met = leaves[n, tokens[:3]]
+        often = [sum(len(docs) for other, docs in met.items() if other[k] == t) for k, t in enumerate(tokens)]
+        support = sorted((c for c, t in zip(often, tokens, strict=True) if t is not None), reverse=True)[n // 2]
+        return n, tokens[:3], tuple(t if t is not None and 2 * c >= support else None for c, t in zip(often, tokens, strict=True))
+
+    keys = {line: key(line) for _, text in rows for line in (text or "").split("\n") if masked(line)}
     having = defaultdict(set)
     for i, text in rows:
         for line in (text or "").split("\n"):
-            for key in plain_keys(line):
-                having[key].add(i)
+            if line in keys:
+                having[keys[line]].add(i)
     out = {}
     for i, text in rows:
         if text is None:
             out[i] = None
             continue
-
-        def goes(line, i=i):
-            return any(len(having[k]) > 1 and min(having[k]) < i and (k[0] != "line" or k[2] > 1 or len(having[k]) >= 6) for k in plain_keys(line))
-
         lines = text.split("\n")
-        kept = [x for x in lines if not goes(x)]
+        kept = [x for x in lines if x not in keys or min(having[keys[x]]) >= i]
         out[i] = ("\n".join(kept), len(lines), len(lines) - len(kept))
     return out
 
