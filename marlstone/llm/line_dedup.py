@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.heavy import join_by_key
+from marlstone.llm.sharding import let
 from marlstone.llm.storage import stage_table
 
 #: Leading tokens of the tree.
@@ -91,12 +92,14 @@ def generalised(parts: DataFrame) -> DataFrame:
     lists = counted.groupBy("_lead", "_ka", "_kb").agg(F.collect_list(F.struct("_at", "_w", "_in")).alias("_l"))
     number = shapes.select("_ka", "_kb", F.size(F.split("_m", " ")).alias("_n"), "_count")
     lists = lists.join(number, ["_ka", "_kb"])
-    # what more than half of all tokens reach
+    # what more than half of all tokens reach, computed once a line, and so is what stays fixed
     support = F.get(F.sort_array(F.transform("_l", lambda x: x["_in"]), asc=False), F.floor(F.col("_n") / 2).cast("int"))
-    lists = lists.withColumn("_s", support)
-    fixed = F.array_sort(F.transform(F.filter("_l", lambda x: x["_in"] * 2 >= F.col("_s")), lambda x: F.struct(x["_at"].alias("at"), x["_w"].alias("w"))))
-    lists = lists.select("_ka", "_kb", "_lead", "_n", "_count", fixed.alias("_f"))
-    return lists.select("_ka", "_kb", *_two_hashes("_t", F.lit(-3), "_lead", "_n", "_f"), "_count")
+
+    def key(fixed: Column) -> Column:
+        return F.struct(*_two_hashes("_t", F.lit(-3), "_lead", "_n", fixed))
+
+    fixed = let(support, lambda s: F.array_sort(F.transform(F.filter("_l", lambda x: x["_in"] * 2 >= s), lambda x: F.struct(x["_at"].alias("at"), x["_w"].alias("w")))))
+    return lists.select("_ka", "_kb", let(fixed, key).alias("_key"), "_count").select("_ka", "_kb", "_key._ta", "_key._tb", "_count")
 
 
 def line_templates(parts: DataFrame) -> DataFrame:

@@ -41,14 +41,14 @@ def grid(rows: int) -> tuple[int, int]:
     return a, max(1, -(-rows // a))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once; plain nesting would double the expression at every use."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _scramble(x: Column, key: tuple[int, int]) -> Column:
     once = (x * F.lit(key[0]) + F.lit(key[1])) % F.lit(PRIME)
-    return _let(once, lambda v: (v * v + v * F.lit(key[1]) % F.lit(PRIME)) % F.lit(PRIME))
+    return let(once, lambda v: (v * v + v * F.lit(key[1]) % F.lit(PRIME)) % F.lit(PRIME))
 
 
 def _left(key: tuple[int, int], a: int) -> Callable[[Column], Column]:
@@ -64,8 +64,8 @@ def feistel(number: Column, rows: int, seed: int) -> Column:
     a, b = grid(rows)
     halves = F.struct((number % a).alias("l"), F.call_function("div", number, F.lit(a)).alias("r"))
     for i, key in enumerate(round_keys(seed)):
-        halves = _let(halves, _right(key, b) if i % 2 else _left(key, a))
-    return _let(halves, lambda h: h.r * a + h.l)
+        halves = let(halves, _right(key, b) if i % 2 else _left(key, a))
+    return let(halves, lambda h: h.r * a + h.l)
 
 
 def walked(spark: SparkSession, rows: int, seed: int) -> DataFrame:
