@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import queries_matching, queries_more  # noqa: F401 - register their queries
+from marlstone.plans import queries_matching, queries_more, queries_statistics  # noqa: F401 - register their queries
 from marlstone.plans.queries import ORACLES, QUERIES
 
 #: The query that ``entry`` runs.
