@@ -94,7 +94,9 @@ def sentences(c: Column) -> Column:
 def keyword_hits(text: Column, words: Sequence[str]) -> Column:
     """The words, in their order, that occur anywhere in the (lower-case) text."""
     pairs = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(w.lower()).alias("k")) for w in words])
-    return F.transform(F.filter(pairs, lambda p: F.contains(text, p.k)), lambda p: p.w)
+    # the text is bound first: inside the filter it would be computed for each word
+    found = F.transform(F.array(text), lambda t: F.transform(F.filter(pairs, lambda p: F.contains(t, p.k)), lambda p: p.w))
+    return F.get(found, F.lit(0))
 
 
 def pattern_hits(text: Column, labelled: Sequence[tuple[str, str]]) -> Column:

@@ -132,7 +132,9 @@ def greedy_merge(df: DataFrame, paper: str, block: Sequence[str], columns: Seque
 def label_histogram(df: DataFrame, labels: str, none: str = "(none)") -> DataFrame:
     """``label, n``: rows by label, each row once for every distinct label it has; those without any under ``none``."""
     own = F.array_distinct(F.array_compact(F.coalesce(F.col(labels), F.array().cast("array<string>"))))
-    each = df.select(F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(none)))).alias("label"))
+    # bound first: written out, the labels would be computed for the condition and for the value
+    bound = F.get(F.transform(F.array(own), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(none)))), F.lit(0))
+    each = df.select(F.explode(bound).alias("label"))
     return each.groupBy("label").agg(F.count("*").alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.functions.automaton import Words
 from marlstone.plans import vocabulary as V
 
 #: Signals that count keywords of one list in the whole text.
@@ -16,6 +17,7 @@ KEYWORD_SIGNALS = {
     "heavy_metal": V.HEAVY_METAL, "non_heavy_pollutant": V.OTHER_POLLUTANT, "composite": V.COMPOSITE, "review": V.REVIEW,
     "characterization": V.CHARACTERIZATION, "ads_condition": V.ADSORPTION_CONDITION, "ads_performance": V.ADSORPTION_PERFORMANCE,
 }
+KEYWORDS = Words(KEYWORD_SIGNALS)
 PROFILES = ("legacy", "acid-biochar-strict", "acid-biochar-radionuclide", "acid-biochar-radionuclide-loose")
 _STRICT, _NUCLIDE, _LOOSE = "profile <> 'legacy'", "profile like 'acid-biochar-radionuclide%'", "profile = 'acid-biochar-radionuclide-loose'"
 
@@ -108,8 +110,9 @@ def signals(docs: DataFrame, text_col: str = "text", pages_col: str | None = Non
     """
     out = docs.withColumn("_raw", T.strip_tail(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_norm", T.fold(F.col("_raw")))
     out = out.withColumn("_flags", sentence_flags(T.sentences(F.col("_raw")), F.col("_norm")))
-    for name, words in KEYWORD_SIGNALS.items():
-        out = out.withColumn(f"matched_{name}", T.keyword_hits(F.col("_norm"), words))
+    # every list in one reading of the text
+    out = out.withColumn("_words", KEYWORDS.found(F.col("_norm")))
+    out = out.withColumns({f"matched_{name}": KEYWORDS.hits(F.col("_words"), name) for name in KEYWORD_SIGNALS})
     out = out.withColumn("matched_acid_context", F.when(F.col("_norm").contains("acid") | (F.size("matched_acid_reagent") > 0), T.pattern_hits(F.col("_norm"), V.ACID_CONTEXT)).otherwise(F.array().cast("array<string>")))
     nuclides = F.array_distinct(F.flatten(F.transform(F.filter("_flags", lambda f: f.ctx), lambda f: T.pattern_hits(f.s, V.RADIONUCLIDE))))
     out = out.withColumn("matched_radionuclide", nuclides)
@@ -123,7 +126,7 @@ def signals(docs: DataFrame, text_col: str = "text", pages_col: str | None = Non
         "text_chars": F.length("_norm"), "chars_per_page": F.length("_norm") / pages,
     })
     out = out.withColumns({"data_score": F.col("n_data") + F.least("table_hits", F.lit(5)), "scanned_suspect": (F.col("text_chars") < 3000) | (F.col("chars_per_page") < 200)})
-    return out.withColumn("score_total", F.col("n_topic") * 4 + F.col("n_method") * 2 + F.col("data_score")).drop("_raw", "_norm", "_flags", text_col)
+    return out.withColumn("score_total", F.col("n_topic") * 4 + F.col("n_method") * 2 + F.col("data_score")).drop("_raw", "_norm", "_flags", "_words", text_col)
 
 
 def verdicts(found: DataFrame, profiles: Sequence[str] = PROFILES) -> DataFrame:
