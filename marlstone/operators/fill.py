@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -23,21 +23,28 @@ def _back(df: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(found, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
-def fill_unique(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Nulls of ``columns`` take the one value their key group has; groups of none or several stay."""
+def _counted(df: DataFrame, columns: Sequence[str], found: str, observation: Observation | None) -> DataFrame:
+    """``df`` as it is; the observation gets ``rows`` and, for each column, ``filled_`` it: nulls for which ``found`` has a value. Read it once the result is written."""
+    if observation is None:
+        return df
+    return df.observe(observation, F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull() & F.col(f"{found}{c}").isNotNull()).alias(f"filled_{c}") for c in columns])
+
+
+def fill_unique(df: DataFrame, keys: Sequence[str], columns: Sequence[str], observation: Observation | None = None) -> DataFrame:
+    """Nulls of ``columns`` take the one value their key group has; groups of none or several stay. An ``observation`` counts what the step fills."""
     found = df.groupBy(*keys).agg(*[unique_value(F.col(c)).alias(f"_u_{c}") for c in columns])
-    out = _back(df, found, keys)
+    out = _counted(_back(df, found, keys), columns, "_u_", observation)
     return out.withColumns({c: F.coalesce(c, f"_u_{c}") for c in columns}).drop(*[f"_u_{c}" for c in columns])
 
 
 def strict_mode(df: DataFrame, keys: Sequence[str], column: str, name: str, least: int = 1) -> DataFrame:
     """For each key the most frequent value of a column, null on a tie or in groups of fewer than ``least`` rows."""
     counts = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    rows = F.sum("_n")
-    best = F.max(F.when(F.col(column).isNotNull(), F.col("_n")))
-    tops = counts.groupBy(*keys).agg(rows.alias("_rows"), best.alias("_best"), F.collect_set(F.when(F.col(column).isNotNull(), F.struct("_n", column))).alias("_all"))
-    winners = F.filter("_all", lambda x: x["_n"] == F.col("_best"))
-    value = F.when((F.size(winners) == 1) & (F.col("_rows") >= least), F.get(winners, F.lit(0))[column])
+    there = F.col(column).isNotNull()
+    # the greatest count by its first and by its last value: one value where they agree
+    ends = [F.max(F.when(there, F.struct("_n", column))).alias("_hi"), F.min(F.when(there, F.struct((-F.col("_n")).alias("_down"), column))).alias("_lo")]
+    tops = counts.groupBy(*keys).agg(F.sum("_n").alias("_rows"), *ends)
+    value = F.when((F.col("_hi")[column] == F.col("_lo")[column]) & (F.col("_rows") >= least), F.col("_hi")[column])
     return tops.select(*keys, value.alias(name))
 
 

@@ -138,20 +138,6 @@ def label_histogram(df: DataFrame, labels: str, none: str = "(none)") -> DataFra
     return each.groupBy("label").agg(F.count("*").alias("n"))
 
 
-def changes(before: DataFrame, after: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``field, filled, cleared, changed, rows``: what a step did to each column, counted in one pass over the joined tables."""
-    now = after.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in columns])
-    both = before.select(*keys, *columns).join(now, list(keys), "left")
-    cells = []
-    for c in columns:
-        was, new = F.col(c), F.col(f"_n_{c}")
-        cells.append(F.struct(
-            F.lit(c).alias("field"), F.count_if(was.isNull() & new.isNotNull()).alias("filled"), F.count_if(was.isNotNull() & new.isNull()).alias("cleared"),
-            F.count_if(was.isNotNull() & new.isNotNull() & (was != new)).alias("changed"), F.count("*").alias("rows"),
-        ))
-    return both.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
-
-
 def missing_columns(df: DataFrame, wanted: Sequence[str]) -> list[str]:
     """The wanted columns that a table lacks, in the order wanted."""
     return [c for c in wanted if c not in df.columns]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
@@ -12,6 +12,7 @@ from marlstone.operators import fill, measures, mining, records, resample, resol
 from marlstone.plans import export
 from marlstone.plans.queries import query, table
 from marlstone.sources import documents, publishers
+from marlstone.staging import stage_table
 
 
 def _pick(values: list[str | None], at: Column) -> Column:
@@ -191,7 +192,11 @@ def fill_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a filling step did, by field."""
     key = F.col("o_orderkey")
     before = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(key % 3 != 0, F.col("o_orderstatus")).alias("st"), F.when(key % 2 == 0, F.col("o_orderpriority")).alias("pr"))
-    return records.changes(before, fill.fill_unique(before, ["o_custkey"], ["st", "pr"]), ["o_orderkey"], ["st", "pr"])
+    seen = Observation("fills")
+    stage_table(fill.fill_unique(before, ["o_custkey"], ["st", "pr"], seen), "filled")  # counted as the filled table is written
+    counts = seen.get
+    rows = [(c, counts[f"filled_{c}"], 0, 0, counts["rows"]) for c in ("st", "pr")]
+    return spark.createDataFrame(rows, "field string, filled long, cleared long, changed long, rows long")
 
 
 @query("""

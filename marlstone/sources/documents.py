@@ -25,16 +25,21 @@ BLOCK_TAGS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "section", "
 
 
 def find_files(spark: SparkSession, root: str, pattern: str = "*.pdf", mains_only: bool = False, most: int | None = None) -> DataFrame:
-    """``path, length, content`` of all files below ``root`` that match, by path; with ``mains_only`` those that name a supplement are left out; ``most`` stops after so many.
+    """``path, length, content`` of all files below ``root`` that match; with ``mains_only`` those that name a supplement are left out; ``most`` takes the first so many by path.
 
-    ``root`` may be a file itself; one that does not match the pattern is a ValueError.
+    ``root`` may be a file itself; one that does not match the pattern is a ValueError. Only paths are sorted, and only
+    where ``most`` asks for it; contents are read where they are used.
     """
     name = root.rstrip("/").rsplit("/", 1)[-1]
     if re.fullmatch(r".+\.[A-Za-z0-9]{1,5}", name) and not any(c in name for c in "*?[") and not fnmatch.fnmatch(name.lower(), pattern.lower()):
         raise ValueError(f"{root} is no {pattern}")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    found = (found.where(~T.is_supplement(F.col("path"))) if mains_only else found).orderBy("path")
-    return found if most is None else found.limit(most)
+    files = spark.read.format("binaryFile")
+    found = files.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    found = found.where(~T.is_supplement(F.col("path"))) if mains_only else found
+    if most is None:
+        return found
+    paths = [r["path"] for r in found.select("path").orderBy("path").limit(most).collect()]  # no more than asked for
+    return files.load(paths) if paths else found.limit(0)
 
 
 def markdown_table(rows: list[list[str]]) -> str:
