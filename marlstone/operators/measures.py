@@ -91,6 +91,18 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, points: Sequence[
     return _ranked(df, keys, column, points).select(*keys, F.col("values").alias("quantiles"))
 
 
+def complete_cases(df: DataFrame, present: Sequence[str], positive: Sequence[str] = (), named: Sequence[str] = ()) -> DataFrame:
+    """Rows in which all numbers of ``present`` are there, all of ``positive`` are there and above 0, and no text of ``named`` is blank."""
+    out = df
+    for c in [*present, *positive]:
+        out = out.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    for c in positive:
+        out = out.where(F.col(c) > 0)
+    for c in named:
+        out = out.where(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "")
+    return out
+
+
 def min_max(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Each column scaled to 0..1 within its group (over all rows without keys); a constant one becomes 0.5."""
     ends = df.groupBy(*keys).agg(*[f(c).alias(f"{p}_{c}") for c in columns for p, f in (("_lo", F.min), ("_hi", F.max))])
