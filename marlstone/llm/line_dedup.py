@@ -78,7 +78,8 @@ def generalised(parts: DataFrame) -> DataFrame:
     """``_ka, _kb, _ta, _tb, _count``: for the keys of lines at leaves with several lines the key of their template, and the number of such lines."""
     lines = parts.where("_lead is not null")
     leaves = lines.groupBy("_lead").agg(F.min("_ka").alias("_lo"), F.max("_ka").alias("_hi"), F.min(_one_document()).alias("_a"), F.max(_one_document()).alias("_b"), F.count("*").alias("_count"))
-    leaves = stage_table(leaves.where("_lo < _hi and _a < _b").select("_lead", "_count"), "leaves")
+    # a token under half of the support needs a support of three
+    leaves = stage_table(leaves.where("_lo < _hi and _a < _b and _count >= 3").select("_lead", "_count"), "leaves")
     near = join_by_key(_of_leaves(lines, leaves), leaves, ["_lead"], "_count", lines.count())
     each = near.groupBy("_lead", "_ka", "_kb", *_DOC).agg(F.count("*").alias("_times"), F.any_value("_m").alias("_m"))
     shapes = each.groupBy("_lead", "_ka", "_kb").agg(F.count("*").alias("_docs"), F.sum("_times").alias("_count"), F.any_value("_m").alias("_m"))
