@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import collect, similar
 from marlstone.plans.queries import query, table
+from marlstone.sources import nested
 
 _KEY = "lower(regexp_replace({0}, '[^A-Za-z0-9]+', '', 'g'))"
 _TOKENS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: x <> ''))"
@@ -115,3 +116,16 @@ def collected_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collect.collect_records(part_records(table(spark, sf_dir, "part")))
     text = F.array_join(F.transform(F.array_sort(F.map_entries("data")), lambda e: F.concat(e.key, F.lit("="), e.value)), ";")
     return found.select("doc", "material", "records", "name", "symbol", "formula", "source", F.array_join("synonyms", ";").alias("synonyms"), "refcode", text.alias("data"), F.array_join("elements", ";").alias("elements"))
+
+
+@query("""
+SELECT o_orderkey, 'materials' AS key, '$.data.materials' AS at, o_orderstatus AS status, CAST(o_custkey AS VARCHAR) AS amount FROM orders
+UNION ALL SELECT o_orderkey, 'materials', '$.data.materials', o_orderpriority, NULL FROM orders
+UNION ALL SELECT o_orderkey, 'Materials-2', 'inner', o_orderstatus, CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 2 = 0""")
+def nested_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records under a key, wherever it stands, in nested JSON made of every order."""
+    made = table(spark, sf_dir, "orders").selectExpr("o_orderkey", """concat('{"doi": "', o_orderkey, '", "data": {"materials": [{"status": "', o_orderstatus, '", "amount": ', o_custkey, '}, "none", {"status": "', o_orderpriority, '", "amount": null}], "rest": [',
+      if(o_orderkey % 2 = 0, concat('[{"Materials-2": {"status": "', o_orderstatus, '", "amount": ', o_orderkey, ', "deep": 1}}]'), '7'), ']}}') as js""")
+    found = nested.nested_rows(made, "o_orderkey", "js", ["materials"])
+    at = F.when(F.map_contains_key("row", "deep"), "inner").otherwise("$.data.materials")
+    return found.select("o_orderkey", "key", at.alias("at"), F.col("row")["status"].alias("status"), F.col("row")["amount"].alias("amount"))

@@ -263,36 +263,6 @@ def leading_share(text: Column, pages: Column, most_pages: int, least: int = 100
     return F.when(pages > most_pages, F.substring(text, F.lit(1), keep)).otherwise(text)
 
 
-def nested_rows(df: DataFrame, ident: str, data: str, targets: Sequence[str]) -> DataFrame:
-    """``ident, key, row``: the records under keys that match a target (``key_matches``) anywhere in nested JSON, outer ones first."""
-    names = [re.compile(rf"^{re.escape(t)}(_[0-9]+)?$") for t in targets]
-
-    def records_in(value: object) -> Iterator[tuple[str, dict]]:
-        if isinstance(value, dict):
-            for key, inner in value.items():
-                folded = re.sub(r"[\s-]+", "_", key.strip().lower())
-                if any(n.match(folded) for n in names):
-                    yield from ((key, r) for r in (inner if isinstance(inner, list) else [inner]) if isinstance(r, dict))
-            value = list(value.values())
-        if isinstance(value, list):
-            for inner in value:
-                yield from records_in(inner)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for i, text in frame.itertuples(index=False, name=None):
-                try:
-                    value = json.loads(text) if text else None
-                except ValueError:
-                    continue
-                rows += [(i, k, {a: b if isinstance(b, str) or b is None else json.dumps(b) for a, b in r.items()}) for k, r in records_in(value)]
-            yield pd.DataFrame(rows, columns=["id", "key", "row"])
-
-    kind = dict(df.dtypes)[ident]
-    return df.select(ident, data).mapInPandas(run, f"id {kind}, key string, row map<string, string>").withColumnRenamed("id", ident)
-
-
 def flat_records(value: object) -> list[dict]:
     """The records of nested lists, in order; texts are passed over, anything else is a TypeError."""
     if isinstance(value, dict):

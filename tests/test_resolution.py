@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import measures, mining, records, resample, resolve
 from marlstone.plans import screening
-from marlstone.sources import documents, publishers
+from marlstone.sources import documents, nested, publishers
 
 M = ["sample_id", *resolve.MATERIAL_MATCH, "heating_rate_C_min", "SSA_m2_g"]
 A = ["sample_id", *resolve.ADSORPTION_KEY, "Qmax"]
@@ -194,9 +194,9 @@ def test_text_functions(spark):
 
 def test_nested_and_flat_records(spark):
     data = {"a": {"Target-1": [{"x": 1}, "text", {"target": {"y": "z"}}]}, "target": {"k": None}, "b": [{"target_2": {"q": [1]}}]}
-    out = documents.nested_rows(spark.createDataFrame([(1, json.dumps(data)), (2, "broken"), (3, None)], "id int, d string"), "id", "d", ["target"]).collect()
+    out = nested.nested_rows(spark.createDataFrame([(1, json.dumps(data)), (2, "broken"), (3, None)], "id int, d string"), "id", "d", ["target"]).collect()
     assert Counter((r["id"], r["key"], json.dumps(r["row"], sort_keys=True)) for r in out) == Counter([
-        (1, "Target-1", '{"x": "1"}'), (1, "Target-1", '{"target": "{\\"y\\": \\"z\\"}"}'), (1, "target", '{"y": "z"}'), (1, "target", '{"k": null}'), (1, "target_2", '{"q": "[1]"}'),
+        (1, "Target-1", '{"x": "1"}'), (1, "Target-1", '{"target": "{\\"y\\":\\"z\\"}"}'), (1, "target", '{"y": "z"}'), (1, "target", '{"k": null}'), (1, "target_2", '{"q": "[1]"}'),
     ])
     assert documents.flat_records([[{"a": 1}, "x"], [[{"b": 2}]]]) == [{"a": 1}, {"b": 2}]
     with pytest.raises(TypeError):
