@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -43,6 +43,32 @@ class Fallback:
         return reply if self.mark in reply else self.second(prompt)
 
 
+#: What the message of a backend says that does not know an argument.
+UNKNOWN_ARGUMENT = ("unsupported parameter", "unsupported_parameter", "not supported", "invalid_request_error", "param': 'stop'", 'param": "stop"')
+
+
+class Stopping:
+    """A backend that is asked to stop at some marks, and asked again without them where it says that it cannot; any other failure stands."""
+
+    def __init__(self, backend: Callable[..., str], stop: Sequence[str]) -> None:
+        self.backend, self.stop = backend, list(stop)
+
+    def __call__(self, prompt: str) -> str:
+        if self.stop:
+            try:
+                return self.backend(prompt, stop=self.stop)
+            except Exception as failed:  # a backend may fail in any way
+                said = str(failed).lower()
+                if "stop" not in said or not any(m in said for m in UNKNOWN_ARGUMENT):
+                    raise
+        return self.backend(prompt)
+
+
+def four_characters(text: str) -> int:
+    """Tokens of a text where a token is taken as four characters."""
+    return -(-len(text) // 4)
+
+
 def ask(elements: DataFrame, ident: str, prompt: str, backend: Backend, kept: DataFrame | None = None) -> DataFrame:
     """``ident, prompt_hash, reply, value, error`` for each row with a prompt; prompts answered in ``kept`` are not asked again.
 
@@ -82,10 +108,10 @@ def records_of(answers: DataFrame, ident: str) -> DataFrame:
     return answers.where("value is not null").select(ident, F.posexplode(rows).alias("ord", "row")).where("row is not null")
 
 
-def pack(elements: DataFrame, doc: str, order: str, text: str, most_tokens: int, kind: str | None = None, kind_as: str | None = None) -> DataFrame:
+def pack(elements: DataFrame, doc: str, order: str, text: str, most_tokens: int, kind: str | None = None, kind_as: str | None = None, count: Callable[[str], int] = four_characters) -> DataFrame:
     """Neighbouring paragraphs of a document (of one class, if given) packed up to a number of tokens: ``doc, pack, first, last, tokens, text`` (and ``kind`` if asked for).
 
-    A token is taken as four characters; a pack counts all its paragraphs. One pass over rows sorted by document and
+    ``count`` says how many tokens a paragraph has; a pack counts all its paragraphs. One pass over rows sorted by document and
     order holds the open pack alone, so a long document needs no more memory than a short one.
     """
     own = elements.select(doc, F.col(order).cast("long").alias("_o"), F.coalesce(F.col(text), F.lit("")).alias("_t"), (F.col(kind) if kind else F.lit("")).alias("_k"))
@@ -95,7 +121,7 @@ def pack(elements: DataFrame, doc: str, order: str, text: str, most_tokens: int,
         for frame in frames:
             rows = []
             for d, o, t, k in frame.itertuples(index=False, name=None):
-                tokens = -(-len(t) // 4)
+                tokens = count(t)
                 if now is not None and d == last and k == now[5] and now[3] + tokens <= most_tokens:
                     now[2], now[3] = o, now[3] + tokens
                     now[4].append(t)

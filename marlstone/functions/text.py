@@ -125,6 +125,18 @@ def sample_key(c: Column) -> Column:
     return F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[^A-Z0-9.\-]+", "")
 
 
+def safe_stem(c: Column) -> Column:
+    """A stem for file names: runs of other characters than A-Z, a-z, 0-9, ``.``, ``_`` and ``-`` as one underscore, these marks off either end, ``file`` if nothing is left."""
+    kept = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9._-]+", "_"), "^[._-]+|[._-]+$", "")
+    return F.when(kept == "", "file").otherwise(kept)
+
+
+def clean_name(c: Column, most: int = 180) -> Column:
+    """A file name without what file systems forbid (as underscores), white space as single blanks, cut after ``most`` characters."""
+    kept = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r'[\\/:*?"<>|]+', "_")
+    return F.substring(strip(F.regexp_replace(kept, r"(?U)\s+", " ")), 1, most)
+
+
 def tokens(c: Column) -> Column:
     """Distinct alphanumeric tokens of the lower-cased text, in order."""
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda t: t != ""))

@@ -274,10 +274,11 @@ def flat_records(value: object) -> list[dict]:
     raise TypeError(f"no record: {type(value).__name__}")
 
 
-def export(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Write a table: Parquet, JSON lines, or CSV with a header in which null is an empty cell."""
-    writer = df.write.mode("overwrite")
+def export(df: DataFrame, path: str, kind: str = "parquet", mark: bool = False) -> None:
+    """Write a table: Parquet, JSON lines, or CSV with a header in which null is an empty cell; with ``mark`` each CSV file begins with the UTF-8 byte order mark."""
     if kind == "csv":
-        writer.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+        # the mark stands before the first name of the header, with which every file begins
+        marked = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if mark else df
+        marked.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
     else:
-        writer.format(kind).save(path)
+        df.write.mode("overwrite").format(kind).save(path)

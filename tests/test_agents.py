@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.agents import chemistry, miners, seam
@@ -66,3 +67,24 @@ def test_chemical_names():
     assert chemistry.chemical_name("Cu<sub>2</sub>L · 3H2O") == "Cu2L" and chemistry.chemical_name("{ZnL}⋅2H2O") == "{ZnL}"
     assert chemistry.chemical_formula("H₂SO4") == ("H2 O4 S1", True) and chemistry.chemical_formula("(NH4)2") == ("H42 N1", True)
     assert chemistry.chemical_formula("Qx2") == ("Qx2", False) and chemistry.chemical_formula("[Cu]") == ("[Cu]", False) and chemistry.chemical_formula("Unknown") == ("", False) and chemistry.chemical_formula("") == (None, None)
+
+
+def test_backend_without_stop_is_asked_again():
+    def plain(prompt, stop=None):
+        if stop:
+            raise RuntimeError("Unsupported parameter: 'stop'")
+        return prompt.upper()
+
+    assert seam.Stopping(plain, ["END"])("a") == "A" and seam.Stopping(lambda p, stop: f"{p}{stop}", ["x"])("a") == "a['x']"
+
+    def broken(prompt, stop=None):
+        raise RuntimeError("no network")
+
+    with pytest.raises(RuntimeError):
+        seam.Stopping(broken, ["END"])("a")
+
+
+def test_packs_by_a_given_counter(spark):
+    df = spark.createDataFrame([("d", k, "one two three") for k in range(5)], "doc string, o int, t string")
+    got = seam.pack(df, "doc", "o", "t", 6, count=lambda t: len(t.split())).orderBy("pack").collect()
+    assert [(r["first"], r["last"], r.tokens) for r in got] == [(0, 1, 6), (2, 3, 6), (4, 4, 3)]
