@@ -51,6 +51,8 @@ def bent_effect(
     for c in base.values():
         whole = whole.where(c.isNotNull())
     whole = whole.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(outer).alias("_o"), F.col(inner).alias("_i"), *[c.cast("double").alias(f"_b{k}") for k, c in enumerate(base.values())])
+    # written, since the figures and every pass of the quantiles read it
+    whole = stage_table(whole, "complete")
     stats = whole.agg(F.avg("_x"), F.stddev_samp("_x"), F.avg("_y"), F.stddev_samp("_y"), F.count("*")).first()
     if not stats[4] or not stats[1] or not stats[3]:
         raise ValueError(f"{x} or {y} does not vary")
@@ -60,18 +62,16 @@ def bent_effect(
     knots, finer = [scaled[q] for q in KNOTS], [scaled[q] for q in FINER]
     if any(a >= b for k in (knots, finer) for a, b in zip(k, k[1:], strict=False)):
         raise ValueError(f"{x} has too few different values for its knots")
-    scaled_rows = stage_table(whole.withColumn("_x", (F.col("_x") - stats[0]) / stats[1]).withColumn("_y", (F.col("_y") - stats[2]) / stats[3]), "standardised")
+    scaled_rows = whole.withColumn("_x", (F.col("_x") - stats[0]) / stats[1]).withColumn("_y", (F.col("_y") - stats[2]) / stats[3])
     bends = {f"_{n}{k}": c for n, at in (("k", knots), ("f", finer)) for k, c in enumerate(measures.spline_basis(F.col("_x"), at))}
     # written, since every sum of products would compute its columns again
     data = stage_table(scaled_rows.withColumns(bends), "bends")
-    terms = {name: F.col(f"_b{k}") for k, name in enumerate(base)} | {x: F.col("_x")}
-
-    def bent(which: str) -> dict[str, Column]:
-        return terms | {f"{x} bend {c[2:]}": F.col(c) for c in bends if c[1] == which}
-
-    straight = mixed.mixed_model(data, terms, "_y", "_o", "_i")
-    spline, draws = mixed.drawn_coefficients(data, bent("k"), "_y", "_o", "_i", replicas, seed)
-    fine = mixed.mixed_model(data, bent("f"), "_y", "_o", "_i")
+    terms = {f"_b{k}": F.col(f"_b{k}") for k in range(len(base))} | {"_x": F.col("_x")}
+    # the sums of all three models at once
+    sums = mixed.group_sums(data, terms | {c: F.col(c) for c in bends}, "_y", "_o", "_i")
+    straight = mixed.fitted(sums.only([*terms]))
+    spline, draws = mixed.drawn_from(sums.only([*terms, *(c for c in bends if c[1] == "k")]), replicas, seed)
+    fine = mixed.fitted(sums.only([*terms, *(c for c in bends if c[1] == "f")]))
     statistic, p = mixed.likelihood_ratio(straight, spline, df)
     finer_statistic, finer_p = mixed.likelihood_ratio(straight, fine, df)
     ends = np.linspace(found[SHOWN[0]], found[SHOWN[1]], grid)

@@ -102,3 +102,29 @@ def test_added_terms(spark):
     assert useful["extended_aic"] < useful["base_aic"] and useful["rows"] == 180
     with pytest.raises(ValueError):
         mixed.mixed_model(df.where("false"), {}, "y", "o", "i")
+
+
+def test_steps_read_cells_not_groups(spark):
+    outer, inner, x, z, y = sample(4, 3, 20, 5)
+    keep = ~((inner % 2 == 1) & (np.arange(len(inner)) % 5 == 0))  # groups of five and of four rows
+    data = mixed.group_sums(frame(spark, outer[keep], inner[keep], x[keep], z[keep], y[keep]), {"x": F.col("x"), "z": F.col("z")}, "y", "o", "i")
+    assert data.groups.count() == 60 and sorted((r.outer, r.n, r.many) for r in data.cells.collect()) == [(str(o), n, 10.0) for o in range(3) for n in (4.0, 5.0)]
+    some = data.only(["z"])
+    points = np.array([[(-0.3, -0.6)]])
+    d = np.column_stack([np.ones(len(z)), z])[keep]
+    assert np.isclose(mixed._evaluate(some, points, np.arange(1), None, None)[0, 0], dense(d, y[keep], outer[keep], inner[keep], *mixed._ratios(points[0, 0]))[0])
+
+
+def test_draws_are_made_once_and_added_up(spark):
+    outer, inner, x, z, y = sample(2, 3, 6, 4)
+    data = mixed.group_sums(frame(spark, outer, inner, x, z, y), {"x": F.col("x")}, "y", "o", "i")
+    draw = (np.array([1.0, 0.5]), (0.5, 0.2, 0.4))
+    drawn = mixed._with_draws(data, 4, 5, draw)
+    rows = data.groups.collect()
+    for cell in drawn.cells.collect():
+        each = [mixed._drawn([r.outer], [r.inner], np.array([r.sums]), np.array([r.cross]), 4, 5, draw)[0] for r in rows if r.outer == cell.outer]
+        assert len(each) == cell.many == 6 and np.allclose(np.frombuffer(cell.drawn).reshape(4, -1), sum(each))
+    # a replica keeps its response whichever others are still on their way
+    points = np.full((4, 1, 2), (-0.2, -0.7))
+    whole = mixed._evaluate(drawn, points, np.arange(4), 5, draw)
+    assert np.allclose(mixed._evaluate(drawn, points[:2], np.arange(2), 5, draw), whole[:2])
