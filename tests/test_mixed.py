@@ -128,3 +128,12 @@ def test_draws_are_made_once_and_added_up(spark):
     points = np.full((4, 1, 2), (-0.2, -0.7))
     whole = mixed._evaluate(drawn, points, np.arange(4), 5, draw)
     assert np.allclose(mixed._evaluate(drawn, points[:2], np.arange(2), 5, draw), whole[:2])
+
+
+def test_added_terms_read_the_data_once(spark, monkeypatch):
+    outer, inner, x, z, y = sample(8, 4, 3, 5)
+    df, asked, made = frame(spark, outer, inner, x, z, y), [], mixed.group_sums
+    monkeypatch.setattr(mixed, "group_sums", lambda *a: asked.append(a) or made(*a))
+    found = mixed.added_fit(df, {"z": F.col("z")}, {"x": F.col("x")}, "y", "o", "i", replicas=2)
+    monkeypatch.undo()
+    assert len(asked) == 1 and math.isclose(found["base_aic"], mixed.mixed_model(df, {"z": F.col("z")}, "y", "o", "i").aic, rel_tol=1e-9)
