@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -59,17 +60,72 @@ def lattice_max(df: DataFrame, keys: Sequence[str], column: str, ranks: Sequence
     return df.groupBy(*keys).agg(F.max(rank).alias("_r")).select(*keys, F.get(F.array(*[F.lit(r) for r in ranks]), (F.col("_r") - 1).cast("int")).alias(column))
 
 
-def _compatible(kept: dict, row: dict, block: Sequence[str], columns: Sequence[str], cues: frozenset, least: int) -> bool:
-    known = [c for c in block if kept[c] is not None and row[c] is not None]
-    if any(kept[c] != row[c] for c in known):
-        return False
-    equal = 0
-    for c in columns:
-        if kept[c] is not None and row[c] is not None:
-            if kept[c] != row[c]:
-                return False
-            equal += c in cues
-    return len(known) == len(block) or equal >= least
+class _Kept:
+    """Kept rows by what they know, so that the first one that a row does not contradict is looked up.
+
+    Rows that know the same fields lie together. A row agrees with such a row if both have equal values in the fields that both
+    know, which is a key; whether that is enough depends on these fields alone. A row that learns a field moves on, and
+    what the indexes still say of it is passed over.
+    """
+
+    def __init__(self, block: Sequence[str], columns: Sequence[str], cues: frozenset, least: int) -> None:
+        self.fields = [*dict.fromkeys([*block, *columns])]
+        self.block, self.signs, self.least = frozenset(block), frozenset(columns) & cues, least
+        self.rows: list[dict] = []
+        self.knows: list[frozenset] = []
+        self.having: dict[frozenset, list[int]] = {}
+        self.index: dict[frozenset, dict[tuple, dict[tuple, list[int]]]] = {}
+
+    def known(self, row: dict) -> frozenset:
+        return frozenset(c for c in self.fields if row[c] is not None)
+
+    def enough(self, both: frozenset) -> bool:
+        return self.block <= both or len(both & self.signs) >= self.least
+
+    def first(self, row: dict) -> int | None:
+        own, best = self.known(row), None
+        for knows, members in self.having.items():
+            both = own & knows
+            if not self.enough(both):
+                continue
+            at = tuple(c for c in self.fields if c in both)
+            found = self.index[knows].get(at)
+            if found is None:
+                found = self.index[knows][at] = {}
+                for k in members:
+                    if self.knows[k] == knows:
+                        heappush(found.setdefault(_values(self.rows[k], at), []), k)
+            heap = found.get(_values(row, at), [])
+            while heap and self.knows[heap[0]] != knows:
+                heappop(heap)
+            if heap and (best is None or heap[0] < best):
+                best = heap[0]
+        return best
+
+    def place(self, k: int) -> None:
+        row, knows = self.rows[k], self.knows[k]
+        self.having.setdefault(knows, []).append(k)
+        for at, found in self.index.setdefault(knows, {}).items():
+            heappush(found.setdefault(_values(row, at), []), k)
+
+    def add(self, row: dict) -> None:
+        self.rows.append(row)
+        self.knows.append(self.known(row))
+        self.place(len(self.rows) - 1)
+
+    def fill(self, k: int, row: dict) -> None:
+        kept = self.rows[k]
+        for c in self.fields:
+            if kept[c] is None:
+                kept[c] = row[c]
+        now = self.known(kept)
+        if now != self.knows[k]:
+            self.knows[k] = now
+            self.place(k)
+
+
+def _values(row: dict, at: tuple) -> tuple:
+    return tuple(repr(v) if isinstance(v, (list, dict)) else v for v in (row[c] for c in at))
 
 
 def greedy_merge(df: DataFrame, paper: str, block: Sequence[str], columns: Sequence[str], order: str, least: int = 2, cues: Sequence[str] | None = None) -> DataFrame:
@@ -77,38 +133,22 @@ def greedy_merge(df: DataFrame, paper: str, block: Sequence[str], columns: Seque
 
     Rows with an empty block field need ``least`` equal values (of ``cues``, if given) with the kept row. The result depends on
     the order of rows, hence one pass for each paper over rows in order; kept rows are looked up by
-    their block value, so rows that cannot match are not visited.
+    the values that both know, so a row costs as much as there are sets of known fields, not as kept rows.
     """
     fields = [*block, *columns]
     out_columns = [paper, *fields, order, "merged_rows"]
     signs = frozenset(columns if cues is None else cues)
 
     def merge(rows: list[dict]) -> list[dict]:
-        kept: list[dict] = []
-        index: dict[tuple, list[int]] = {}
-        open_rows: list[int] = []
+        kept = _Kept(block, columns, signs, least)
         for row in rows:
-            own = tuple(row[c] for c in block)
-            at = sorted({*index.get(own, ()), *open_rows}) if None not in own else range(len(kept))
-            hit = next((k for k in at if _compatible(kept[k], row, block, columns, signs, least)), None)
+            hit = kept.first(row)
             if hit is None:
-                kept.append(row | {"merged_rows": 1})
-                index.setdefault(own, []).append(len(kept) - 1)
-                if None in own:
-                    open_rows.append(len(kept) - 1)
-                continue
-            was = tuple(kept[hit][c] for c in block)
-            for c in fields:
-                if kept[hit][c] is None:
-                    kept[hit][c] = row[c]
-            kept[hit]["merged_rows"] += 1
-            now = tuple(kept[hit][c] for c in block)
-            if now != was:
-                index[was].remove(hit)
-                index.setdefault(now, []).append(hit)
-                if None not in now:
-                    open_rows.remove(hit)
-        return kept
+                kept.add(row | {"merged_rows": 1})
+            else:
+                kept.fill(hit, row)
+                kept.rows[hit]["merged_rows"] += 1
+        return kept.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by paper and order; a paper may go over several batches."""

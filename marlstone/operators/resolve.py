@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator, Sequence
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -55,36 +56,40 @@ def ordered_pass(df: DataFrame, key: str, order: Sequence[str], work: Callable[[
 
 
 class Evidence:
-    """Rows with an id: found again by a whole key or by votes of equal fields."""
+    """Rows with an id: found again by a whole key or by votes of equal fields, which are counted by id as rows come."""
 
-    def __init__(self, fields: Sequence[str]) -> None:
-        self.fields = fields
+    def __init__(self, fields: Sequence[str], least: int = 2) -> None:
+        self.fields, self.least = fields, least
         self.exact: dict[tuple, set[str]] = defaultdict(set)
-        self.having: dict[tuple[str, str], list[int]] = defaultdict(list)
-        self.ids: list[str] = []
+        self.having: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        self.met: set[tuple] = set()
 
     def key(self, row: dict) -> tuple:
         return tuple(norm(row[f]) for f in self.fields)
 
+    def said(self, key: tuple) -> list[tuple[str, str]]:
+        return [(f, v) for f, v in zip(self.fields, key, strict=True) if v]
+
     def add(self, row: dict) -> None:
         key = self.key(row)
         self.exact[key].add(row["sample_id"])
-        for field, value in zip(self.fields, key, strict=True):
-            if value:
-                self.having[field, value].append(len(self.ids))
-        self.ids.append(row["sample_id"])
+        said = self.said(key)
+        for value in said:
+            self.having[value][row["sample_id"]] += 1
+        self.met.update(combinations(said, self.least))
 
     def by_key(self, row: dict) -> str | None:
         found = self.exact.get(self.key(row), set()) if any(self.key(row)) else set()
         return next(iter(found)) if len(found) == 1 else None
 
-    def by_vote(self, row: dict, least: int) -> str | None:
-        scores = Counter(k for f, v in zip(self.fields, self.key(row), strict=True) for k in self.having.get((f, v), ()))
-        if not scores or max(scores.values()) < least:
+    def by_vote(self, row: dict) -> str | None:
+        """The strict winner, where some row has ``least`` fields in common."""
+        said = self.said(self.key(row))
+        if not any(c in self.met for c in combinations(said, self.least)):
             return None
         votes: Counter = Counter()
-        for k, score in scores.items():
-            votes[self.ids[k]] += score
+        for value in said:
+            votes.update(self.having.get(value, {}))
         top = votes.most_common(2)
         return top[0][0] if len(top) == 1 or top[0][1] > top[1][1] else None
 
@@ -101,7 +106,7 @@ def _autofill(rows: list[dict]) -> list[dict]:
         evidence = known[row["_table"]]
         found = next(iter(every)) if len(every) == 1 else evidence.by_key(row)
         if found is None and row["_table"] == 1:
-            found = evidence.by_vote(row, 2)
+            found = evidence.by_vote(row)
         if found is not None:
             row["sample_id"] = found
             evidence.add(row)
@@ -166,7 +171,11 @@ def absorb(rows: DataFrame, fields: Sequence[str], columns: Sequence[str], share
 
     What is unique among those that found no row fills ``shared`` fields of the block.
     """
-    return ordered_pass(rows, block, ["ord"], _absorb(fields, columns, shared))
+    # blocks without an unresolved id stay as they are
+    loose = rows.where(F.contains(F.upper("sample_id"), F.lit(UNRESOLVED))).select(F.col(block).alias("_b")).distinct()
+    is_loose = F.col(block).eqNullSafe(F.col("_b"))
+    passed = ordered_pass(rows.join(loose, is_loose, "left_semi"), block, ["ord"], _absorb(fields, columns, shared))
+    return rows.join(loose, is_loose, "left_anti").unionByName(passed)
 
 
 def fill_shared_materials(rows: DataFrame) -> DataFrame:

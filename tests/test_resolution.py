@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -329,3 +330,58 @@ def test_required_columns(spark):
     assert records.missing_columns(df, ["b", "c", "a", "d"]) == ["c", "d"] and records.require_columns(df, ["a", "b"]).count() == 1
     with pytest.raises(ValueError):
         records.require_columns(df, ["c"])
+
+
+def _merged_plainly(rows, fields, least, block, cues):
+    kept = []
+    for row in rows:
+        for k in kept:
+            known = [c for c in block if k[c] is not None and row[c] is not None]
+            both = [c for c in fields if k[c] is not None and row[c] is not None]
+            if all(k[c] == row[c] for c in both) and (len(known) == len(block) or sum(c in cues for c in both if c not in block) >= least):
+                k.update({c: row[c] for c in fields if k[c] is None}, merged_rows=k["merged_rows"] + 1)
+                break
+        else:
+            kept.append(row | {"merged_rows": 1})
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_kept_rows_are_looked_up_as_by_comparing_all(seed):
+    rng = random.Random(seed)
+    fields = ["s", "a", "b", "c"]
+    rows = [{c: rng.choice([None, None, "1", "2", "3"]) for c in fields} for _ in range(120)]
+    kept = records._Kept(["s"], ["a", "b", "c"], frozenset("ab"), 1)
+    for row in rows:
+        hit = kept.first(row)
+        if hit is None:
+            kept.add(row | {"merged_rows": 1})
+        else:
+            kept.fill(hit, row)
+            kept.rows[hit]["merged_rows"] += 1
+    assert kept.rows == _merged_plainly(rows, fields, 1, ["s"], "ab")
+
+
+def test_a_large_paper_is_merged_in_linear_time():
+    began = time.process_time()
+    kept = records._Kept(["s"], ["a", "b"], frozenset("ab"), 1)
+    for k in range(20_000):
+        row = {"s": "x", "a": str(k), "b": None}
+        assert kept.first(row) is None
+        kept.add(row)
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_votes_counted_by_id_equal_votes_of_all_rows(seed):
+    rng = random.Random(seed)
+    evidence, rows = resolve.Evidence(["a", "b", "c"]), []
+    for _ in range(60):
+        row = {"sample_id": rng.choice("xyz"), **{f: rng.choice([None, "1", "2", "3"]) for f in "abc"}}
+        rows.append(row)
+        evidence.add(row)
+        asked = {f: rng.choice([None, "1", "2", "4"]) for f in "abc"}
+        scores = [(sum(asked[f] is not None and asked[f] == r[f] for f in "abc"), r["sample_id"]) for r in rows]
+        votes = sorted(((sum(s for s, i in scores if i == n), n) for n in "xyz"), reverse=True)
+        want = votes[0][1] if max(scores)[0] >= 2 and votes[0][0] > votes[1][0] else None
+        assert evidence.by_vote(asked) == want
