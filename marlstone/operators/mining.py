@@ -48,22 +48,30 @@ def matches(text: Column, p: Pattern) -> Column:
     The text falls into what lies between matches and the matches; the context of a match is put
     together from as many of these as its length can need, so the work is linear in the matches.
     """
-    found, numbers = F.regexp_extract_all(text, F.lit(p.pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(p.pattern), F.lit(1))
     if not p.near:
-        return numbers
-    gaps = F.split(text, p.pattern)
-    def near(i: Column) -> Column:
-        def part(j: Column) -> Column:
-            return F.concat(F.get(gaps, j), F.coalesce(F.get(found, j), F.lit("")))
-
-        first, last = F.greatest(i - p.before, F.lit(0)), F.least(i + p.after, F.size(gaps) - 1)
-        earlier = F.array_join(F.transform(F.filter(F.sequence(first, i), lambda j: j < i), part), "")
-        later = F.array_join(F.transform(F.filter(F.sequence(i, last), lambda j: j > i), part), "")
-        around = F.concat(F.right(F.concat(earlier, F.get(gaps, i)), F.lit(p.before)), F.get(found, i), F.left(later, F.lit(p.after)))
-        return F.exists(F.array(*[F.lit(w) for w in p.near]), lambda w: F.contains(around, w))
-
-    every = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(every, near), lambda i: F.get(numbers, i))
+        return F.regexp_extract_all(text, F.lit(p.pattern), F.lit(1))
+
+    def held(found: Column, numbers: Column, gaps: Column) -> Column:
+        def near(i: Column) -> Column:
+            def part(j: Column) -> Column:
+                return F.concat(F.get(gaps, j), F.coalesce(F.get(found, j), F.lit("")))
+
+            first, last = F.greatest(i - p.before, F.lit(0)), F.least(i + p.after, F.size(gaps) - 1)
+            earlier = F.array_join(F.transform(F.filter(F.sequence(first, i), lambda j: j < i), part), "")
+            later = F.array_join(F.transform(F.filter(F.sequence(i, last), lambda j: j > i), part), "")
+            around = F.concat(F.right(F.concat(earlier, F.get(gaps, i)), F.lit(p.before)), F.get(found, i), F.left(later, F.lit(p.after)))
+            return F.exists(F.array(*[F.lit(w) for w in p.near]), lambda w: F.contains(around, w))
+
+        every = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(every, near), lambda i: F.get(numbers, i))
+
+    def bound(t: Column) -> Column:
+        found, numbers = F.regexp_extract_all(t, F.lit(p.pattern), F.lit(0)), F.regexp_extract_all(t, F.lit(p.pattern), F.lit(1))
+        parts = F.struct(found.alias("found"), numbers.alias("numbers"), F.split(t, p.pattern).alias("gaps"))
+        return F.get(F.transform(F.array(parts), lambda x: held(x["found"], x["numbers"], x["gaps"])), F.lit(0))
+
+    # bound first: written out, the whole text would be searched and split again for every match
+    return F.get(F.transform(F.array(text), bound), F.lit(0))
 
 
 def mined_values(docs: DataFrame, ident: str, text: str, patterns: Sequence[Pattern]) -> DataFrame:

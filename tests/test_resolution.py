@@ -385,3 +385,11 @@ def test_votes_counted_by_id_equal_votes_of_all_rows(seed):
         votes = sorted(((sum(s for s, i in scores if i == n), n) for n in "xyz"), reverse=True)
         want = votes[0][1] if max(scores)[0] >= 2 and votes[0][0] > votes[1][0] else None
         assert evidence.by_vote(asked) == want
+
+
+def test_matches_with_context_cost_one_reading_of_the_text(spark):
+    text = "".join(f"the {k} a, " for k in range(6000))
+    df = spark.createDataFrame([(1, text)], "i int, t string")
+    began = time.monotonic()
+    found = df.select(mining.matches(F.col("t"), mining.Pattern("n", r"(\d+)\s*[a-z]", 1, 1e6, ("the",), 40, 30)).alias("n")).first()["n"]
+    assert found == [str(k) for k in range(6000)] and time.monotonic() - began < 15
