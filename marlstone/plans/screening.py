@@ -85,14 +85,22 @@ def sentence_flags(c: Column, text: Column) -> Column:
     adjusted = text.contains("ph") & (text.contains("adjust") | text.contains("using")) | text.contains("naoh") | text.contains("hcl")
     nuclides = text.rlike(_ANY_NUCLIDE)
 
-    def flags(s: Column) -> Column:
-        ph = adjusted & _said(s, V.PH_ADJUSTMENT)
-        acid = acids & _said(s, V.REAGENT) & ~ph & ~_said(s, V.NO_MODIFICATION)
-        prepared = acid & (_said(s, V.BIOCHAR) | _said(s, V.PREPARATION_VERB)) & _said(s, V.PREPARATION_CUE)
-        stated = acid & (_said(s, V.CONCENTRATION) | _said(s, V.DURATION) | _said(s, V.TEMPERATURE))
-        return F.struct(prepared.alias("prep"), stated.alias("cond"), ph.alias("ph"), (nuclides & _said(s, V.RADIONUCLIDE_CONTEXT)).alias("ctx"), s.alias("s"))
-
-    return F.when(acids | adjusted | nuclides, F.transform(c, flags)).otherwise(F.array().cast("array<struct<prep: boolean, cond: boolean, ph: boolean, ctx: boolean, s: string>>"))
+    def flags(has: Column, s: Column) -> Column:
+        ph = has["adjusted"] & _said(s, V.PH_ADJUSTMENT)
+        acid = has["acids"] & _said(s, V.REAGENT) & ~ph & ~_said(s, V.NO_MODIFICATION)
+
+        def whole(said: Column) -> Column:
+            prepared = said["acid"] & (_said(s, V.BIOCHAR) | _said(s, V.PREPARATION_VERB)) & _said(s, V.PREPARATION_CUE)
+            stated = said["acid"] & (_said(s, V.CONCENTRATION) | _said(s, V.DURATION) | _said(s, V.TEMPERATURE))
+            return F.struct(prepared.alias("prep"), stated.alias("cond"), said["ph"].alias("ph"), (has["nuclides"] & _said(s, V.RADIONUCLIDE_CONTEXT)).alias("ctx"), s.alias("s"))
+
+        return F.get(F.transform(F.array(F.struct(ph.alias("ph"), acid.alias("acid"))), whole), F.lit(0))
+
+    def of_text(has: Column) -> Column:
+        return F.when(has["acids"] | has["adjusted"] | has["nuclides"], F.transform(c, lambda s: flags(has, s))).otherwise(F.array().cast("array<struct<prep: boolean, cond: boolean, ph: boolean, ctx: boolean, s: string>>"))
+
+    # bound first: written out, the whole text would be searched again for every sentence
+    return F.get(F.transform(F.array(F.struct(acids.alias("acids"), adjusted.alias("adjusted"), nuclides.alias("nuclides"))), of_text), F.lit(0))
 
 
 def adjacent_pairs(flags: Column, first: str = "prep", second: str = "cond") -> Column:

@@ -393,3 +393,11 @@ def test_matches_with_context_cost_one_reading_of_the_text(spark):
     began = time.monotonic()
     found = df.select(mining.matches(F.col("t"), mining.Pattern("n", r"(\d+)\s*[a-z]", 1, 1e6, ("the",), 40, 30)).alias("n")).first()["n"]
     assert found == [str(k) for k in range(6000)] and time.monotonic() - began < 15
+
+
+def test_sentences_do_not_search_the_whole_text_again(spark):
+    text = "Wash it. " * 20_000 + "Biochar was treated with hcl at 2 M. "
+    df = spark.createDataFrame([(1, text)], "i int, text string")
+    began = time.monotonic()
+    row = screening.signals(df).select("acid_conditions", "ph_sentences").first()
+    assert row["acid_conditions"] == 1 and row["ph_sentences"] == 0 and time.monotonic() - began < 25
