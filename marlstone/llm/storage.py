@@ -2,18 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-
-from marlstone.staging import fresh_path, mark, release, remove, shared_dir, stage_table, staged_since
+from marlstone.staging import BATCH_BYTES, fresh_path, mark, release, remove, shared_dir, small_batches, stage_table, staged_since
 
 __all__ = ["BATCH_BYTES", "fresh_path", "mark", "release", "remove", "shared_dir", "small_batches", "stage_table", "staged_since"]
-_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Bytes of an Arrow batch handed to a Python worker. The session's own bound is 64 MB, of which a task holds
-#: several copies on either side.
-BATCH_BYTES = 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's bound on an Arrow batch to ``BATCH_BYTES``; a lower bound stays as it is."""
-    if int(spark.conf.get(_BATCH_KEY).rstrip("bB")) > BATCH_BYTES:
-        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.staging import small_batches
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -138,10 +139,17 @@ def chunks(text: str | None, size: int = 1800, least: int = 40) -> list[str]:
     return [c for c in [*out, now] if len(c) >= least]
 
 
+#: Characters of elements that a task holds before it hands them on.
+HELD = 1_000_000
+
+
 def _elements(blocks: Callable, size: int, least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["id", "idx", "type", "content", "error"]).astype({"idx": "int32"})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, held = [], 0
             for ident, content in frame.itertuples(index=False, name=None):
                 try:
                     found, error = blocks(content), None
@@ -150,7 +158,12 @@ def _elements(blocks: Callable, size: int, least: int) -> Callable[[Iterator[pd.
                 tables = [("table", t) for k, t in found if k == "table"]
                 texts = [("text", c) for k, t in found if k == "text" for c in chunks(t, size, least)]
                 rows += [(ident, i, k, t, None) for i, (k, t) in enumerate([*tables, *texts], 1)] or [(ident, 0, "error", None, error or "empty")]
-            yield pd.DataFrame(rows, columns=["id", "idx", "type", "content", "error"]).astype({"idx": "int32"})
+                held += sum(len(t) for _, t in found)
+                if held >= HELD:
+                    yield table(rows)
+                    rows, held = [], 0
+            if rows:
+                yield table(rows)
 
     return run
 
@@ -160,6 +173,7 @@ def elements(df: DataFrame, ident: str, content: str, kind: str = "html", size:
 
     A document that cannot be read, or is empty, has one row of type ``error``.
     """
+    small_batches(df.sparkSession)
     blocks = {"html": markup_blocks, "docx": lambda c: docx_blocks(bytes(c))}[kind]
     return df.select(ident, content).mapInPandas(_elements(blocks, size, least), f"id {dict(df.dtypes)[ident]}, idx int, type string, content string, error string")
 

@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pandas as pd
 import pytest
 
 from marlstone.sources import documents as D
@@ -88,3 +89,11 @@ def test_extract_and_names(spark, tmp_path):
     assert sorted(r["target"] for r in D.unique_names(files, "name", "ord").collect()) == ["a.pdf", "a__1.pdf", "b.pdf"]
     D.export(files, str(tmp_path / "out"), "csv")
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 3
+
+
+def test_elements_are_handed_on_in_small_tables():
+    page = "<p>" + "A sentence of a page that is long enough. " * 200 + "</p>"
+    frames = [pd.DataFrame({"id": range(400), "html": [page] * 400})]
+    made = list(D._elements(D.markup_blocks, 1800, 40)(iter(frames)))
+    assert sorted({*pd.concat(made)["id"]}) == [*range(400)]
+    assert all(t["content"].str.len().sum() < D.HELD + 2 * len(page) for t in made)
